@@ -87,3 +87,21 @@ def hash_terms(words: list[bytes], bits: int, seed: int = 0) -> np.ndarray:
 
 def count_of(pattern: str, text: str) -> int:
     return sum(1 for _ in re.finditer(pattern, text))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int) -> DataFrame:
+    """doc_id, text and y of at most `most` labelled documents outside the held-out fold.
+
+    fold (4, 2) holds out the ids whose crc32 is 2 modulo 4. The rows are those with the smallest
+    hashes of their ids, so every size of corpus is sampled alike; the bound on their number makes
+    the list of ids small enough to broadcast.
+    """
+    divisor, held_out = fold
+    wanted = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label].cast("int").alias("y"))
+    wanted = wanted.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (remainder_column(F.col("id"), divisor) != held_out))
+    wanted = wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    return id_and_text(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
