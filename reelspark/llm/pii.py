@@ -373,7 +373,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> Tagger:
     """Learns from stretches of a bounded sample: those documents whose ids have the smallest hashes."""
     n = docs.count()
     share = min(1.0, sample / max(n, 1))
-    some = id_and_text(docs).withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= int((2 * share - 1) * ((1 << 63) - 1)))
+    some = id_and_text(docs).withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
