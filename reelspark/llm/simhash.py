@@ -93,7 +93,9 @@ def stars(fps: DataFrame, keys: Column) -> DataFrame:
     key of two or more. Groups are summed before the shuffle and members meet their group's
     smallest by a join, which the engine may split; no group is gathered in a task."""
     rows = fps.select("fp", F.explode(keys).alias("key"))
-    groups = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most").select("key", "least")
+    groups = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n"))
+    # A group of two is compared at once; most that meet by chance end here.
+    groups = groups.where("least < most and (n > 2 or bit_count(least ^ most) <= 2)").select("key", "least")
     return rows.join(groups, "key").select("fp", "least")
 
 
@@ -131,8 +133,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     rows = cut(fingerprints(docs))
-    unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    candidates = cut(stars(unique.select("fp"), cells(F.col("fp"))).select("fp").distinct())
+    # Few bytes now and many rows after explode: an explicit number of partitions keeps them apart.
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).repartition(width, "fp"))
+    candidates = cut(stars(unique.select("fp"), cells(F.col("fp"))).select("fp").distinct().repartition(width, "fp"))
     links = stars(candidates, variants(F.col("fp"))).where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     roots = components(links)
     rooted = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
