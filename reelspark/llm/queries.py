@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.llm import fingerprint, mixing, pieces, pii, quality_model, quality_rules, simhash, toxicity, url_filter
+from reelspark.llm import fingerprint, lm, mixing, pieces, pii, quality_model, quality_rules, simhash, toxicity, url_filter
 from reelspark.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents")).drop("failed")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_list(spark))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_score": op6_lm_score,
     "op7_url_filter": op7_url_filter,
     "op8_quality_model": op8_quality_model,
     "op9_fingerprint": op9_fingerprint,
