@@ -194,14 +194,15 @@ def pieces(rows: DataFrame) -> DataFrame:
 def taken_pieces(rows: DataFrame, mix: DataFrame) -> DataFrame:
     """pieces with n, the times that the mix takes their block (null: never)."""
     times = mix.groupBy("source_at", "block").agg(F.count("*").alias("n"))
-    return pieces(rows).join(times, ["source_at", "block"], "left")
+    # The plan can't know how many slots a shard makes, and would broadcast them.
+    return pieces(rows).join(times.hint("merge"), ["source_at", "block"], "left")
 
 
 def mixed_blocks(docs: DataFrame) -> DataFrame:
     """The mix with its words: shard, slot, source_at, pass, block, doc_id, begin, end; a block that several documents share has several rows."""
     sizes = measured(docs)
     p = plan_of(sizes)
-    return slots(docs.sparkSession, p).join(pieces(placed(sizes, p)), ["source_at", "block"]).select("shard", "slot", "source_at", "pass", "block", "doc_id", "start", "begin", "end")
+    return slots(docs.sparkSession, p).hint("merge").join(pieces(placed(sizes, p)), ["source_at", "block"]).select("shard", "slot", "source_at", "pass", "block", "doc_id", "start", "begin", "end")
 
 
 def taken(docs: DataFrame) -> DataFrame:
