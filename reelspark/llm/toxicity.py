@@ -93,7 +93,7 @@ class FactorizationMachine:
         return float(sigmoid(np.array(self.bias + float(self.weights[at].sum()) + pairs)))
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray, least: int = 4, bound: float = 10.0) -> np.ndarray:
+def informative(rows: list[np.ndarray], y: np.ndarray, least: int = 3, bound: float = 6.0) -> np.ndarray:
     """Slots in at least `least` rows whose presence and label depend on each other (likelihood ratio over the bound)."""
     n, n1 = len(y), float(y.sum())
     both = np.bincount(np.concatenate(rows), minlength=1 << BITS)
