@@ -133,10 +133,18 @@ def size_estimate(df: DataFrame, size: str, order: str, about: int = 400) -> Dat
 def grid(df: DataFrame) -> DataFrame:
     """The display columns of a recordings table; rows with an error show the error as their note."""
     ok = F.coalesce(F.col("error"), F.lit("")) == ""
-    r = timecode.parse_rate(F.col("tc_rate"))
+    # Step by step, as each is read several times by the next.
+    df = df.withColumn("_rate", timecode.parse_rate(F.col("tc_rate")))
+    r, start = F.col("_rate"), F.col("time_reference")
+    df = df.withColumn("_fps", timecode.nominal_fps(r)).withColumn("_start", timecode.samples_to_frames(start, F.col("sample_rate"), r)).withColumn("_end", timecode.samples_to_frames(start + F.col("frames"), F.col("sample_rate"), r))
+
+    def tc(samples: Column, frames: str) -> Column:
+        clock = timecode.seconds_to_clock(samples.cast("double") / F.col("sample_rate"))
+        return F.when(start.isNull(), "").when(r.isNull(), clock).otherwise(timecode.frames_to_tc(F.col(frames), F.col("_fps"), F.col("drop_frame")))
+
     shown = {
         "name": names.basename(F.col("path")), "scene": F.col("scene"), "take": F.col("take"), "length": timecode.format_duration(F.col("frames") / F.col("sample_rate")),
-        "start_tc": timecode.samples_to_tc(F.col("time_reference"), F.col("sample_rate"), r, F.col("drop_frame")), "end_tc": timecode.samples_to_tc(F.col("time_reference") + F.col("frames"), F.col("sample_rate"), r, F.col("drop_frame")),
+        "start_tc": tc(start, "_start"), "end_tc": tc(start + F.col("frames"), "_end"),
         "rate": timecode.rate_label(r, F.col("drop_frame")), "channels": F.col("channels").cast("string"), "format": F.concat((F.col("sample_rate") / 1000).cast("string"), F.lit(" kHz / "), F.col("bits").cast("string"), F.when(F.col("float_samples"), F.lit(" float")).otherwise(F.lit(" bit"))),
         "tracks": F.array_join("tracks", ", "), "circled": F.when(F.col("circled"), "★").otherwise(""), "date": F.col("date"), "tape": F.col("tape"), "recorder": names.recorder_label(F.col("recorder")),
     }
