@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import names, timecode
+from reelspark.session import checkpoint_dir
 
 
 def search_text(*cols: Column) -> Column:
@@ -64,9 +65,25 @@ def family_members(df: DataFrame, key: str, family: list[str]) -> DataFrame:
     return a.join(b, family).where(F.col(key) != F.col("member"))
 
 
+def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """df with each row's place (from 1) in the whole order.
+
+    Rows are dealt to ranges and sorted there; a range's first place is the sum of the counts before
+    it, so only the counts of ranges are ordered in one task. The dealt rows are written once, as a
+    second run might cut the ranges elsewhere.
+    """
+    checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rows = dealt.withColumn("_part", F.shiftright("_at", 33))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    placed = rows.join(F.broadcast(base), "_part")  # a row for each range
+    return placed.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_base")
+
+
 def natural_order(df: DataFrame, column: str, tie: str) -> DataFrame:
-    """df with position, its place in natural order (a report's order, so over the whole result)."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(names.natural_key(F.col(column)), F.col(tie))).cast("long"))
+    """df with position, its place in natural order."""
+    return positions(df, names.natural_key(F.col(column)), F.col(tie))
 
 
 def report_order(df: DataFrame) -> list[Column]:
@@ -117,16 +134,9 @@ def summary(df: DataFrame, date: str) -> DataFrame:
 
 
 def size_estimate(df: DataFrame, size: str, order: str, about: int = 400) -> DataFrame:
-    """Size of all rows, estimated from every n-th of them in order (about `about` rows).
-
-    Ranks come from counts by range, not from a sort in one task.
-    """
-    total = df.count()
-    step = max(1, total // about)
-    part = df.withColumn("_part", F.spark_partition_id()) if step == 1 else df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    part = part.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    before = part.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    taken = part.join(F.broadcast(before), "_part").where((F.col("_at") + F.col("_base")) % step == 0)
+    """Size of all rows, estimated from every n-th of them in order (about `about` rows)."""
+    step = max(1, df.count() // about)
+    taken = positions(df, F.col(order), name="_place").where((F.col("_place") - 1) % step == 0)
     return taken.agg((F.sum(size) * step).alias("estimate"), F.count("*").alias("sampled"))
 
 

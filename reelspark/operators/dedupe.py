@@ -36,16 +36,19 @@ def text_fingerprint(head: Column, text: Column, size: Column, block: int = BLOC
 def duplicate_groups(df: DataFrame, key: list[str], name: str, fingerprint: Column) -> DataFrame:
     """df's rows in groups of two or more, with content: rows of one key whose names or fingerprints agree.
 
-    A key with one name needs no fingerprint. Otherwise each name's first row is fingerprinted for
-    all of them, so the costly expression runs once for a name.
+    A key with one name needs no fingerprint. Otherwise each name's first row (by path, which is
+    unique) is fingerprinted for all of them, so the costly expression runs once for a name. Counts
+    are summed before they are shuffled and rows meet their group by joins, so a key may hold any
+    number of rows.
     """
-    counted = df.withColumn("_rows", F.count("*").over(Window.partitionBy(*key))).where("_rows > 1")
-    named = counted.withColumn("_first", F.row_number().over(Window.partitionBy(*key, name).orderBy("path")) == 1)
-    several = F.size(F.collect_set(name).over(Window.partitionBy(*key))) > 1
-    hashed = named.withColumn("_several", several).withColumn("_hash", F.when(F.col("_first") & F.col("_several"), fingerprint))
-    spread = hashed.withColumn("content", F.coalesce(F.max("_hash").over(Window.partitionBy(*key, name)), F.lit("")))
-    again = spread.withColumn("_group", F.count("*").over(Window.partitionBy(*key, "content"))).where("_group > 1")
-    return again.drop("_rows", "_first", "_several", "_hash", "_group")
+    each = df.groupBy(*key, name).agg(F.count("*").alias("_n"), F.min("path").alias("_first"))
+    keys = each.groupBy(*key).agg(F.sum("_n").alias("_rows"), F.count("*").alias("_names")).where("_rows > 1")
+    each = each.join(keys, key)
+    first = each.where("_names > 1").select(F.col("_first").alias("path"))
+    hashed = df.join(first, "path", "left_semi").select(*key, name, fingerprint.alias("_hash"))
+    named = each.join(hashed, [*key, name], "left").withColumn("content", F.coalesce("_hash", F.lit("")))
+    groups = named.groupBy(*key, "content").agg(F.sum("_n").alias("_copies")).where("_copies > 1").drop("_copies")
+    return df.join(named.join(groups, [*key, "content"]).select(*key, name, "content"), [*key, name])
 
 
 def keeper_score(path: Column, project: Column, noted: Column, containers: list[str], removed: str = "_Removed") -> Column:
@@ -85,15 +88,17 @@ def take_aligned(df: DataFrame, take: str, group: str, folder: str, score: Colum
 def similar_pairs(df: DataFrame, name: str, least: float = 0.85) -> DataFrame:
     """(a, b): names that look alike, a before b in lower case.
 
-    Names meet only where their digit runs agree; then the shorter, of three characters or more, is
+    Names meet only where their digit runs agree and they share two letters in a row, as all that are
+    alike do (a prefix of three, or matching blocks of two at least); then the shorter, of three characters or more, is
     a prefix whose remainder has no digit, or both have five or more and their ratio is high. The
     ratio can reach `least` only if the lengths and the letters' counts allow it, which is tested
     before any text is compared.
     """
     d = df.select(F.col(name).alias("x")).distinct().withColumn("n", names.normalized(F.col("x"))).withColumn("runs", F.array_join(names.digit_runs(F.col("x")), ","))
     d = d.where(F.length("n") >= 3).withColumn("len", F.length("n")).withColumn("low", F.lower("x"))
-    side = lambda s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("x", "n", "len", "low")), F.col("runs"))
-    both = side("a").join(side("b"), "runs").where((F.col("a_low") < F.col("b_low")) | ((F.col("a_low") == F.col("b_low")) & (F.col("a_x") < F.col("b_x"))))
+    d = d.withColumn("grams", F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("len") - 1), lambda k: F.substr("n", k, F.lit(2)))))
+    side = lambda s: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("x", "n", "len", "low", "grams")), F.col("runs"), F.explode("grams").alias("gram"))
+    both = side("a").join(side("b"), ["runs", "gram"]).where(F.col("gram") == F.array_min(F.array_intersect("a_grams", "b_grams"))).where((F.col("a_low") < F.col("b_low")) | ((F.col("a_low") == F.col("b_low")) & (F.col("a_x") < F.col("b_x"))))
     short, long_ = F.when(F.col("a_len") <= F.col("b_len"), F.col("a_n")).otherwise(F.col("b_n")), F.when(F.col("a_len") <= F.col("b_len"), F.col("b_n")).otherwise(F.col("a_n"))
     prefix = F.startswith(long_, short) & ~F.expr("substring(if(a_len <= b_len, b_n, a_n), least(a_len, b_len) + 1)").rlike("[0-9]")
     fits = (F.least("a_len", "b_len") >= 5) & (2 * F.least("a_len", "b_len") >= least * (F.col("a_len") + F.col("b_len")))

@@ -55,25 +55,35 @@ def with_chosen(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("chosen", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)
 
 
-def asof(events: DataFrame, points: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False) -> DataFrame:
-    """events with prev_ and next_ of each of the points' values: the last point at or before the
-    event (before it, if strict) and the first one after it (for next: strictly after).
+def asof(events: DataFrame, points: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False, width: int | None = None) -> DataFrame:
+    """events with prev_ and next_ of each of the points' values: those of the last point at or before
+    the event (before it, if strict) and of the first one after it.
 
     Both tables are laid into one order and the neighbours carried over, which costs one sort by
-    `by` and time and no join.
+    `by` and time. With a width, time is cut into stretches that are sorted apart, and what lies
+    beyond a stretch comes from one row for each stretch, so a hot key is many groups.
     """
     cols = [c for c in events.columns if c not in by and c != at]
-    e = events.select(*by, F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_kind"), F.struct(*cols).alias("_event") if cols else F.struct(F.lit(1).alias("x")).alias("_event"), *(F.lit(None).cast(points.schema[v].dataType).alias(v) for v in values))
-    p = points.select(*by, F.col(at).alias("_at"), F.lit(1 if strict else 0).alias("_kind"), F.lit(None).cast(e.schema["_event"].dataType).alias("_event"), *values)
-    w = Window.partitionBy(*by).orderBy("_at", "_kind")
-    both = e.unionByName(p)
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.struct(F.lit(1).alias("_here"), *cols)
+    point = F.struct(*values)
+    stretch = F.floor(F.col("_at") / width).cast("long") if width else F.lit(0).cast("long")
+    e = events.select(*by, F.col(at).alias("_at"), F.lit(0 if strict else 1).alias("_kind"), kept.alias("_event"))
+    p = points.select(*by, F.col(at).alias("_at"), F.lit(1 if strict else 0).alias("_kind"), point.alias("_point"))
+    both = e.unionByName(p, allowMissingColumns=True).withColumn("_stretch", stretch)
+    group = [*by, "_stretch"]
     # What lies ahead is what lies back in falling order; a point at an event's own time is never ahead of it.
     kind = F.col("_kind") if strict else F.col("_kind").desc()
-    later = Window.partitionBy(*by).orderBy(F.col("_at").desc(), kind).rowsBetween(Window.unboundedPreceding, -1)
-    out = both.select("*", *(F.last(v, ignorenulls=True).over(back).alias(f"prev_{v}") for v in values), *(F.last(v, ignorenulls=True).over(later).alias(f"next_{v}") for v in values))
-    out = out.where("_event is not null")
-    return out.select(*by, F.col("_at").alias(at), *(F.col(f"_event.{c}").alias(c) for c in cols), *(f"prev_{v}" for v in values), *(f"next_{v}" for v in values))
+    back = Window.partitionBy(*group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*group).orderBy(F.col("_at").desc(), kind).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("_prev", F.last("_point", ignorenulls=True).over(back)).withColumn("_next", F.last("_point", ignorenulls=True).over(ahead)).where("_event is not null")
+    if width:
+        ends = both.groupBy(*group).agg(F.max_by("_point", F.when(F.col("_point").isNotNull(), F.col("_at"))).alias("_last"), F.min_by("_point", F.when(F.col("_point").isNotNull(), F.col("_at"))).alias("_first"))
+        w = Window.partitionBy(*by)
+        before = F.last("_last", ignorenulls=True).over(w.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+        after = F.last("_first", ignorenulls=True).over(w.orderBy(F.col("_stretch").desc()).rowsBetween(Window.unboundedPreceding, -1))
+        near = near.join(ends.select(*group, before.alias("_before"), after.alias("_after")), group)
+        near = near.withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_after"))
+    return near.select(*by, F.col("_at").alias(at), *(F.col(f"_event.{c}").alias(c) for c in cols), *(F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values), *(F.col(f"_next.{v}").alias(f"next_{v}") for v in values))
 
 
 def lane_value(frame: Column, at0: Column, v0: Column, at1: Column, v1: Column, step: bool = False) -> Column:

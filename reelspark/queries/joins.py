@@ -75,7 +75,7 @@ FROM p"""
 def _asof(t: Tables) -> DataFrame:
     e = t.events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     views = e.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("id"), F.col("at").alias("time"), "value")
-    return op.asof(e.where("event_type = 'purchase'").select("user_id", "at", "event_id"), views, ["user_id"], "at", ["id", "time", "value"])
+    return op.asof(e.where("event_type = 'purchase'").select("user_id", "at", "event_id"), views, ["user_id"], "at", ["id", "time", "value"], width=86_400_000_000)
 
 
 @query(f"SELECT event_id, prev_id, next_id FROM ({_ASOF})")

@@ -145,10 +145,8 @@ def q_report_tracks(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, coalesce(o_custkey, -1), o_orderkey) AS position FROM orders WHERE o_orderpriority = '1-URGENT'")
 def q_report_order(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     d = t.orders.where("o_orderpriority = '1-URGENT'")
-    return d.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderdate", F.coalesce("o_custkey", F.lit(-1)), "o_orderkey")).cast("long").alias("position"))
+    return catalog.positions(d, F.col("o_orderdate"), F.coalesce("o_custkey", F.lit(-1)), F.col("o_orderkey")).select("o_orderkey", "position")
 
 
 @query("""

@@ -1,7 +1,6 @@
 """Envelopes, loudness, mixes, gates and streams over events and embeddings."""
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,9 +151,7 @@ def q_stream_ingest(t: Tables) -> DataFrame:
     from reelspark.session import checkpoint_dir
 
     schema = t.events.schema
-    shared = checkpoint_dir(t.spark).removeprefix("file://")
-    os.makedirs(shared, exist_ok=True)
-    out = tempfile.mkdtemp(prefix="ingest-", dir=shared)
+    out = f"{checkpoint_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
     ingest.upsert_stream(stream, f"{out}/rows", ["user_id", "event_type"], ["ts", "event_id"], f"{out}/checkpoint").awaitTermination()
     return ingest.current(t.spark, f"{out}/rows", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")

@@ -38,9 +38,11 @@ def get_session(config: EngineConfig = EngineConfig()) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's if it names one, else one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    own = spark.sparkContext.getCheckpointDir()
     if named:
+        if not own:
+            spark.sparkContext.setCheckpointDir(named)
         return named
-    own = spark.sparkContext.getCheckpointDir()
     if not own:
         own = tempfile.mkdtemp(prefix="reelspark-")
         spark.sparkContext.setCheckpointDir(own)

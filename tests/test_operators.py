@@ -21,12 +21,12 @@ def test_interval_join_equals_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("strict", [False, True])
-def test_asof_equals_search(spark, strict):
+@pytest.mark.parametrize("strict,width", [(False, None), (True, None), (False, 7), (True, 7)])
+def test_asof_equals_search(spark, strict, width):
     rng = random.Random(5)
     e = [(k % 3, rng.randrange(60), i) for i, k in enumerate(range(80))]
     p = [(k % 3, t, 100 * (k % 3) + t) for k in range(3) for t in rng.sample(range(60), 20)]
-    got = joins.asof(spark.createDataFrame(e, "g long, t long, i long"), spark.createDataFrame(p, "g long, t long, v long"), ["g"], "t", ["v"], strict=strict)
+    got = joins.asof(spark.createDataFrame(e, "g long, t long, i long"), spark.createDataFrame(p, "g long, t long, v long"), ["g"], "t", ["v"], strict=strict, width=width)
     for r in got.collect():
         before = [t for g, t, _ in p if g == r["g"] and (t < r["t"] if strict else t <= r["t"])]
         after = [t for g, t, _ in p if g == r["g"] and t > r["t"]]
@@ -181,6 +181,13 @@ def test_grid_columns(spark):
     assert got["not a WAV file"]["length"] == ""
 
 
+def test_positions(spark):
+    rows = [(k * 7919 % 997, k) for k in range(997)]
+    d = spark.createDataFrame(rows, "x long, k long").repartition(7)
+    got = {r["x"]: r["position"] for r in catalog.positions(d, F.col("x")).collect()}
+    assert got == {x: x + 1 for x in range(997)}
+
+
 def test_size_estimate_and_status(spark):
     d = spark.range(0, 5000).select("id", F.lit(7).cast("long").alias("size"))
     r = catalog.size_estimate(d, "size", "id").first()
