@@ -155,3 +155,61 @@ def q_stream_ingest(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
     ingest.upsert_stream(stream, f"{out}/rows", ["user_id", "event_type"], ["ts", "event_id"], f"{out}/checkpoint").awaitTermination()
     return ingest.current(t.spark, f"{out}/rows", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey AS take, l_linenumber AS channel, CASE WHEN -l_quantity < -60.05 THEN 0 ELSE power(10.0, -l_quantity / 20) END AS g, (l_linenumber / 8.0 - 0.5 + 1) * pi() / 4 AS a, l_tax > 0.07 AS mute, l_discount > 0.09 AS solo FROM lineitem),
+y AS (SELECT *, NOT mute AND (NOT bool_or(solo) OVER (PARTITION BY take) OR solo) AS sounds FROM x),
+z AS (SELECT *, CASE WHEN sounds THEN g ELSE 0 END / sqrt(greatest(count(*) FILTER (WHERE sounds) OVER (PARTITION BY take), 1)) AS v FROM y)
+SELECT take, channel, round(v * cos(a) * sqrt(2), 6) AS "left", round(v * sin(a) * sqrt(2), 6) AS "right" FROM z""")
+def q_mixer_matrix(t: Tables) -> DataFrame:
+    from reelspark.operators import mixer
+
+    d = t.lineitem.select(F.col("l_orderkey").alias("take"), F.lit(0.0).alias("master"), F.col("l_linenumber").alias("channel"), (-F.col("l_quantity")).alias("gain_db"), (F.col("l_linenumber") / 8.0 - 0.5).alias("pan"), (F.col("l_tax") > 0.07).alias("mute"), (F.col("l_discount") > 0.09).alias("solo"), F.lit(False).alias("link"))
+    return mixer.matrix(d, "take").select("take", "channel", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_tax <= 0.07))")
+def q_to_fix(t: Tables) -> DataFrame:
+    from reelspark.plans import files
+
+    verdicts = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_tax") <= 0.07).alias("ok"))
+    return files.to_fix(t.orders.select("o_orderkey"), verdicts, "o_orderkey")
+
+
+def _tones(t: Tables) -> str:
+    """Three short WAV files in the shared folder."""
+    import os
+
+    import numpy as np
+
+    from reelspark.session import checkpoint_dir
+    from reelspark.sources import wav
+
+    root = f"{checkpoint_dir(t.spark).removeprefix('file://')}/tones-{uuid.uuid4().hex}"
+    os.makedirs(root)
+    at = np.arange(16_000) / 8_000
+    for k, level in enumerate((0.1, 0.05, 0.2)):
+        x = level * np.sqrt(2) * np.sin(2 * np.pi * 997 * at)
+        wav.write_wav(f"{root}/{k + 1}T01.wav", np.stack([x, x / 2], axis=1), 8_000, 24, bext={"time_reference": 8_000 * 3600 * (k + 1)})
+    return root
+
+
+@query()
+def q_wav_scan(t: Tables) -> DataFrame:
+    from reelspark.operators import catalog
+    from reelspark.sources import wav
+
+    return catalog.grid(wav.scan(t.spark, _tones(t))).select("name", "scene", "take", "start_tc", "length", "channels")
+
+
+@query()
+def q_wav_loudness(t: Tables) -> DataFrame:
+    from reelspark.functions.names import basename
+    from reelspark.sources import wav
+
+    wav.register(t.spark)
+    blocks = t.spark.read.format("wav_blocks").option("blockFrames", 4_000).load(_tones(t)).withColumn("name", basename(F.col("path")))
+    powers = op.block_powers(blocks, ["name", "channel"], "block", "samples", 8_000)
+    lufs = op.gated_loudness(op.window_powers(powers, ["name", "channel"], "q", "power", 4), ["name", "channel"])
+    return lufs.select("name", "channel", F.round("lufs", 3).alias("lufs"))
