@@ -27,6 +27,8 @@ from reelspark.llm.common import id_and_text
 LANES = 128
 WIDE = 4
 CHUNK = 1 << 15
+#: Rows whose texts a task holds as Python strings.
+TOGETHER = 256
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 ROWS_PER_BUCKET = 2000
 #: Bounds of so many ranges of ids reach the driver and the tasks at most.
@@ -157,7 +159,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         held = None
-        for batch in batches:
+        for batch in (part.slice(k, TOGETHER) for part in batches for k in range(0, part.num_rows, TOGETHER)):
             rows = []
             for bucket, last, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
                 if held and held[0] != bucket:
