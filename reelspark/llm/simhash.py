@@ -169,3 +169,98 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 def _with_fingerprint(docs: DataFrame) -> DataFrame:
     make = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
     return docs.withColumn("_fp", make(F.coalesce(docs["text"], F.lit(""))))
+
+
+# Near copies by the likeness of word shingles: two texts are near copies if the Jaccard likeness of
+# their sets of five-word shingles is at least 0.8. Candidates share one of BANDS MinHash keys of WIDE
+# values each (a pair of likeness 0.8 shares none with probability below 1e-4); in a key's group every
+# member is compared with two members, which differ from key to key, so no group costs its square; each
+# candidate pair is verified on the whole sets of shingles' hashes.
+#: Words of a shingle and least likeness of near copies.
+NEAR_SHINGLE, NEAR = 5, 0.8
+BANDS, WIDE = 24, 5
+_RNG = np.random.default_rng(SEED)
+_MASKS = _RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64)[:, None]
+_FACTORS = (_RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64) | np.uint64(1))[:, None]
+
+
+def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 of the text's shingles."""
+    digest = xxhash.xxh64_intdigest
+    return np.array(sorted({digest(s, SEED) for s in shingles(lower_words(text), size)}), np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of WIDE MinHash values; a set without members has keys of its own."""
+    least = np.full(BANDS * WIDE, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        mixed = (hashes[None, k : k + 2048] ^ _MASKS) * _FACTORS
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, mixed.min(axis=1), out=least)
+    rows = least.reshape(BANDS, WIDE)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def keyed_rows(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, th (hash of the text), h (of the set of shingles) and keys of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, keys = [], []
+            for t in batch.column(1):
+                found = shingle_set(t.as_py(), size)
+                hs.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                keys.append(band_keys(found))
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), lists], ["doc_id", "th", "h", "keys"])
+
+    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, keys array<long>")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v): sets of shingles of at least that likeness. In a group of a key only pairs with its two
+    ends are compared, so members of a large group that are like each other but like no end are missed."""
+    rows = nodes.select("h", F.explode("keys").alias("key"))
+    groups = rows.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(F.col("key"))).alias("lo"), F.max(F.col("h").bitwiseXOR(F.col("key"))).alias("hi"))
+    groups = groups.where("lo < hi").select("key", F.array(F.col("lo").bitwiseXOR(F.col("key")), F.col("hi").bitwiseXOR(F.col("key"))).alias("ends"))
+    pairs = rows.join(groups, "key").select("h", F.explode("ends").alias("end")).where("h <> end")
+    pairs = cut(pairs.select(F.least("h", "end").alias("u"), F.greatest("h", "end").alias("v")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], ["h", "hashes"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    needed = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
+    wanted = needed.join(nodes, "h").select("h", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["th"] == wanted["_th"])).groupBy("h").agg(F.min("text").alias("text"))
+    made = cut(texts.select("h", "text").mapInArrow(sets, "h long, hashes binary"))
+    left = made.select(F.col("h").alias("u"), F.col("hashes").alias("a"))
+    right = made.select(F.col("h").alias("v"), F.col("hashes").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+
+
+def drop_near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest doc_id (a null one
+    last), by the hash of its text among equal ids. Of rows that repeat both id and text one stays;
+    rows that share an id alone are told apart by their texts."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(keyed_rows(docs, size))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    nodes = cut(rows.groupBy("h").agg(F.any_value("keys").alias("keys"), first).repartition(width, "h"))
+    roots = components(near_links(docs, nodes, size, similarity))
+    rooted = nodes.select("h", "first").join(roots, nodes["h"] == roots["node"], "left")
+    kept = rooted.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.th").alias("_kept_th"))
+    own = docs.withColumn("_id", docs["doc_id"].cast("long")).withColumn("_th", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    found = own.join(kept, own["_id"].eqNullSafe(kept["_kept"]) & (own["_th"] == kept["_kept_th"]))
+    return found.dropDuplicates(["_id", "_th"]).select(*docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import xxhash
 from pyspark.sql import functions as F
 
@@ -81,3 +82,47 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 5, 7, 8, 9, 10, 11, 12, None]
     assert S.simhash_groups(no_docs).count() == 0 and S.drop_near_duplicates(no_docs).count() == 0
+
+
+def brute_near(texts, size=5):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))})
+    return [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+
+def test_near_copies_of_the_stage_equal_brute_force(spark):
+    """Copies with changed words (more than 2 bits apart), a chain of them, and texts just below the bound."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(150)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 12):
+            other = list(base)
+            for at in rng.sample(range(150), changes):
+                other[at] = word()
+            texts.append(" ".join(other))
+    base = [word() for _ in range(200)]
+    for k in range(0, 30, 3):
+        base[k * 6] = word()
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    roots = list(range(len(texts)))
+    pairs = brute_near(texts)
+    for _ in range(20):
+        for i, j in pairs:
+            roots[i] = roots[j] = min(roots[i], roots[j])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, d, "").collect()}
+    assert kept == {i for i, r in enumerate(roots) if i == r}
+    assert len(kept) < S.drop_near_duplicates(d).count()
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six"), (1, "one two three four five six"), (None, "red green blue"), (None, "red green blue"), (None, "RED green blue"), (None, "black"), (2, None), (3, "")]
+    got = S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in got), key=str)
+    assert seen == sorted([(1, rows[0][1]), (1, rows[1][1]), (None, "red green blue"), (None, "black"), (2, "")], key=str)
