@@ -10,18 +10,21 @@ never gets over twice its blocks, so no block is taken more than twice. Slots an
 by source and block number, which are spread evenly whatever a source's size.
 
 Defined results: null texts have size 0; null is a source of its own, the last; documents of size 0
-are taken 0 times; repeated rows are documents of their own. The order of the stream depends on ids
-and sizes alone, so reruns agree.
+are taken 0 times; repeated rows are documents of their own, and so are rows without id; an empty
+table gives none; further columns, whatever their names, stay. The order of the stream depends on ids
+and texts alone, so reruns agree. A very long text is as many blocks as it fills, which lie on
+different tasks; only the list of its taken blocks is held with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import cut, word_array, word_count
@@ -34,8 +37,9 @@ WEIGHTS = (5, 2, 1)
 SEED = 20_260
 #: The sources' sizes are planned on the driver; more sources than this are refused.
 MAX_SOURCES = 100_000
-#: Parts of a source's stream; their sizes are summed apart before the stream is numbered.
-PARTS = 1024
+#: Least number of parts of a source's stream, whose sizes are summed apart before the stream is
+#: numbered; there are more where a source has more than PER_PART rows for each.
+PARTS, PER_PART = 1024, 4096
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,7 @@ class Plan:
     targets: np.ndarray
     blocks: np.ndarray
     slots: np.ndarray
+    parts: int = PARTS
 
     @property
     def total(self) -> int:
@@ -74,26 +79,80 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def plan(sizes: dict[str, int]) -> Plan:
-    """sizes by source key; keys are '=' and the source, or '' for null."""
+def plan(sizes: dict[str, int], most_rows: int = 0) -> Plan:
+    """sizes by source key; keys are '=' and the source, or '' for null; most_rows: rows of the source with the most."""
     keys = sorted((k for k in sizes if k), key=lambda k: [ord(c) for c in k]) + [k for k in sizes if not k]
     n = [int(sizes[k]) for k in keys]
     wanted = targets(n, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(keys))])
     size = np.array(n, np.int64)
     blocks = -(-size // BLOCK)
     slots = np.array([min(MOST * int(b), round(t * int(b) / s)) if s else 0 for t, b, s in zip(wanted, blocks, n)], np.int64)
-    return Plan(keys, size, np.array(wanted), blocks, slots)
-
-
-def _draw(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    return Plan(keys, size, np.array(wanted), blocks, slots, max(PARTS, 1 << (most_rows // PER_PART).bit_length()))
+
+
+def _log_binomial(k: int, n: int, p: float) -> float:
+    """log of the binomial probability, exact for any size: by the deviance from the mean instead of large log factorials."""
+
+    def rest(m: int) -> float:  # log m! less Stirling's formula
+        return math.lgamma(m + 1) - (m + 0.5) * math.log(m) + m - 0.5 * math.log(2 * math.pi) if m < 16 else 1 / (12 * m) - 1 / (360 * m**3) + 1 / (1260 * m**5)
+
+    def deviance(x: int, mean: float) -> float:  # x log(x / mean) + mean - x
+        d = (x - mean) / (x + mean)
+        if abs(d) >= 0.1:
+            return x * math.log(x / mean) + mean - x
+        total, term, j = (x - mean) * d, 2 * x * d, 1
+        while True:
+            term *= d * d
+            after = total + term / (2 * j + 1)
+            if after == total:
+                return after
+            total, j = after, j + 1
+
+    if k < 0 or k > n or (p == 0 and k) or (p == 1 and k < n):
+        return -math.inf
+    if p in (0, 1):
+        return 0.0
+    if k == 0:
+        return n * math.log1p(-p)
+    if k == n:
+        return n * math.log(p)
+    return rest(n) - rest(k) - rest(n - k) - deviance(k, n * p) - deviance(n - k, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of `take` drawn are good, for populations of any size: the rejection method for
+    log-concave laws, from the mode, with a flat middle and exponential tails."""
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    p = take / (good + bad)
+    log = lambda k: _log_binomial(k, good, p) + _log_binomial(take - k, bad, p)
+    mode = min(high, max(low, (take + 1) * (good + 1) // (good + bad + 2)))
+    at_mode = log(mode)
+    top = math.exp(at_mode - _log_binomial(take, good + bad, p))
+    w = 1 + top / 2
+    while True:
+        u, v, s = rng.random(), rng.random(), rng.random()
+        y = rng.random() * w / top if u <= w / (1 + w) else (w + rng.standard_exponential()) / top
+        x = mode + (1 if s < 0.5 else -1) * round(y)
+        if low <= x <= high and math.log(v or 1e-300) + min(0.0, w - top * y) <= log(x) - at_mode:
+            return x
+
+
+#: numpy draws from populations below this; beyond it the same law is drawn source by source.
+NUMPY_MOST = 900_000_000
+
+
+def _draw(counts: np.ndarray, take: int, rng: np.random.Generator, most: int = NUMPY_MOST) -> np.ndarray:
     """Multinomial counts of `take` slots, conditioned on the counts that there are."""
-    total = int(counts.sum())
-    if total < 900_000_000:
+    left = int(counts.sum())
+    if left < most:
         return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    share = counts * (take / total)  # so many that the draw's spread doesn't show
-    out = np.minimum(np.floor(share).astype(np.int64), counts)
-    for i in np.argsort(out - share, kind="stable")[: take - int(out.sum())]:
-        out[i] += 1
+    out = np.zeros_like(counts)
+    for i, n in enumerate(counts.tolist()):
+        left -= n
+        out[i] = hypergeometric(n, left, take, rng)
+        take -= int(out[i])
     return out
 
 
@@ -142,14 +201,16 @@ def slots(spark: SparkSession, p: Plan, seed: int = SEED) -> DataFrame:
             for shard in batch.column(0).to_pylist():
                 first, counts = shard_counts(shard, p, seed)
                 source = np.repeat(np.arange(len(counts)), counts)
-                number = np.concatenate([np.arange(f, f + c) for f, c in zip(first, counts)]) if len(source) else source
-                block, turn = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-                for i in np.flatnonzero(counts):
-                    here = source == i
-                    turn[here] = number[here] // p.blocks[i]
-                    for t in np.unique(turn[here]):
-                        at = np.flatnonzero(here)[turn[here] == t]
-                        block[at] = permuted(number[at] % p.blocks[i], int(p.blocks[i]), (seed * 1_000_003 + int(i)) * 7 + int(t))
+                block, turn, begun = np.empty(len(source), np.int64), np.empty(len(source), np.int64), 0
+                for i in np.flatnonzero(counts):  # a source's slots lie side by side, and so do those of a pass
+                    number = np.arange(first[i], first[i] + counts[i])
+                    passes = number // p.blocks[i]
+                    for t in range(int(passes[0]), int(passes[-1]) + 1):
+                        some = number[np.searchsorted(passes, t) : np.searchsorted(passes, t, "right")]
+                        end = begun + len(some)
+                        turn[begun:end] = t
+                        block[begun:end] = permuted(some % p.blocks[i], int(p.blocks[i]), (seed * 1_000_003 + int(i)) * 7 + t)
+                        begun = end
                 place = np.random.default_rng([seed, 1, shard]).permutation(len(source))
                 cols = [np.full(len(source), shard), place, source.astype(np.int32), turn.astype(np.int32), block]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shard", "slot", "source_at", "pass", "block"])
@@ -158,30 +219,50 @@ def slots(spark: SparkSession, p: Plan, seed: int = SEED) -> DataFrame:
     return spark.range(0, p.shards, 1, width).mapInArrow(run, schema)
 
 
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """rid (a number of the row's own), doc_id, key (of the source), h (of the text) and size of every row, written once."""
+    text = docs["text"]
+    return cut(docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), _key(docs["source"]).alias("key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"), word_count(text).alias("size"), *more))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the source), h (of the text) and size of every row, written once."""
-    key = F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
-    return cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), key.alias("key"), F.xxhash64(docs["text"]).alias("h"), word_count(docs["text"]).alias("size")))
+    return _numbered(docs)
 
 
 def plan_of(sizes: DataFrame) -> Plan:
-    rows = sizes.groupBy("key").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = sizes.groupBy("key").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
-    return plan({r["key"]: r["n"] for r in rows})
+    return plan({r["key"]: r["n"] for r in rows}, max((r["rows"] for r in rows), default=0))
 
 
 def placed(sizes: DataFrame, p: Plan) -> DataFrame:
-    """sizes with source_at, source_size, target and start, the place of a row's first word in its source's stream."""
+    """sizes with source_at, source_size, target and start, the place of a row's first word in its source's stream.
+
+    Rows are in the order of part (by the hash of id and text), id and text's hash. Rows alike in these
+    are counted for each partition that wrote them before they are shuffled, and laid side by side, so
+    that any number of null ids or repeated rows gathers nowhere.
+    """
     spark = sizes.sparkSession
     rows = [(k, i, int(s), float(t)) for i, (k, s, t) in enumerate(zip(p.keys, p.sizes, p.targets))]
     sources = spark.createDataFrame(rows, "key string, source_at int, source_size long, target double")
-    each = sizes.join(F.broadcast(sources), "key").drop("key").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(PARTS)).cast("int"))
-    parts = each.groupBy("source_at", "part").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source_at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("source_at", "part", F.coalesce(before, F.lit(0)).alias("base"))
-    within = F.sum("size").over(Window.partitionBy("source_at", "part").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1))
-    return each.withColumn("within", F.coalesce(within, F.lit(0))).join(parts, ["source_at", "part"]).withColumn("start", F.col("base") + F.col("within")).drop("part", "base", "within")
+    each = sizes.join(F.broadcast(sources), "key").drop("key")  # at most MAX_SOURCES
+    each = each.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("written", F.shiftright("rid", 33))
+    each = each.withColumn("part", F.pmod(F.xxhash64("id", "h", F.lit(SEED)), F.lit(p.parts)).cast("int"))
+    alike = ["source_at", "part", "id", "h", "size", "written"]
+    kinds = each.groupBy(*alike).agg(F.count("*").alias("n"))
+    words = F.col("n") * F.col("size")
+    before = lambda by, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = kinds.groupBy("source_at", "part").agg(F.sum(words).alias("words"))
+    bases = parts.select("source_at", "part", before(["source_at"], ["part"], F.col("words")).alias("base"))
+    spots = kinds.select(*alike, before(["source_at", "part"], ["id", "h", "size", "written"], words).alias("within"))
+    spots = spots.join(bases, ["source_at", "part"]).select(*alike, (F.col("base") + F.col("within")).alias("begun"))
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy("rid")) - 1
+    return each.join(spots, alike).withColumn("start", F.col("begun") + nth * F.col("size")).select("rid", "doc_id", "source_at", "source_size", "target", "size", "start")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -212,7 +293,7 @@ def taken(docs: DataFrame) -> DataFrame:
     rows = placed(sizes, p)
     got = taken_pieces(rows, slots(docs.sparkSession, p))
     names = ["doc_id", "size", "source_size", "target"]
-    some = got.groupBy("source_at", "start", *names).agg(F.sum((F.col("end") - F.col("begin")) * F.coalesce("n", F.lit(0))).alias("taken"))
+    some = got.groupBy("rid", *names).agg(F.sum((F.col("end") - F.col("begin")) * F.coalesce("n", F.lit(0))).alias("taken"))
     none = rows.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
     return some.select(*names, "taken").unionByName(none)
 
@@ -221,21 +302,23 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for the words taken, and another for those taken twice.
 
     A document taken whole keeps its text; of others the taken words are joined by single spaces.
-    Documents of which nothing is taken go. n_chars, if there, follows the text.
+    Documents of which nothing is taken go. n_chars, if there, follows the text. Rows meet their
+    pieces by a number of their own, so nothing is gathered but a row's own pieces, and columns of
+    any name stay as they are.
     """
-    sizes = measured(docs)
+    whole = _numbered(docs, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    sizes = cut(whole.drop("row"))
     p = plan_of(sizes)
-    order = Window.partitionBy("_id").orderBy("_h")
-    number = sizes.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_h", F.col("h"))
-    number = number.withColumn("rn", F.row_number().over(order)).drop("_h")
-    got = taken_pieces(placed(number, p), slots(docs.sparkSession, p)).where("n > 0")
-    lists = got.groupBy("_id").agg(F.collect_list(F.struct("rn", "begin", "end", "n")).alias("_got"))
-    beside = docs.withColumn("_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64(docs["text"])).withColumn("_rn", F.row_number().over(order))
-    both = beside.join(lists, "_id").withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    both = both.withColumn("_ranges", F.sort_array(F.transform(F.filter("_got", lambda g: (g["rn"] == F.col("_rn")) & (g["n"] >= F.col("_copy"))), lambda g: F.struct(g["begin"].alias("b"), g["end"].alias("e")))))
-    both = both.where(F.size("_ranges") > 0)
-    words = F.aggregate("_ranges", F.lit(0).cast("long"), lambda a, g: a + g["e"] - g["b"])
-    part = F.array_join(F.flatten(F.transform("_ranges", lambda g: F.slice(word_array(docs["text"]), (g["b"] + 1).cast("int"), (g["e"] - g["b"]).cast("int")))), " ")
-    both = both.withColumn("_text", F.when(words == word_count(docs["text"]), docs["text"]).otherwise(part))
-    names = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast("long")} if "n_chars" in docs.columns else {})
-    return both.select(*(names[c].alias(c) if c in names else docs[c] for c in docs.columns))
+    got = taken_pieces(placed(sizes, p), slots(docs.sparkSession, p)).where("n > 0")
+    lists = got.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "n"))).alias("got"))
+    both = whole.select("rid", "row", "size").join(lists, "rid").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    both = both.withColumn("ranges", F.filter("got", lambda g: g["n"] >= F.col("copy"))).where(F.size("ranges") > 0)
+    words = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, g: a + g["end"] - g["begin"])
+    # The words go in as a lambda's own variable, so that a text is split once and not for each range.
+    part = lambda w: F.array_join(F.flatten(F.transform("ranges", lambda g: F.slice(w, (g["begin"] + 1).cast("int"), (g["end"] - g["begin"]).cast("int")))), " ")
+    text = F.when(words == F.col("size"), F.col("row.text")).otherwise(F.get(F.transform(F.array(word_array(F.col("row.text"))), part), F.lit(0)))
+    both = both.select("row", F.explode(F.array(text)).alias("text"))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return both.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -1,22 +1,25 @@
 """SimHash fingerprints of documents and near-duplicate groups among them.
 
 Candidates come from a segment-popcount embedding: a fingerprint maps to the bit counts of its
-sixteen 4-bit segments, and the Manhattan distance of two such vectors never exceeds the Hamming
+thirty-two 2-bit segments, and the Manhattan distance of two such vectors never exceeds the Hamming
 distance of the fingerprints. Two vectors within distance 2 have a vector within 1 of both, so
-each fingerprint is put into its own grid cell and the 32 cells beside it, and fingerprints that
-share a cell are candidates. Candidates are verified exactly by the same step on bits: two
-fingerprints differ in at most 2 bits exactly if they share a variant with at most one bit
-flipped. Members of a cell or a variant are compared through the group's smallest member and
-never in pairs, so a group of any size costs a bounded number of rows for each member.
+each fingerprint is put into its own grid cell and the (about 48) cells beside it, and fingerprints
+that share a cell are candidates. They are verified exactly in their cell: the two members of a cell
+at once, those of a cell of up to FEW by their bits, pair by pair. Only members of a fuller cell (a
+family of near copies, as strangers share a cell with a probability of 2e-11) are verified by the
+variants that differ from them in one bit: two fingerprints differ in at most 2 bits exactly if they
+share one, and all of a variant's members are linked to the smallest, so a family of any size costs a
+bounded number of rows for each member.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links
-like any other; a null doc_id gets the smallest non-null id reachable, or null; repeated rows stay.
+like any other; a null doc_id gets the smallest non-null id reachable, or null; repeated rows stay;
+an empty table gives none; further columns, whatever their names, don't matter. A text's shingles are
+hashed in chunks, so a very long one needs no more memory than its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -31,6 +34,9 @@ SHINGLE = 3
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory for its bits.
 CHUNK = 1 << 15
+#: Members of a cell that are compared pair by pair, and rows of a table that may be broadcast.
+FEW = 16
+SMALL = 500_000
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> Iterator[bytes]:
@@ -65,41 +71,75 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: The low bit of each segment.
+LOW = 0x5555555555555555
+
+
 def popcounts(fp: Column) -> Column:
-    """Bit counts of the sixteen 4-bit segments, each in its own four bits of a long."""
-    counts = [F.call_function("shiftleft", F.bit_count(F.shiftrightunsigned(fp, 4 * k).bitwiseAND(F.lit(15))).cast("long"), F.lit(4 * k)) for k in range(16)]
-    return reduce(lambda x, y: x.bitwiseOR(y), counts)
+    """Bit counts (0 to 2) of the thirty-two 2-bit segments, each in its own two bits of a long."""
+    low, high = fp.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW))
+    return F.call_function("shiftleft", low.bitwiseAND(high), F.lit(1)).bitwiseOR(low.bitwiseXOR(high))
 
 
 def cells(fp: Column) -> Column:
-    """The embedding's own grid cell and those at Manhattan distance 1 (the counts run from 0 to 4)."""
+    """The embedding's own grid cell and those at Manhattan distance 1."""
     own = popcounts(fp)
     beside = []
-    for k in range(16):
-        count = F.shiftrightunsigned(own, 4 * k).bitwiseAND(F.lit(15))
-        step = F.lit(1 << (4 * k)).cast("long")
-        beside += [F.when(count < 4, own + step), F.when(count > 0, own - step)]
+    for k in range(32):
+        count = own.bitwiseAND(F.lit(_signed(3 << (2 * k))))
+        # 0 and 1 differ in the low bit of a count, 1 and 2 in both.
+        beside += [F.when(count != _signed(2 << (2 * k)), own.bitwiseXOR(F.lit(_signed(1 << (2 * k))))), F.when(count != 0, own.bitwiseXOR(F.lit(_signed(3 << (2 * k)))))]
     return F.array_compact(F.array(own, *beside))
 
 
 def variants(fp: Column) -> Column:
     """The fingerprint and all that differ from it in one bit."""
-    flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
-    return F.array(fp, *(fp.bitwiseXOR(F.lit(x)) for x in flips))
+    return F.array(fp, *(fp.bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)))
 
 
 def stars(fps: DataFrame, keys: Column) -> DataFrame:
-    """(fp, least): each fingerprint with the smallest one that shares a key with it, for every
-    key of two or more. Groups are summed before the shuffle and members meet their group's
-    smallest by a join, which the engine may split; no group is gathered in a task."""
+    """(u, v): each fingerprint with the smallest one that shares a key with it. Groups are summed
+    before the shuffle and members meet their group's smallest by a join, which the engine may split;
+    no group is gathered in a task."""
     rows = fps.select("fp", F.explode(keys).alias("key"))
-    groups = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n"))
-    # A group of two is compared at once; most that meet by chance end here.
-    groups = groups.where("least < most and (n > 2 or bit_count(least ^ most) <= 2)").select("key", "least")
-    return rows.join(groups, "key").select("fp", "least")
+    groups = rows.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("key", "v")
+    return rows.join(groups, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
+
 
+def small_enough(df: DataFrame, rows: int = SMALL) -> bool:
+    """Whether a written table has few enough rows to be broadcast."""
+    return df.limit(rows + 1).count() <= rows
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def links(unique: DataFrame, few: int = FEW) -> DataFrame:
+    """(u, v), v < u: links among distinct fingerprints (fp) whose closure is that of all pairs within 2 bits."""
+    rows = unique.select("fp", F.explode(cells(F.col("fp"))).alias("key"))
+    groups = rows.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n"))
+    # Where strangers meet by chance they are two, and are told apart here.
+    groups = cut(groups.where("n > 2 or (n = 2 and bit_count(least ^ most) <= 2)"))
+    pairs = groups.where("n = 2").select(F.col("most").alias("u"), F.col("least").alias("v"))
+    full = groups.where("n > 2").select("key", "n")
+    if full.isEmpty():
+        return pairs
+    members = rows.join(F.broadcast(full) if small_enough(full) else full, "key")
+    held = members.where(F.col("n") <= few).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most `few` members
+    near = held.select("fps", F.explode("fps").alias("u")).select("u", F.explode(F.filter("fps", lambda x: (x < F.col("u")) & (F.bit_count(x.bitwiseXOR(F.col("u"))) <= 2))).alias("v"))
+    many = cut(members.where(F.col("n") > few).select("fp").distinct())
+    if many.isEmpty():
+        return pairs.unionByName(near)
+    return pairs.unionByName(near).unionByName(stars(_spread(many), variants(F.col("fp"))))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt to the session's number of partitions: few bytes now and many rows after explode."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(u, v), root being the smallest node reachable.
 
     Alternating large-star and small-star steps; each round is written to the shared checkpoint
@@ -111,9 +151,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = checksum(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    done = not before[0]
+    while not done:  # each round lowers some node's neighbour, or is the last
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -123,22 +162,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after_df = cut(small.where("u <> v").distinct())
         after = checksum(after_df)
         now, done, before = after_df, after == before, after
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     rows = cut(fingerprints(docs))
-    # Few bytes now and many rows after explode: an explicit number of partitions keeps them apart.
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    unique = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).repartition(width, "fp"))
-    candidates = cut(stars(unique.select("fp"), cells(F.col("fp"))).select("fp").distinct().repartition(width, "fp"))
-    links = stars(candidates, variants(F.col("fp"))).where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    roots = components(links)
+    unique = cut(_spread(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))))
+    roots = components(links(unique.select("fp")))
     rooted = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
@@ -150,35 +181,46 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: that with the group's smallest doc_id.
+def _first() -> Column:
+    """The first row of a group: smallest doc_id (null last), then by the hash of its text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
 
-    Rows with the same doc_id are one document, of which the first row stays; rows whose group
-    has no non-null doc_id all stay.
-    """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == kept["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    without = docs.where(docs["doc_id"].isNull())
-    if without.isEmpty():
-        return with_id
-    alone = near_duplicates(docs).where("doc_id is null and component_id is null").select("fp").distinct()
-    marked = _with_fingerprint(without)
-    return with_id.unionByName(marked.join(alone, marked["_fp"] == alone["fp"], "left_semi").drop("_fp"))
 
+def _only_first(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """docs with the first row of each group; nodes: node and first. Of rows that repeat both id and
+    text, that with the smallest hash of its columns stays."""
+    rooted = nodes.join(roots, "node", "left")
+    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
+    plain = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(*plain).alias("tie"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("own_th"))
+    found = own.join(kept, own["own_id"].eqNullSafe(kept["id"]) & (own["own_th"] == kept["th"]))
+    return found.groupBy("own_id", "own_th").agg(F.min_by("row", "tie").alias("row")).select("row.*")
 
-def _with_fingerprint(docs: DataFrame) -> DataFrame:
-    make = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
-    return docs.withColumn("_fp", make(F.coalesce(docs["text"], F.lit(""))))
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of fingerprints: that with the smallest doc_id (null last).
+
+    Rows that share an id but neither text nor fingerprint are documents of their own and stay."""
+    made = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
+    rows = cut(id_and_text(docs).select("doc_id", F.xxhash64("text").alias("th"), made("text").alias("fp")))
+    nodes = cut(_spread(rows.groupBy(F.col("fp").alias("node")).agg(_first())))
+    return _only_first(docs, nodes, components(links(nodes.select(F.col("node").alias("fp")))).select("node", "root"))
 
 
 # Near copies by the likeness of word shingles: two texts are near copies if the Jaccard likeness of
-# their sets of five-word shingles is at least 0.8. Candidates share one of BANDS MinHash keys of WIDE
-# values each (a pair of likeness 0.8 shares none with probability below 1e-4); in a key's group every
-# member is compared with two members, which differ from key to key, so no group costs its square; each
-# candidate pair is verified on the whole sets of shingles' hashes.
+# their sets of five-word shingles is at least 0.8. A fingerprint of 64 bits can't select these (a pair of
+# likeness 0.8 differs in 9.7 bits on average, and any radius that holds nearly all of them holds too many
+# strangers), so the candidates share one of BANDS MinHash keys of WIDE values each (a pair of likeness
+# 0.8 shares none with a probability below 1e-4), and are verified on the whole sets of shingles' hashes.
+# In a key's group members are first compared with one hub, which is the same for a family's keys, so a
+# family costs a few pairs for each member. Groups in which more than one component is left get other
+# hubs, and last of all their outsiders are compared with all members of other components, so that every
+# pair that shares a key is either compared or already linked.
 #: Words of a shingle and least likeness of near copies.
 NEAR_SHINGLE, NEAR = 5, 0.8
 BANDS, WIDE = 24, 5
+#: Hubs that a group's members are compared with before its outsiders are compared with all.
+HUBS = 3
 _RNG = np.random.default_rng(SEED)
 _MASKS = _RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64)[:, None]
 _FACTORS = (_RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64) | np.uint64(1))[:, None]
@@ -187,7 +229,7 @@ _FACTORS = (_RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64) | np.uint64(1))[:
 def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
     """Sorted distinct XXH64 of the text's shingles."""
     digest = xxhash.xxh64_intdigest
-    return np.array(sorted({digest(s, SEED) for s in shingles(lower_words(text), size)}), np.uint64)
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles(lower_words(text), size)), np.uint64))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -202,30 +244,25 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def keyed_rows(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, th (hash of the text), h (of the set of shingles) and keys of every row."""
+    """doc_id, th (hash of the text), h and n (hash and number of the set of shingles) and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, keys = [], []
+            hs, ns, keys = [], [], []
             for t in batch.column(1):
                 found = shingle_set(t.as_py(), size)
                 hs.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                ns.append(len(found))
                 keys.append(band_keys(found))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), lists], ["doc_id", "th", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), lists], ["doc_id", "th", "h", "n", "keys"])
 
-    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, keys array<long>")
+    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, n long, keys array<long>")
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(u, v): sets of shingles of at least that likeness. In a group of a key only pairs with its two
-    ends are compared, so members of a large group that are like each other but like no end are missed."""
-    rows = nodes.select("h", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.min(F.col("h").bitwiseXOR(F.col("key"))).alias("lo"), F.max(F.col("h").bitwiseXOR(F.col("key"))).alias("hi"))
-    groups = groups.where("lo < hi").select("key", F.array(F.col("lo").bitwiseXOR(F.col("key")), F.col("hi").bitwiseXOR(F.col("key"))).alias("ends"))
-    pairs = rows.join(groups, "key").select("h", F.explode("ends").alias("end")).where("h <> end")
-    pairs = cut(pairs.select(F.least("h", "end").alias("u"), F.greatest("h", "end").alias("v")).distinct())
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of the written pairs (u, v) of nodes those whose whole sets of shingles have the likeness."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,26 +278,60 @@ def near_links(docs: DataFrame, nodes: DataFrame, size: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     needed = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
-    wanted = needed.join(nodes, "h").select("h", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    wanted = cut(needed.join(nodes, "h").select("h", F.col("first.doc_id").alias("id"), F.col("first.th").alias("wanted_th")))
     texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["th"] == wanted["_th"])).groupBy("h").agg(F.min("text").alias("text"))
-    made = cut(texts.select("h", "text").mapInArrow(sets, "h long, hashes binary"))
+    here = F.broadcast(wanted) if small_enough(wanted) else wanted
+    texts = texts.join(here, texts["doc_id"].eqNullSafe(here["id"]) & (texts["th"] == here["wanted_th"]))
+    made = texts.select("h", "text").mapInArrow(sets, "h long, hashes binary").groupBy("h").agg(F.min("hashes").alias("hashes"))  # copies of one row have one set
+    made = cut(made)
     left = made.select(F.col("h").alias("u"), F.col("hashes").alias("a"))
     right = made.select(F.col("h").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+
+
+def _fits(similarity: float) -> Column:
+    """Whether the sizes of two sets allow the likeness."""
+    return F.least("n", "hub.n") >= F.lit(similarity) * F.greatest("n", "hub.n")
+
+
+def near_roots(docs: DataFrame, nodes: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR) -> DataFrame:
+    """(node, root) of nodes (h, n, keys, first) that have near copies."""
+    rows = nodes.select("h", "n", F.explode("keys").alias("key"))
+    groups = rows.groupBy("key").agg(F.min(F.struct("h", "n")).alias("hub"), F.max("h").alias("most")).where("hub.h < most").select("key", "hub")
+    live = cut(rows.join(groups, "key"))
+    ordered = lambda df: df.select(F.least("h", "hub.h").alias("u"), F.greatest("h", "hub.h").alias("v")).distinct()
+    tested = cut(ordered(live.where(F.col("h") != F.col("hub.h")).where(_fits(similarity))))
+    found = verified(docs, nodes, tested, size, similarity)
+    roots = components(found)
+    for turn in range(1, HUBS + 1):
+        labelled = live.select("key", "h", "n").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("c"))
+        each = F.struct("h", "n", "c")
+        # The next hub, by another order of the members; the last turn takes every outsider for a hub.
+        groups = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(each, F.xxhash64("h", F.lit(turn))).alias("hub")).where("low < high")
+        live = cut(labelled.join(groups.select("key", "hub"), "key"))
+        if live.isEmpty():
+            break
+        if turn < HUBS:
+            pairs = live
+        else:
+            counts = live.groupBy("key", "c").agg(F.count("*").alias("members"))
+            main = counts.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("main"))
+            outside = live.join(main, "key").where("c <> main").select("key", each.alias("hub"))
+            pairs = live.drop("hub").join(outside, "key")
+        pairs = ordered(pairs.where(F.col("c") != F.col("hub.c")).where(_fits(similarity)))
+        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
+        if not pairs.isEmpty():
+            more = verified(docs, nodes, pairs, size, similarity)
+            tested, found = tested.unionByName(pairs), found.unionByName(more)
+            if not more.isEmpty():
+                roots = components(found)
+    return roots
 
 
 def drop_near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR) -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest doc_id (a null one
     last), by the hash of its text among equal ids. Of rows that repeat both id and text one stays;
-    rows that share an id alone are told apart by their texts."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows that share an id alone are told apart by their texts. Null and empty texts are one group."""
     rows = cut(keyed_rows(docs, size))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    nodes = cut(rows.groupBy("h").agg(F.any_value("keys").alias("keys"), first).repartition(width, "h"))
-    roots = components(near_links(docs, nodes, size, similarity))
-    rooted = nodes.select("h", "first").join(roots, nodes["h"] == roots["node"], "left")
-    kept = rooted.groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.th").alias("_kept_th"))
-    own = docs.withColumn("_id", docs["doc_id"].cast("long")).withColumn("_th", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    found = own.join(kept, own["_id"].eqNullSafe(kept["_kept"]) & (own["_th"] == kept["_kept_th"]))
-    return found.dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    nodes = cut(_spread(rows.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), _first())))
+    return _only_first(docs, nodes.select(F.col("h").alias("node"), "first"), near_roots(docs, nodes, size, similarity))

@@ -52,8 +52,8 @@ def test_chains_and_large_groups(spark):
     fps = list(dict.fromkeys(chain + dense + lone))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     d = spark.createDataFrame([(f,) for f in signed], "fp long")
-    near = S.stars(S.stars(d, S.cells(F.col("fp"))).select("fp").distinct(), S.variants(F.col("fp"))).where("fp <> least")
-    found = {r["node"]: r["root"] for r in S.components(near.select(F.col("fp").alias("u"), F.col("least").alias("v"))).collect()}
+    near = S.links(d)
+    found = {r["node"]: r["root"] for r in S.components(near).collect()}
     groups = {}
     for k, r in enumerate(brute_components(fps)):
         groups.setdefault(r, []).append(signed[k])
@@ -126,3 +126,58 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     got = S.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     seen = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in got), key=str)
     assert seen == sorted([(1, rows[0][1]), (1, rows[1][1]), (None, "red green blue"), (None, "black"), (2, "")], key=str)
+
+
+def test_cells_of_every_fullness_find_the_same_links(spark):
+    """Families of 1 to 200 fingerprints: all cells compared in pairs, or all but the smallest by variants."""
+    rng = random.Random(9)
+    fps = set()
+    for size in (1, 2, 3, 10, 40, 200):
+        middle = rng.getrandbits(64)
+        fps |= {middle} | {middle ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(size)}
+    fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    roots = brute_components([f % (1 << 64) for f in fps])
+    want = {}
+    for f, r in zip(fps, roots):
+        want.setdefault(r, []).append(f)
+    d = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for few in (2, 16, 10_000):
+        found = {r["node"]: r["root"] for r in S.components(S.links(d, few)).collect()}
+        for members in want.values():
+            assert {found.get(m, m) for m in members} == {min(members)}
+
+
+def test_strangers_share_no_cell(spark):
+    """Of 300,000 random fingerprints no cell holds three, and none that differ in more bits are linked."""
+    d = spark.range(300_000).select(F.xxhash64("id").alias("fp"))
+    full = d.select(F.explode(S.cells(F.col("fp"))).alias("key")).groupBy("key").count().where("count > 2")
+    assert full.count() == 0 and S.links(d).count() == 0
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "aa bb cc dd ee"), (1, "zz yy xx ww vv"), (2, "aa bb cc dd ee"), (None, "aa bb cc dd ee")]
+    for drop in (S.drop_near_duplicates, S.drop_near_copies):
+        kept = sorted((r["doc_id"], r["text"]) for r in drop(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert kept == [(1, "aa bb cc dd ee"), (1, "zz yy xx ww vv")]
+
+
+def test_groups_that_one_hub_leaves_open_lose_no_link(spark):
+    """A family in which few members are alike enough to any one of them, beside strangers that share its passages."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(120):
+        other = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            other[at] = word()
+        texts.append(" ".join(other))
+    for _ in range(60):
+        texts.append(" ".join(base[: rng.randrange(60, 110)] + [word() for _ in range(rng.randrange(10, 40))]))
+    rng.shuffle(texts)
+    roots = list(range(len(texts)))
+    pairs = brute_near(texts)
+    for _ in range(40):
+        for i, j in pairs:
+            roots[i] = roots[j] = min(roots[i], roots[j])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in S.drop_near_copies(d).collect()} == {i for i, r in enumerate(roots) if i == r}
