@@ -1,14 +1,18 @@
 """Homomorphic multiset fingerprints of documents.
 
 A text is the multiset of its paragraphs (lines, cut after sentence ends). Each is hashed to a wide
-vector, and a fingerprint is the sum of these: 128 lanes of +1 or -1 modulo 2**16 and four uniform
+vector, and a fingerprint is the sum of these: 128 lanes of +1 or -1 modulo 2**32 and four uniform
 lanes modulo 2**64. The order of paragraphs doesn't matter; inserting or deleting some adds or
 subtracts their vectors. The uniform lanes decide equality; the cosine of the signed lanes
-estimates what share of the paragraphs two texts have in common (standard error about 0.09).
+estimates what share of the paragraphs two texts have in common (standard error about 0.09). A
+signed lane would wrap at 2**31 paragraphs, more than the bytes of any text that a row can hold.
 
 Defined results: a null text is empty; an empty text has no paragraphs and the zero fingerprint;
 two empty texts have likeness 1, an empty and another one 0. Documents are in ascending order of
-doc_id (null first), those with equal ids in the order of their texts; the first follows the last.
+doc_id (null first), those with equal ids in the order of their texts' hashes; the first follows the
+last. Repeated rows stay, each followed by the next; an empty table gives none; further columns,
+whatever their names, don't matter. A text's paragraphs are hashed in chunks; a task holds the texts
+of TOGETHER rows at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +35,10 @@ CHUNK = 1 << 15
 #: Rows whose texts a task holds as Python strings.
 TOGETHER = 256
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
+#: Rows of a range, and ranges of a task, beyond which there are more of them. The bounds of at most
+#: MAX_BUCKETS ranges (131 million rows) reach the driver; of a larger table the ranges grow instead.
 ROWS_PER_BUCKET = 2000
-#: Bounds of so many ranges of ids reach the driver and the tasks at most.
+RANGES_PER_TASK = 16
 MAX_BUCKETS = 1 << 16
 
 
@@ -50,7 +57,7 @@ class MultisetHash:
     __slots__ = ("signed", "wide")
 
     def __init__(self) -> None:
-        self.signed = np.zeros(LANES, np.uint16)
+        self.signed = np.zeros(LANES, np.uint32)
         self.wide = np.zeros(WIDE, np.uint64)
 
     @classmethod
@@ -65,7 +72,7 @@ class MultisetHash:
             digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=size).digest() for x in part), np.uint8).reshape(-1, size)
             bits = np.unpackbits(digests[:, : LANES // 8], axis=1).sum(axis=0, dtype=np.int64)
             wide = np.ascontiguousarray(digests[:, LANES // 8 :]).view("<u8").sum(axis=0, dtype=np.uint64)
-            yield (2 * bits - len(part)).astype(np.uint16), wide
+            yield (2 * bits - len(part)).astype(np.uint32), wide
 
     def insert(self, items: Iterable[bytes]) -> MultisetHash:
         for signed, wide in self._sums(items):
@@ -90,18 +97,18 @@ class MultisetHash:
     __hash__ = None  # type: ignore[assignment]
 
     def hex(self) -> str:
-        return (self.signed.astype("<u2").tobytes() + self.wide.astype("<u8").tobytes()).hex()
+        return (self.signed.astype("<u4").tobytes() + self.wide.astype("<u8").tobytes()).hex()
 
     @classmethod
     def from_hex(cls, text: str) -> MultisetHash:
         raw, out = bytes.fromhex(text), cls()
-        out.signed, out.wide = np.frombuffer(raw[: 2 * LANES], "<u2").copy(), np.frombuffer(raw[2 * LANES :], "<u8").copy()
+        out.signed, out.wide = np.frombuffer(raw[: 4 * LANES], "<u4").copy(), np.frombuffer(raw[4 * LANES :], "<u8").copy()
         return out
 
     def likeness(self, other: MultisetHash) -> float:
         if self == other:
             return 1.0
-        a, b = self.signed.view(np.int16).astype(np.float64), other.signed.view(np.int16).astype(np.float64)
+        a, b = self.signed.view(np.int32).astype(np.float64), other.signed.view(np.int32).astype(np.float64)
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return float(min(1.0, max(0.0, (a @ b) / norm))) if norm else 0.0
 
@@ -122,34 +129,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+class Ranges:
+    """Ranges of (key, hash): cut at the bounds of keys; a key that bounds repeat is cut by hash as well."""
+
+    def __init__(self, bounds: list[int]) -> None:
+        self.bounds, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+        self.times = np.concatenate([times, [1]])  # ranges that begin at or below each bound
+        self.first = np.cumsum(self.times) - self.times
+
+    def of(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, keys, side="left")
+        # The last range below a bound's key holds smaller keys too; the key itself spreads over all of them.
+        hot = np.zeros(len(keys), bool)
+        inside = at < len(self.bounds)
+        hot[inside] = (self.bounds[at[inside]] == keys[inside]) & (self.times[at[inside]] > 1)
+        part = np.zeros(len(keys), np.int64)
+        share = ((hashes >> np.int64(32)) + (1 << 31)) * (self.times[at] - 1) >> np.int64(32)
+        part[hot] = 1 + share[hot]
+        return self.first[at] + part
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, last, key, doc_id, text) in which each row is followed by the next document.
+    """Rows (bucket, last, key, th, doc_id, text) in which each row is followed by the next document.
 
-    Ids are cut into ranges by approximate quantiles; each range is gathered and sorted on its own,
-    and the first document of a range is also sent, marked last, to the range before it (that of the
-    first range to the last one). So texts are shuffled once and no task sees more than its ranges.
+    Ids are cut into ranges by approximate quantiles, and an id with more rows than a range by the hash
+    of the text as well; each range is gathered and sorted on its own, and the first document of a range
+    is also sent, marked last, to the range before it (that of the first range to the last one). So
+    texts are shuffled once and no task sees more than its ranges, whose number grows with the rows.
     """
-    d = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = d.count()
-    ranges = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-    bounds = np.empty(0, np.int64)
-    if ranges > 1:
-        at = [k / ranges for k in range(1, ranges)]
-        found = d.select(F.percentile_approx("key", at, 10 * ranges).alias("q")).first()["q"]
-        bounds = np.unique(np.array(found, np.int64))
-    bucket = F.pandas_udf(lambda keys: keys.map(lambda x: int(np.searchsorted(bounds, x, side="left"))), "int")
-    firsts = sorted((r["bucket"], r["first"]) for r in d.select("key").withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.min("key").alias("first")).collect())
+    d = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
+    n = docs.count()
+    cuts = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+    found: list[int] = []
+    if cuts > 1:
+        found = d.select(F.percentile_approx("key", [k / cuts for k in range(1, cuts)], 10 * cuts).alias("q")).first()["q"]
+    ranges = Ranges(found)
+    bucket = F.pandas_udf(lambda keys, hashes: pd.Series(ranges.of(keys.to_numpy(), hashes.to_numpy())), "long")
+    lowest = d.select("key", "th").withColumn("bucket", bucket("key", "th")).groupBy("bucket").agg(F.min(F.struct("key", "th")).alias("m"))
+    firsts = sorted((r["bucket"], tuple(r["m"])) for r in lowest.collect())  # a row for each range
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
 
-    def places(keys):
-        import pandas as pd
-
-        own = np.searchsorted(bounds, keys.to_numpy(), side="left")
-        return pd.Series([[2 * int(b), 2 * before[k] + 1] if k in before else [2 * int(b)] for b, k in zip(own, keys)])
+    def places(keys, hashes):
+        own = ranges.of(keys.to_numpy(), hashes.to_numpy())
+        return pd.Series([[2 * b, 2 * before[k] + 1] if k in before else [2 * b] for b, k in zip(own.tolist(), zip(keys.tolist(), hashes.tolist()))])
 
-    placed = d.withColumn("place", F.explode(F.pandas_udf(places, "array<long>")("key")))
-    placed = placed.select(F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2).alias("last"), "key", "doc_id", "text")
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "last", "key", "text")
+    placed = d.withColumn("place", F.explode(F.pandas_udf(places, "array<long>")("key", "th")))
+    placed = placed.select(F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2).alias("last"), "key", "th", "doc_id", "text")
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(firsts) // RANGES_PER_TASK)
+    return placed.repartition(width, "bucket").sortWithinPartitions("bucket", "last", "key", "th", "text")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -161,7 +188,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
         held = None
         for batch in (part.slice(k, TOGETHER) for part in batches for k in range(0, part.num_rows, TOGETHER)):
             rows = []
-            for bucket, last, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
+            for bucket, last, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5))):
                 if held and held[0] != bucket:
                     held = None
                 if last and not held:

@@ -35,7 +35,10 @@ def brute(rows):
 
 
 def ordered(frame):
-    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    from pyspark.sql import functions as F
+
+    rows = frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()
+    return [(r["doc_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["th"]))]
 
 
 @pytest.mark.parametrize("per", [2000, 7])
@@ -48,3 +51,44 @@ def test_equals_brute_force(docs, odd_docs, monkeypatch, per):
 
 def test_no_rows(no_docs):
     assert P.edit_likeness(no_docs).count() == 0 and P.fingerprints(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("n", [32_767, 32_768, 40_000, 70_000])
+def test_likeness_of_repeated_paragraphs(n):
+    """A multiset of one paragraph is like any other of it, however often it is there."""
+    line = b"the same line"
+    whole, half = MultisetHash().insert([line] * n), MultisetHash().insert([line] * (n // 2))
+    assert whole.likeness(half) == pytest.approx(1.0) and whole != half
+    assert MultisetHash.from_hex(whole.hex()) == whole
+
+
+def test_likeness_equals_the_cosine_of_plain_sums(docs):
+    """Brute force with a dictionary of paragraphs and unbounded numbers."""
+    from collections import Counter
+
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+
+    def lanes(text):
+        total = [0] * P.LANES
+        for item, times in Counter(P.paragraphs(text or "")).items():
+            raw = hashlib.blake2b(item, digest_size=P.LANES // 8 + 8 * P.WIDE).digest()
+            for k in range(P.LANES):
+                total[k] += times * (1 if raw[k // 8] >> (7 - k % 8) & 1 else -1)
+        return total
+
+    for a, b in zip(texts, texts[1:]):
+        x, y = lanes(a), lanes(b)
+        norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+        want = 1.0 if a == b else max(0.0, sum(v * w for v, w in zip(x, y)) / norm) if norm else 0.0
+        assert MultisetHash.of(a).likeness(MultisetHash.of(b)) == pytest.approx(want)
+
+
+def test_hot_ids_are_split(spark, monkeypatch):
+    """A third of the rows without id, a third with one id: ranges cut them by text, and each row has its next."""
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 50)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k % 400}. more {k % 11}.") for k in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, P.edit_likeness(frame).collect()), key=repr)
+    assert got == sorted(brute(ordered(frame)), key=repr)
+    sizes = [r["count"] for r in P.beside_next(frame).where("last = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300
