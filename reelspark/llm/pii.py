@@ -3,13 +3,16 @@
 The rules give the base spans. The tagger adds spans that the rules miss, such as a phone number
 without its country or a written-out address sign: it is a bidirectional LSTM over character
 classes with CRF transitions, trained in numpy from labelled spans (the base spans of a bounded
-sample of documents, and written variants of such data put into contexts of that sample). A text is
-tagged in overlapping windows around the characters that any personal data has; where windows
-overlap their emissions are averaged, and one Viterbi path is found through each whole stretch. A
-tagged span is added if it has its kind's digits or signs and doesn't touch another span.
-
-Defined results: a null text is empty and has no spans; repeated rows stay. Without any span in
-the sample the tagger learns from the written variants alone.
+sample of pieces of texts, and written variants of such data put into contexts of that sample). A
+text is tagged in overlapping windows around the characters and words that any personal data has;
+where windows overlap their emissions are averaged, and one Viterbi path is found through each whole
+stretch. The path is settled as soon as all tags' best paths agree, so a stretch of any length needs
+the memory of a chunk. A tagged span is added if it has its kind's digits or signs and doesn't touch
+another span.
+
+Defined results: a null text is empty and has no spans; repeated rows and rows without id stay; an
+empty table gives none; further columns, whatever their names, stay (redact) or don't matter.
+Without any span in the sample the tagger learns from the written variants alone.
 """
 
 from __future__ import annotations
@@ -27,9 +30,13 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import id_and_text, sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents looked at for labelled spans, and windows learned from, at most.
+#: The tagger is fitted on a bounded sample: about SAMPLE documents are looked at for labelled spans,
+#: whole, and of the PIECE characters long pieces of their stretches WINDOWS are learned from, at most.
 SAMPLE = 20_000
 WINDOWS = 3_000
+PIECE = 512
+#: Characters of a stretch that are tagged at a time.
+CHUNK = 1 << 13
 WIDTH = 64
 STEP = 32
 HIDDEN = 16
@@ -43,7 +50,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: What personal data has: a digit, an address sign, or one written out in brackets or before a written-out dot.
+_TRIGGER = re.compile(r"[0-9@]|[\[({<] ?[aA][tT] ?[\])}>]|(?<=[A-Za-z0-9]) [aA][tT] (?=[A-Za-z0-9-]+ [dD][oO][tT] )")
 
 
 def luhn(digits: str) -> bool:
@@ -124,10 +132,16 @@ def encoded(text: str) -> np.ndarray:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Unions of the parts within half a window of a trigger; other parts can hold no span."""
+    """Unions of the parts within half a window of a trigger, with the whole run of an address's characters
+    before one that is no digit; other parts can hold no span."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - STEP), min(len(text), m.end() + STEP)
+        if not text[m.start()].isdigit():
+            at, least = a, out[-1][1] if out else 0
+            while at > least and text[at] in _LOCAL and text[at - 1] in _LOCAL:
+                at -= 1
+            a = at
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -223,41 +237,91 @@ class Tagger:
         return float((total - gold).mean()), grad
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
-        best, back = e[0], np.zeros((len(e), TAGS), np.int64)
-        for s in range(1, len(e)):
-            moved = best[:, None] + self.p["t"]
-            back[s] = moved.argmax(axis=0)
-            best = moved.max(axis=0) + e[s]
-        path = np.zeros(len(e), np.int64)
-        path[-1] = best.argmax()
-        for s in range(len(e) - 1, 0, -1):
-            path[s - 1] = back[s, path[s]]
-        return path
+        path = Path(self.p["t"])
+        return np.concatenate([path.add(e), path.end()])
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
         """Tags of each stretch of text: windows side by side, averaged where they overlap, one path each."""
-        places = [(k, a) for k, t in enumerate(texts) for a in range(0, max(1, len(t) - WIDTH + STEP), STEP)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        paths = [Path(self.p["t"]) for _ in texts]
         codes = [encoded(t) for t in texts]
-        sums, counts = [np.zeros((len(t), TAGS)) for t in texts], [np.zeros(len(t)) for t in texts]
-        for k in range(0, len(places), 256):
-            part = places[k : k + 256]
-            x, mask = np.zeros((len(part), WIDTH), np.int64), np.zeros((len(part), WIDTH))
-            for r, (i, a) in enumerate(part):
-                w = codes[i][a : a + WIDTH]
-                x[r, : len(w)], mask[r, : len(w)] = w, 1
-            e, _ = self.emissions(x, mask)
-            for r, (i, a) in enumerate(part):
-                m = len(codes[i][a : a + WIDTH])
-                sums[i][a : a + m] += e[r, :m]
-                counts[i][a : a + m] += 1
-        return [self.viterbi(s / c[:, None]) if len(s) else np.empty(0, np.int64) for s, c in zip(sums, counts)]
+        # Chunks of all stretches side by side; of a longer one the next chunk follows on the last window.
+        over = [np.zeros((0, TAGS)) for _ in texts]
+        live, low = [k for k, t in enumerate(texts) if t], 0
+        while live:
+            places = [(k, a) for k in live for a in range(low, min(low + CHUNK, max(low + 1, len(texts[k]) - WIDTH + STEP)), STEP)]
+            sums = {k: np.zeros((min(CHUNK + STEP, len(texts[k]) - low), TAGS)) for k in live}
+            counts = {k: np.zeros(len(sums[k])) for k in live}
+            for k in live:
+                if low and len(over[k]):
+                    sums[k][: len(over[k])] += over[k]
+                    counts[k][: len(over[k])] += 1
+            for j in range(0, len(places), 256):
+                part = places[j : j + 256]
+                x, mask = np.zeros((len(part), WIDTH), np.int64), np.zeros((len(part), WIDTH))
+                for r, (i, a) in enumerate(part):
+                    w = codes[i][a : a + WIDTH]
+                    x[r, : len(w)], mask[r, : len(w)] = w, 1
+                e, _ = self.emissions(x, mask)
+                for r, (i, a) in enumerate(part):
+                    m = len(codes[i][a : a + WIDTH])
+                    sums[i][a - low : a - low + m] += e[r, :m]
+                    counts[i][a - low : a - low + m] += 1
+            after = []
+            for k in live:
+                more = len(texts[k]) - WIDTH + STEP > low + CHUNK  # windows begin beyond this chunk
+                n = CHUNK if more else len(sums[k])
+                out[k].append(paths[k].add(sums[k][:n] / counts[k][:n, None]))
+                if more:
+                    over[k] = sums[k][n:]
+                    after.append(k)
+            live, low = after, low + CHUNK
+        return [np.concatenate([*parts, path.end()]) if parts else np.empty(0, np.int64) for parts, path in zip(out, paths)]
+
+
+class Path:
+    """The best path through emissions that come in pieces; tags are given out once all best paths agree on them."""
+
+    def __init__(self, moves: np.ndarray) -> None:
+        self.moves, self.best, self.back = moves, None, []
+
+    def add(self, e: np.ndarray) -> np.ndarray:
+        """Goes on through e; the tags that are settled by it."""
+        for row in e:
+            if self.best is None:
+                self.best = row
+                continue
+            moved = self.best[:, None] + self.moves
+            self.back.append(moved.argmax(axis=0).astype(np.int8))
+            self.best = moved.max(axis=0) + row
+        if len(self.back) < CHUNK:
+            return np.empty(0, np.int64)
+        states, trail = np.arange(TAGS), []
+        for row in reversed(self.back):
+            states = row[states]
+            trail.append(states)
+        same = next((k for k, s in enumerate(trail) if (s == s[0]).all()), None)
+        if same is None:
+            return np.empty(0, np.int64)
+        done = np.array([s[0] for s in trail[same:]][::-1], np.int64)
+        self.back = self.back[len(done) :]
+        return done
+
+    def end(self) -> np.ndarray:
+        if self.best is None:
+            return np.empty(0, np.int64)
+        tags = [int(self.best.argmax())]
+        for row in reversed(self.back):
+            tags.append(int(row[tags[-1]]))
+        return np.array(tags[::-1], np.int64)
 
 
 def _holds(text: str, kind: int) -> bool:
     """The signs and digits that a tagged span must have."""
     d = len(digits_of(text))
     if kind == 0:
-        return len(text) >= 6 and "." in text and bool(re.search(r"[^\s@]@[^\s@]|[\[(]at[\])]", text))
+        signed = "." in text and re.search(r"[^\s@]@[^\s@]|[\[({<] ?[aA][tT] ?[\])}>]", text)
+        return len(text) >= 6 and bool(signed or re.fullmatch(r"[A-Za-z0-9._%+-]+ [aA][tT] [A-Za-z0-9-]+(?: [dD][oO][tT] [A-Za-z0-9-]+)+", text))
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(?:[.:]| \. )[0-9]{1,3}(?:[.:]| \. )[0-9]{1,3}(?:[.:]| \. )[0-9]{1,3}", text)) and all(int(x) <= 255 for x in _NUMBER.findall(text))
     if kind == 2:
@@ -308,7 +372,9 @@ def _variant(kind: int, rng: np.random.Generator) -> str:
     n = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
     w = lambda k: "".join(chr(97 + x) for x in rng.integers(0, 26, k))
     if kind == 0:
-        return f"{w(rng.integers(3, 8))}{n(rng.integers(0, 3))}{['@', '(at)', ' (at) ', '[at]', ' [at] '][rng.integers(0, 5)]}{w(rng.integers(3, 8))}.{['com', 'org', 'net'][rng.integers(0, 3)]}"
+        who, host, end = w(rng.integers(3, 8)) + n(rng.integers(0, 3)), w(rng.integers(3, 8)), ["com", "org", "net"][rng.integers(0, 3)]
+        sign = ["@", "(at)", " (at) ", "[at]", " [at] ", "( at )", " (AT) ", " at "][rng.integers(0, 8)]
+        return who + sign + host + (" dot " if sign == " at " else ".") + end
     if kind == 1:
         return ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == 2:
@@ -370,17 +436,17 @@ def train(texts: list[str], seed: int = 5, epochs: int = EPOCHS, most: int = WIN
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> Tagger:
-    """Learns from stretches of a bounded sample: those documents whose ids have the smallest hashes."""
+    """Learns from pieces of the stretches of a bounded sample: those documents whose ids and texts have the smallest hashes."""
     n = docs.count()
     share = min(1.0, sample / max(n, 1))
-    some = id_and_text(docs).withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
+    some = id_and_text(docs).withColumn("h", F.xxhash64("doc_id", "text")).where(F.col("h") <= min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(h, t[a:b][: 8 * WIDTH]) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for a, b in stretches(t)[:4]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], ["h", "part"])
+            found = [(h, c, t[c : min(b, c + PIECE)]) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) for a, b in stretches(t) for c in range(a, b, PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["h", "at", "part"])
 
-    parts = some.mapInArrow(run, "h long, part string").orderBy("h", "part").limit(most).collect()
+    parts = some.mapInArrow(run, "h long, at long, part string").orderBy(F.xxhash64("h", "at"), "h", "at", "part").limit(most).collect()
     return train([r["part"] for r in parts], most=most)
 
 

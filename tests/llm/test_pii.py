@@ -92,3 +92,46 @@ def test_windows_reconcile(model):
     text = "x " * 200 + "card 4111 1111 1111 1111 " + "y " * 200
     (base, added), = P.all_spans([text], model)
     assert len(base) == 1 and not any(a < base[0][2] and base[0][0] < b for a, _, b in added)
+
+
+def test_path_is_the_best_of_all(model, monkeypatch):
+    """Enumeration of every path of short stretches, and pieces of any length settle on the same path."""
+    from itertools import product
+
+    rng, moves = np.random.default_rng(4), model.p["t"]
+    for n in (1, 2, 4):
+        e = rng.normal(0, 2, (n, P.TAGS))
+        value = lambda p: sum(e[k, t] for k, t in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))
+        assert value(model.viterbi(e).tolist()) == pytest.approx(max(map(value, product(range(P.TAGS), repeat=n))))
+    e = rng.normal(0, 3, (500, P.TAGS))
+    want = model.viterbi(e)
+    monkeypatch.setattr(P, "CHUNK", 16)
+    path = P.Path(moves)
+    parts = [path.add(e[k : k + 7]) for k in range(0, 500, 7)]
+    assert sum(map(len, parts)) > 300 and np.array_equal(np.concatenate([*parts, path.end()]), want)
+
+
+def test_long_stretches_are_tagged_by_chunks(model, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("0123456789 .-+()@ab"), n)) for n in (1, 31, 32, 63, 64, 65, 96, 97, 300, 1000)]
+    want = model.tag(texts)
+    assert [len(t) for t in want] == [len(t) for t in texts]
+    for chunk in (32, 64, 160):
+        monkeypatch.setattr(P, "CHUNK", chunk)
+        assert all(np.array_equal(a, b) for a, b in zip(model.tag(texts), want))
+
+
+def test_written_out_signs_are_seen():
+    for text in ("write to bob (AT) example.com", "bob( at )example.com", "bob at example dot com now"):
+        assert P.stretches(text)
+    long_name = "x" * 90 + "(at)example.com"
+    assert P.stretches(long_name)[0][0] == 0 and not P.stretches("look at the page")
+
+
+def test_every_piece_of_a_sampled_document_may_be_learned_from(spark, monkeypatch):
+    """Data far inside a text counts as that at its head does."""
+    text = " ".join(f"page {k} word" if k % 9 else "mail bob@example.com" for k in range(3000))
+    seen = []
+    monkeypatch.setattr(P, "train", lambda parts, most: seen.extend(parts))
+    P.fit(spark.createDataFrame([(1, text), (2, "9" * 5000)], "doc_id long, text string"))
+    assert sum(map(len, seen)) >= 0.9 * (len(text) + 5000) and max(map(len, seen)) <= P.PIECE
