@@ -186,15 +186,23 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
 
 
-def _only_first(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def _repeated(rows: DataFrame) -> bool:
+    """Whether some rows repeat both id and text."""
+    return not rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _only_first(docs: DataFrame, nodes: DataFrame, roots: DataFrame, repeated: bool) -> DataFrame:
     """docs with the first row of each group; nodes: node and first. Of rows that repeat both id and
     text, that with the smallest hash of its columns stays."""
     rooted = nodes.join(roots, "node", "left")
-    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
+    kept = cut(rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th")))
     plain = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(*plain).alias("tie"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("own_th"))
-    found = own.join(kept, own["own_id"].eqNullSafe(kept["id"]) & (own["own_th"] == kept["th"]))
-    return found.groupBy("own_id", "own_th").agg(F.min_by("row", "tie").alias("row")).select("row.*")
+    here = F.broadcast(kept) if small_enough(kept) else kept
+    found = own.join(here, own["own_id"].eqNullSafe(here["id"]) & (own["own_th"] == here["th"]))
+    if repeated:
+        found = found.groupBy("own_id", "own_th").agg(F.min_by("row", "tie").alias("row"))
+    return found.select("row.*")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,7 +212,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     made = F.pandas_udf(lambda texts: texts.map(fingerprint), "long")
     rows = cut(id_and_text(docs).select("doc_id", F.xxhash64("text").alias("th"), made("text").alias("fp")))
     nodes = cut(_spread(rows.groupBy(F.col("fp").alias("node")).agg(_first())))
-    return _only_first(docs, nodes, components(links(nodes.select(F.col("node").alias("fp")))).select("node", "root"))
+    return _only_first(docs, nodes, components(links(nodes.select(F.col("node").alias("fp")))).select("node", "root"), _repeated(rows))
 
 
 # Near copies by the likeness of word shingles: two texts are near copies if the Jaccard likeness of
@@ -212,15 +220,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 # likeness 0.8 differs in 9.7 bits on average, and any radius that holds nearly all of them holds too many
 # strangers), so the candidates share one of BANDS MinHash keys of WIDE values each (a pair of likeness
 # 0.8 shares none with a probability below 1e-4), and are verified on the whole sets of shingles' hashes.
-# In a key's group members are first compared with one hub, which is the same for a family's keys, so a
-# family costs a few pairs for each member. Groups in which more than one component is left get other
-# hubs, and last of all their outsiders are compared with all members of other components, so that every
-# pair that shares a key is either compared or already linked.
+# In a key's group members are first compared with one hub, that with the most neighbours, which is the
+# same for a family's keys, so a family costs a few pairs for each member. Groups in which more than one
+# component is left get another hub, the member with the fewest shingles of its own; last of all their
+# outsiders are compared with the members of other components that they may be like at all: two sets
+# share at most what neither has alone, which leaves out nearly all of a loose family. So every pair that
+# shares a key is compared, already linked, or too unlike by its sizes.
 #: Words of a shingle and least likeness of near copies.
 NEAR_SHINGLE, NEAR = 5, 0.8
 BANDS, WIDE = 24, 5
-#: Hubs that a group's members are compared with before its outsiders are compared with all.
-HUBS = 3
 _RNG = np.random.default_rng(SEED)
 _MASKS = _RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64)[:, None]
 _FACTORS = (_RNG.integers(0, 1 << 64, BANDS * WIDE, np.uint64) | np.uint64(1))[:, None]
@@ -244,84 +252,108 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def keyed_rows(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, th (hash of the text), h and n (hash and number of the set of shingles) and keys of every row."""
+    """doc_id, th (hash of the text), h (of the set of shingles) and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, ns, keys = [], [], []
+            hs, keys = [], []
             for t in batch.column(1):
                 found = shingle_set(t.as_py(), size)
                 hs.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                ns.append(len(found))
                 keys.append(band_keys(found))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), lists], ["doc_id", "th", "h", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), lists], ["doc_id", "th", "h", "keys"])
 
-    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, n long, keys array<long>")
+    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, keys array<long>")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of the written pairs (u, v) of nodes those whose whole sets of shingles have the likeness."""
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """h and hashes, the written sets of shingles, of the wanted nodes (h)."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], ["h", "hashes"])
 
+    found = cut(wanted.join(nodes, "h").select("h", F.col("first.doc_id").alias("id"), F.col("first.th").alias("wanted_th")))
+    texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
+    here = F.broadcast(found) if small_enough(found) else found
+    texts = texts.join(here, texts["doc_id"].eqNullSafe(here["id"]) & (texts["th"] == here["wanted_th"]))
+    made = texts.select("h", "text").mapInArrow(run, "h long, hashes binary")
+    return cut(made.groupBy("h").agg(F.min("hashes").alias("hashes")) if repeated else made)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of nodes those whose whole sets of shingles have the likeness, written."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
             for a, b in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 near.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    needed = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
-    wanted = cut(needed.join(nodes, "h").select("h", F.col("first.doc_id").alias("id"), F.col("first.th").alias("wanted_th")))
-    texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
-    here = F.broadcast(wanted) if small_enough(wanted) else wanted
-    texts = texts.join(here, texts["doc_id"].eqNullSafe(here["id"]) & (texts["th"] == here["wanted_th"]))
-    made = texts.select("h", "text").mapInArrow(sets, "h long, hashes binary").groupBy("h").agg(F.min("hashes").alias("hashes"))  # copies of one row have one set
-    made = cut(made)
-    left = made.select(F.col("h").alias("u"), F.col("hashes").alias("a"))
-    right = made.select(F.col("h").alias("v"), F.col("hashes").alias("b"))
+    left = sets.select(F.col("h").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("h").alias("v"), F.col("hashes").alias("b"))
     return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
 
 
-def _fits(similarity: float) -> Column:
-    """Whether the sizes of two sets allow the likeness."""
-    return F.least("n", "hub.n") >= F.lit(similarity) * F.greatest("n", "hub.n")
+def lone_counts(sets: DataFrame) -> DataFrame:
+    """h, n (members of the set) and lone (those that no other of the sets has)."""
 
-
-def near_roots(docs: DataFrame, nodes: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR) -> DataFrame:
-    """(node, root) of nodes (h, n, keys, first) that have near copies."""
-    rows = nodes.select("h", "n", F.explode("keys").alias("key"))
-    groups = rows.groupBy("key").agg(F.min(F.struct("h", "n")).alias("hub"), F.max("h").alias("most")).where("hub.h < most").select("key", "hub")
-    live = cut(rows.join(groups, "key"))
-    ordered = lambda df: df.select(F.least("h", "hub.h").alias("u"), F.greatest("h", "hub.h").alias("v")).distinct()
-    tested = cut(ordered(live.where(F.col("h") != F.col("hub.h")).where(_fits(similarity))))
-    found = verified(docs, nodes, tested, size, similarity)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], ["h", "shingle"])
+
+    each = sets.mapInArrow(run, "h long, shingle long")
+    lone = each.groupBy("shingle").agg(F.min("h").alias("h"), F.count("*").alias("k")).where("k = 1").groupBy("h").agg(F.count("*").alias("lone"))
+    sizes = sets.select("h", (F.octet_length("hashes") / 8).cast("long").alias("n"))
+    return sizes.join(lone, "h", "left").select("h", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
+def _may_link(similarity: float) -> Column:
+    """Whether a member and a hub can have the likeness: they share at most what is not lone in either."""
+    shared = F.least(F.col("n") - F.col("lone"), F.col("hub.n") - F.col("hub.lone"))
+    return shared >= F.lit(similarity) * (F.col("n") + F.col("hub.n") - shared)
+
+
+def near_roots(docs: DataFrame, nodes: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR, repeated: bool = True) -> DataFrame:
+    """(node, root) of nodes (h, keys, first) that have near copies."""
+    rows = nodes.select("h", F.explode("keys").alias("key"))
+    groups = cut(rows.groupBy("key").agg(F.min("h").alias("u"), F.max("h").alias("v"), F.count("*").alias("members")).where("members > 1"))
+    full = groups.where("members > 2").select("key", "members")
+    live = cut(rows.join(F.broadcast(full) if small_enough(full) else full, "key"))
+    popular = live.groupBy("h").agg(F.sum("members").alias("met"))
+    hubs = live.join(popular, "h").groupBy("key").agg(F.max_by("h", F.struct("met", "h")).alias("hub"))
+    with_hub = live.join(hubs, "key").where("h <> hub").select(F.least("h", "hub").alias("u"), F.greatest("h", "hub").alias("v"))
+    tested = cut(groups.where("members = 2").select("u", "v").unionByName(with_hub).distinct())
+    needed = tested.select(F.col("u").alias("h")).unionByName(tested.select(F.col("v").alias("h"))).distinct()
+    sets = sets_of(docs, nodes, needed, size, repeated)
+    found = verified(tested, sets, similarity)
     roots = components(found)
-    for turn in range(1, HUBS + 1):
-        labelled = live.select("key", "h", "n").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("c"))
-        each = F.struct("h", "n", "c")
-        # The next hub, by another order of the members; the last turn takes every outsider for a hub.
-        groups = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(each, F.xxhash64("h", F.lit(turn))).alias("hub")).where("low < high")
-        live = cut(labelled.join(groups.select("key", "hub"), "key"))
+    for turn in ("hub", "outsiders"):
+        labelled = live.select("key", "h").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("c"))
+        open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        live = cut(labelled.join(open_, "key"))
         if live.isEmpty():
             break
-        if turn < HUBS:
-            pairs = live
+        if turn == "hub":
+            lone = cut(lone_counts(sets.join(live.select("h").distinct(), "h", "left_semi")))
+        member = live.join(lone, "h").where(F.col("n") - F.col("lone") >= F.lit(similarity) * F.col("n"))
+        each = F.struct("h", "c", "n", "lone")
+        if turn == "hub":
+            hubs = member.groupBy("key").agg(F.min_by(each, F.struct(F.col("lone") / F.col("n"), "h")).alias("hub"))
         else:
-            counts = live.groupBy("key", "c").agg(F.count("*").alias("members"))
+            counts = member.groupBy("key", "c").agg(F.count("*").alias("members"))
             main = counts.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("main"))
-            outside = live.join(main, "key").where("c <> main").select("key", each.alias("hub"))
-            pairs = live.drop("hub").join(outside, "key")
-        pairs = ordered(pairs.where(F.col("c") != F.col("hub.c")).where(_fits(similarity)))
+            hubs = member.join(main, "key").where("c <> main").select("key", each.alias("hub"))
+        pairs = member.join(hubs, "key").where((F.col("c") != F.col("hub.c")) & _may_link(similarity)).select(F.least("h", "hub.h").alias("u"), F.greatest("h", "hub.h").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         if not pairs.isEmpty():
-            more = verified(docs, nodes, pairs, size, similarity)
+            more = verified(pairs, sets, similarity)
             tested, found = tested.unionByName(pairs), found.unionByName(more)
             if not more.isEmpty():
                 roots = components(found)
@@ -333,5 +365,7 @@ def drop_near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: floa
     last), by the hash of its text among equal ids. Of rows that repeat both id and text one stays;
     rows that share an id alone are told apart by their texts. Null and empty texts are one group."""
     rows = cut(keyed_rows(docs, size))
-    nodes = cut(_spread(rows.groupBy("h").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), _first())))
-    return _only_first(docs, nodes.select(F.col("h").alias("node"), "first"), near_roots(docs, nodes, size, similarity))
+    nodes = cut(_spread(rows.groupBy("h").agg(F.first("keys").alias("keys"), _first())))
+    repeated = _repeated(rows)
+    roots = near_roots(docs, nodes, size, similarity, repeated)
+    return _only_first(docs, nodes.select(F.col("h").alias("node"), "first"), roots, repeated)
