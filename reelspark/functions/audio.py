@@ -32,13 +32,17 @@ def loudness(power: Column) -> Column:
     return F.when(power > 0, F.lit(OFFSET) + 10 * F.log10(power))
 
 
-def verdict_ok(lufs: Column, peak: Column, target: Column, tolerance: Column, limit: Column) -> Column:
-    """False if unmeasured, off the target by more than its tolerance (if it has one), or over the peak limit."""
+def verdict_ok(lufs: Column, peak: Column, target: Column, tolerance: Column, limit: Column, lra: Column | None = None, most_lra: Column | None = None) -> Column:
+    """False if unmeasured, off the target by more than its tolerance (if it has one), over the peak limit,
+    or of a wider range than is allowed (if there is a limit)."""
     level = tolerance.isNull() | (F.abs(lufs - target) <= tolerance + 1e-9)
-    return F.coalesce(level & F.coalesce(peak <= limit + 1e-9, F.lit(True)), F.lit(False))
+    ok = level & F.coalesce(peak <= limit + 1e-9, F.lit(True))
+    if lra is not None and most_lra is not None:
+        ok = ok & F.coalesce(lra <= most_lra, F.lit(True))
+    return F.coalesce(ok, F.lit(False))
 
 
-def verdict_messages(lufs: Column, peak: Column, target: Column, tolerance: Column, limit: Column) -> Column:
+def verdict_messages(lufs: Column, peak: Column, target: Column, tolerance: Column, limit: Column, lra: Column | None = None, most_lra: Column | None = None) -> Column:
     """Why a measurement fails, in order; platforms without a tolerance give notes alone."""
     off = F.round(lufs - target, 1)
     said = F.array(
@@ -46,6 +50,7 @@ def verdict_messages(lufs: Column, peak: Column, target: Column, tolerance: Colu
         F.when(tolerance.isNotNull() & (F.abs(lufs - target) > tolerance + 1e-9), F.format_string("%.1f LU off the target", off)),
         F.when(tolerance.isNull() & (F.abs(lufs - target) > 1), F.format_string("note: %.1f LU off the level it is played at", off)),
         F.when(peak > limit + 1e-9, F.format_string("true peak %.1f over %.1f", peak, limit)),
+        F.when(lra > most_lra, F.format_string("range of %.1f LU over %.1f", lra, most_lra)) if lra is not None and most_lra is not None else F.lit(None).cast("string"),
     )
     return F.array_compact(said)
 
@@ -121,42 +126,56 @@ def encode_pcm(x: np.ndarray, bits: int, is_float: bool = False, dither: np.rand
     return y.astype(f"<i{bits // 8}").tobytes()
 
 
+#: Analog prototypes H(s) of the audio cookbook, as coefficients of 1, s and s squared over
+#: those of 1, s / Q and s squared; A is the root of the gain.
+PROTOTYPES = {
+    "lowpass": lambda a, q: ((1, 0, 0), (1, 1 / q, 1)),
+    "highpass": lambda a, q: ((0, 0, 1), (1, 1 / q, 1)),
+    "bandpass": lambda a, q: ((0, 1 / q, 0), (1, 1 / q, 1)),
+    "notch": lambda a, q: ((1, 0, 1), (1, 1 / q, 1)),
+    "bell": lambda a, q: ((1, a / q, 1), (1, 1 / (a * q), 1)),
+    "lowshelf": lambda a, q: ((a * a, a * math.sqrt(a) / q, a), (1, math.sqrt(a) / q, a)),
+    "highshelf": lambda a, q: ((a, a * math.sqrt(a) / q, a * a), (a, math.sqrt(a) / q, 1)),
+}
+
+
+def bilinear(analog: tuple[tuple[float, ...], tuple[float, ...]], k: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator in z of an analog section in s, with s = (1 - 1/z) / (1 + 1/z) / k."""
+    # 1, s and s squared, times (1 + 1/z) squared and k squared, as polynomials in 1/z.
+    basis = np.array([[1, 2, 1], [1, 0, -1], [1, -2, 1]]) * np.array([k * k, k, 1.0])[:, None]
+    top, bottom = (np.asarray(x, float) @ basis for x in analog)
+    return top / bottom[0], bottom / bottom[0]
+
+
 def rbj_biquad(kind: str, freq: float, rate: float, gain_db: float = 0.0, q: float = 0.7071) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a second-order section, by the audio cookbook's published formulas."""
-    w = 2 * math.pi * min(freq, rate * 0.49) / rate
-    cos, alpha, amp = math.cos(w), math.sin(w) / (2 * q), 10 ** (gain_db / 40)
-    root = 2 * math.sqrt(amp) * alpha
-    table = {
-        "lowpass": ([(1 - cos) / 2, 1 - cos, (1 - cos) / 2], [1 + alpha, -2 * cos, 1 - alpha]),
-        "highpass": ([(1 + cos) / 2, -(1 + cos), (1 + cos) / 2], [1 + alpha, -2 * cos, 1 - alpha]),
-        "notch": ([1, -2 * cos, 1], [1 + alpha, -2 * cos, 1 - alpha]),
-        "bell": ([1 + alpha * amp, -2 * cos, 1 - alpha * amp], [1 + alpha / amp, -2 * cos, 1 - alpha / amp]),
-        "lowshelf": (
-            [amp * (amp + 1 - (amp - 1) * cos + root), 2 * amp * (amp - 1 - (amp + 1) * cos), amp * (amp + 1 - (amp - 1) * cos - root)],
-            [amp + 1 + (amp - 1) * cos + root, -2 * (amp - 1 + (amp + 1) * cos), amp + 1 + (amp - 1) * cos - root],
-        ),
-        "highshelf": (
-            [amp * (amp + 1 + (amp - 1) * cos + root), -2 * amp * (amp - 1 + (amp + 1) * cos), amp * (amp + 1 + (amp - 1) * cos - root)],
-            [amp + 1 - (amp - 1) * cos + root, 2 * (amp - 1 - (amp + 1) * cos), amp + 1 - (amp - 1) * cos - root],
-        ),
-    }
-    b, a = table[kind]
-    return np.array(b) / a[0], np.array(a) / a[0]
+    """Numerator and denominator of a second-order section at freq (kept below the Nyquist frequency)."""
+    return bilinear(PROTOTYPES[kind](10 ** (gain_db / 40), q), math.tan(math.pi * min(freq / rate, 0.49)))
 
 
 def butterworth_qs(order: int) -> list[float]:
-    return [1 / (2 * math.cos(math.pi * (2 * k + 1) / (2 * order))) for k in range(order // 2)]
+    """Qs of the sections of a Butterworth filter: its poles lie evenly on the left half circle."""
+    poles = np.exp(1j * np.pi * (0.5 + (np.arange(order // 2) + 0.5) / order))
+    return (-0.5 / poles.real)[::-1].tolist()
+
+
+def highpass_linear(freq: float, rate: float) -> np.ndarray:
+    """Taps of a linear-phase high-pass: a whole sample less a Blackman-windowed low-pass (four periods a side)."""
+    half = max(1, int(4 * rate / freq))
+    low = np.sinc(2 * freq / rate * np.arange(-half, half + 1)) * np.blackman(2 * half + 1)
+    taps = -low / low.sum()
+    taps[half] += 1
+    return taps
 
 
 def k_weighting(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The two sections of the loudness weighting (published parameters), by bilinear transform."""
-    k, vh = math.tan(math.pi * 1681.974450955533 / rate), 10 ** (3.999843853973347 / 20)
-    vb, q = vh**0.4996667741545416, 0.7071752369554196
-    a0 = 1 + k / q + k * k
-    shelf = np.array([(vh + vb * k / q + k * k), 2 * (k * k - vh), (vh - vb * k / q + k * k)]) / a0, np.array([a0, 2 * (k * k - 1), 1 - k / q + k * k]) / a0
-    k, q = math.tan(math.pi * 38.13547087602444 / rate), 0.5003270373238773
-    a0 = 1 + k / q + k * k
-    return [shelf, (np.array([1.0, -2.0, 1.0]), np.array([a0, 2 * (k * k - 1), 1 - k / q + k * k]) / a0)]
+    """The two sections of the loudness weighting (published parameters): a shelf of nearly 4 dB and a high-pass."""
+    # Frequency, Q and gain of the shelf, the exponent of its band gain; frequency and Q of the high-pass.
+    shelf_hz, shelf_q, shelf_db, band = 1681.974450955533, 0.7071752369554196, 3.999843853973347, 0.4996667741545416
+    high_hz, high_q = 38.13547087602444, 0.5003270373238773
+    high = 10 ** (shelf_db / 20)
+    shelf = bilinear(((1, high**band / shelf_q, high), (1, 1 / shelf_q, 1)), math.tan(math.pi * shelf_hz / rate))
+    b, a = bilinear(((0, 0, 1), (1, 1 / high_q, 1)), math.tan(math.pi * high_hz / rate))
+    return [shelf, (b / b[0], a)]
 
 
 def response_db(sections: list[tuple[np.ndarray, np.ndarray]], freq: np.ndarray, rate: float) -> np.ndarray:
@@ -185,14 +204,17 @@ def convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[: len(x)]
 
 
-def true_peak(x: np.ndarray, rate: float, taps: int = 48) -> float:
-    """Largest absolute value between the samples too, by windowed-sinc oversampling."""
+def between(rate: float, taps: int = 48) -> list[np.ndarray]:
+    """Windowed-sinc taps that give the points between samples (three, one or none, by the rate), taps / 2 samples late."""
     over = 4 if rate < 96_000 else 2 if rate < 192_000 else 1
+    k, window = np.arange(-taps // 2 + 1, taps // 2 + 1), np.kaiser(taps + 2, 8.0)[1:-1]
+    made = [np.sinc(k - phase / over) * window for phase in range(1, over)]
+    return [h / h.sum() for h in made]
+
+
+def true_peak(x: np.ndarray, rate: float, taps: int = 48) -> float:
+    """Largest absolute value between the samples too."""
     if not len(x):
         return 0.0
-    best, k = float(np.abs(x).max()), np.arange(-taps // 2 + 1, taps // 2 + 1)
-    for phase in range(1, over):
-        at = k - phase / over
-        h = np.sinc(at) * np.kaiser(taps + 2, 8.0)[1:-1]
-        best = max(best, float(np.abs(convolve(np.concatenate([x, np.zeros(taps)]), h / h.sum())).max()))
-    return best
+    longer = np.concatenate([x, np.zeros(taps)])
+    return max([float(np.abs(x).max()), *(float(np.abs(convolve(longer, h)).max()) for h in between(rate, taps))])

@@ -139,6 +139,42 @@ def human_time(seconds: Column) -> Column:
     return F.when(s < 60, F.format_string("%d s", s)).when(s < 3600, F.format_string("%d min %d s", minutes, s % 60)).otherwise(F.format_string("%d h %02d min", F.floor(s / 3600).cast("long"), minutes % 60))
 
 
+def format_db(db: Column, off: float = -60.05) -> Column:
+    """'+3.0 dB', '-12.5 dB', '0.0 dB'; '-inf' where a fader is off."""
+    shown = F.when(F.abs(db) < 0.05, "0.0 dB").otherwise(F.format_string("%+.1f dB", db))
+    return F.when(db <= off, "-inf").otherwise(shown)
+
+
+def format_pan(pan: Column) -> Column:
+    """'C', 'L30' or 'R100' of -1 to 1."""
+    share = F.bround(pan * 100).cast("int")
+    return F.when(share == 0, "C").when(share < 0, F.concat(F.lit("L"), (-share).cast("string"))).otherwise(F.concat(F.lit("R"), share.cast("string")))
+
+
+def forward(path: Column) -> Column:
+    """The path with forward slashes."""
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def clip_order(path: Column) -> Column:
+    """The order of video clips: by path, whatever the case."""
+    return F.lower(path)
+
+
+def is_take_file(name: Column) -> Column:
+    """A file of a take's tracks or of its mix, which are kept together."""
+    return stem(name).rlike("(?i)_(?:ISO|LR)$")
+
+
+def looks_stereo(tracks: Column, name: Column) -> Column:
+    """Two tracks that are a left and a right: by the file's name, or names that differ in a last l and r."""
+    low = F.transform(tracks, lambda x: F.lower(F.trim(x)))
+    a, b = F.get(low, F.lit(0)), F.get(low, F.lit(1))
+    sides = F.concat_ws("|", a, b).isin("l|r", "left|right", "mix l|mix r", "mixl|mixr")
+    ends = (F.length(a) > 0) & (F.regexp_replace(a, ".$", "") == F.regexp_replace(b, ".$", "")) & a.endswith("l") & b.endswith("r")
+    return (F.size(tracks) == 2) & (stem(name).rlike("(?i)_LR$") | sides | ends)
+
+
 def html_escaped(text: Column) -> Column:
     for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(old), F.lit(new))

@@ -67,10 +67,14 @@ def ranked(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
 
 
 def metadata_differences(df: DataFrame, group: list[str], fields: list[str], rank: str = "rank") -> DataFrame:
-    """group, and for each field its distinct values in rank order, null where there is one alone."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(rank), *(F.col(f).cast("string").alias(f) for f in fields))))
-    values = {f: F.array_distinct(F.col(f"_rows.{f}")) for f in fields}
-    return df.groupBy(*group).agg(rows.alias("_rows")).select(*group, *(F.when(F.size(v) > 1, F.array_join(v, " | ", "")).alias(f) for f, v in values.items()))
+    """group, and for each field its distinct values in rank order, null where there is one alone.
+
+    Each value is counted once for its group, at its least rank, before the values are gathered."""
+    each = df.select(*group, F.col(rank).alias("_rank"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("_v"))
+    kinds = each.groupBy(*group, F.col("_v.field").alias("_field"), F.col("_v.value").alias("_value")).agg(F.min("_rank").alias("_rank"))
+    lists = kinds.groupBy(*group, "_field").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_value"))), lambda x: x["_value"]).alias("_values"))
+    shown = F.when(F.size("_values") > 1, F.array_join("_values", " | ", ""))
+    return lists.groupBy(*group).agg(*(F.max(F.when(F.col("_field") == f, shown)).alias(f) for f in fields))
 
 
 def wasted(df: DataFrame, group: list[str], size: str, rank: str = "rank") -> DataFrame:
@@ -108,7 +112,7 @@ def similar_pairs(df: DataFrame, name: str, least: float = 0.85) -> DataFrame:
     return by_prefix.unionByName(by_ratio)
 
 
-def clusters(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(name, cluster): the smallest name reachable, by iterated minimum of the neighbours'."""
     from reelspark.session import checkpoint_dir
 
@@ -116,7 +120,7 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) ->
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     now = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).checkpoint()
-    for _ in range(rounds):
+    while True:  # each round lowers some name's cluster, or is the last
         near = edges.join(now.select(F.col("u").alias("v"), F.col("c")), "v").groupBy("u").agg(F.min("c").alias("m"))
         step = now.join(near, "u").select("u", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved"))
         # A name's cluster may itself have moved on: follow it once.
@@ -126,7 +130,6 @@ def clusters(pairs: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) ->
         now = after.select("u", "c")
         if done:
             return now.select(F.col("u").alias("name"), F.col("c").alias("cluster"))
-    raise RuntimeError("clusters did not settle")
 
 
 def project_votes(df: DataFrame, project: str, path: str, containers: list[str]) -> DataFrame:
@@ -201,3 +204,39 @@ def project_matches(card: DataFrame, library: DataFrame) -> DataFrame:
     alike = c.join(pairs, c["name"] == pairs["a"]).join(lib, F.col("b") == lib["project"]).select("folder", "project", "files", F.lit(2).alias("rank"))
     every = same.unionByName(spelled).unionByName(alike)
     return every.groupBy("folder", "project").agg(F.min("rank").alias("rank"), F.max("files").alias("files"))
+
+
+def has_notes(note: Column, circled: Column) -> Column:
+    return (F.trim(F.coalesce(note, F.lit(""))) != "") | F.coalesce(circled, F.lit(False))
+
+
+def adds_notes(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """The file a is b with a note or a circle that b lacks: same name, and no other field differs."""
+    same = [a[f].eqNullSafe(b[f]) for f in META_FIELDS if f not in ("note", "circled", "project")]
+    return has_notes(a["note"], a["circled"]) & ~has_notes(b["note"], b["circled"]) & (F.lower(a["name"]) == F.lower(b["name"])) & reduce(lambda x, y: x & y, same)
+
+
+def may_have_more_tracks(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Same name, format, length and start and another number of tracks: one may be a reduced copy of the other."""
+    same = [a[f] == b[f] for f in ("frames", "sample_rate", "bits", "float_samples", "time_reference")]
+    good = (a["error"] == "") & (b["error"] == "") & (F.lower(a["name"]) == F.lower(b["name"])) & (a["channels"] != b["channels"])
+    return F.coalesce(reduce(lambda x, y: x & y, same, good), F.lit(False))
+
+
+def keep_folders(files: DataFrame, group: list[str], folder: str, containers: list[str]) -> DataFrame:
+    """Each group's folders, best first (rank 1): outside containers, with most files, least deep, by name."""
+    counts = files.groupBy(*group, folder).agg(F.count("*").alias("files"))
+    inside = F.exists(paths.parts(F.col(folder)), lambda x: F.lower(x).isin([c.lower() for c in containers])) if containers else F.lit(False)
+    depth = F.length(folder) - F.length(F.replace(F.col(folder), F.lit("/"), F.lit("")))
+    order = [inside, F.col("files").desc(), depth, F.col(folder)]
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+
+
+def project_name(files: DataFrame, group: list[str], name: str, folder: str) -> DataFrame:
+    """The name that a group's project keeps: that of most files, then one that a folder has, then the one
+    with most spaces, then the last by alphabet."""
+    each = files.groupBy(*group, F.col(name).alias("name")).agg(F.count("*").alias("files"))
+    named = files.select(*group, F.lower(names.basename(F.regexp_replace(folder, "/+$", ""))).alias("_folder")).distinct().withColumn("_named", F.lit(1))
+    both = each.withColumn("_folder", F.lower("name")).join(named, [*group, "_folder"], "left")
+    spaces = F.length("name") - F.length(F.replace("name", F.lit(" "), F.lit("")))
+    return both.groupBy(*group).agg(F.max_by("name", F.struct("files", F.coalesce("_named", F.lit(0)).alias("named"), spaces.alias("spaces"), "name")).alias("name"))

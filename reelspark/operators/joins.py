@@ -37,13 +37,11 @@ def match_clips(takes: DataFrame, clips: DataFrame, width: int, slack_days: int
     c_date; times in ticks since midnight, dates null where unknown. A take is offered to clips on
     its own place and a day either way, by interval join; the nearest place alone counts.
     """
-    days = [r["c_day"] for r in clips.select("c_day").distinct().limit(1000).collect()]  # one for each frame rate in use
-    if not days:
-        days = [1]
-    shifted = takes.withColumn("c_day", F.explode(F.array(*(F.lit(d).cast("long") for d in days)))).withColumn("_shift", F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1)))))
-    shifted = shifted.withColumn("s_start", F.col("t_start") + F.col("_shift") * F.col("c_day")).withColumn("s_end", F.col("s_start") + F.col("t_len"))
     ends = clips.withColumn("c_end", F.col("c_start") + F.col("c_len"))
-    both = interval_join(shifted, ends, ("s_start", "c_start"), ("s_end", "c_end"), width, on=["c_day"])
+    # A take as it is meets clips; moved by a day either way it meets clips that are moved back, whatever their day's length.
+    moved = ends.withColumn("_shift", F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))).withColumn("m_start", F.col("c_start") - F.col("_shift") * F.col("c_day")).withColumn("m_end", F.col("c_end") - F.col("_shift") * F.col("c_day"))
+    both = interval_join(takes.withColumn("t_end", F.col("t_start") + F.col("t_len")), moved, ("t_start", "m_start"), ("t_end", "m_end"), width)
+    both = both.withColumn("s_start", F.col("t_start") + F.col("_shift") * F.col("c_day")).withColumn("s_end", F.col("s_start") + F.col("t_len"))
     near = both.where(F.col("s_start") == nearest_day_start(F.col("t_start"), F.col("c_day"), F.col("c_start")))
     near = near.where(F.col("t_date").isNull() | F.col("c_date").isNull() | (F.abs(F.date_diff("t_date", "c_date")) <= slack_days))
     near = near.withColumn("overlap", F.least("s_end", "c_end") - F.greatest("s_start", "c_start"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import audio
 from reelspark.functions.timecode import div
+from reelspark.session import checkpoint_dir
 
 
 def envelope(df: DataFrame, by: list[str], at: str, total: str, value: str, buckets: int) -> DataFrame:
@@ -55,16 +56,41 @@ def loudness_range(windows: DataFrame, by: list[str], gate: float = -70.0, relat
     return loud.join(rel, by).where("_l > _rel").groupBy(*by).agg(F.when(F.count("*") > 1, p[1] - p[0]).alias("lra"))
 
 
-def gain_to_target(blocks: DataFrame, by: list[str], at: str, power: str, target: float, steps: int = 6, near: float = 0.001) -> DataFrame:
-    """Gain in dB that brings a track's integrated loudness to the target; gating moves with the gain, so it is solved by steps."""
+def maxima(blocks: DataFrame, by: list[str], at: str, power: str, momentary: int = 4, short_term: int = 30) -> DataFrame:
+    """The loudest window of 400 ms and of 3 s of each track, from the powers of 100 ms; null where there is none."""
+    most = lambda n, name: window_powers(blocks, by, at, power, n).groupBy(*by).agg(audio.loudness(F.max("mean_power")).alias(name))
+    return most(momentary, "max_momentary").join(most(short_term, "max_short_term"), by, "left")
+
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(at)[power].to_numpy()
-        gain = _solve(p, target, steps, near)
-        return pdf.iloc[:1][by].assign(gain_db=gain)
+def programme(blocks: DataFrame, by: list[str], at: str, power: str) -> DataFrame:
+    """Powers of the tracks of a programme (by) measured together: their sum at each moment."""
+    return blocks.groupBy(*by, at).agg(F.sum(power).alias(power))
 
-    schema = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in by) + ", gain_db double"
-    return blocks.groupBy(*by).applyInPandas(solve, schema)
+
+def gain_to_target(blocks: DataFrame, by: list[str], at: str, power: str, target: float, steps: int = 6, near: float = 0.001) -> DataFrame:
+    """Gain in dB that brings a track's integrated loudness to the target; gating moves with the gain, so it
+    is solved by steps. Each step is an aggregate of the windows, so no track is gathered."""
+    w = window_powers(blocks, by, at, power, 4)
+    state = blocks.select(*by).distinct().withColumn("gain_db", F.lit(None).cast("double")).withColumn("_done", F.lit(False))
+    for k in range(steps + 1):
+        g = F.when(F.col("gain_db").isNull(), F.lit(1.0)).otherwise(F.pow(F.lit(10.0), F.col("gain_db") / 10)) if k else F.lit(1.0)
+        now = gated_loudness(w.join(state, by).select(*by, (F.col("mean_power") * g).alias("mean_power")), by)
+        state = state.join(now, by, "left")
+        off = F.lit(target) - F.col("lufs")
+        if not k:
+            state = state.select(*by, off.alias("gain_db"), F.lit(False).alias("_done"))
+        else:
+            stop = F.col("_done") | F.col("lufs").isNull() | (F.abs(off) <= near)
+            state = state.select(*by, F.when(stop, F.col("gain_db")).otherwise(F.col("gain_db") + off).alias("gain_db"), stop.alias("_done"))
+        if k % 2:
+            checkpoint_dir(blocks.sparkSession)
+            state = state.checkpoint()
+    return state.drop("_done")
+
+
+def solved_gain(p: np.ndarray, target: float, steps: int = 6, near: float = 0.001) -> float | None:
+    """As gain_to_target, of one track's powers."""
+    return _solve(p, target, steps, near)
 
 
 def _integrated(p: np.ndarray) -> float | None:
@@ -125,58 +151,93 @@ def reduction_db(df: DataFrame, by: list[str], before: str, after: str) -> DataF
     return df.groupBy(*by).agg(F.when((a > 0) & (b > 0), 10 * F.log10(a / b)).otherwise(0.0).alias("reduction_db"))
 
 
+def in_order(df: DataFrame, by: list[str], order: list[str], fresh: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """Runs a kernel along each track: rows are sorted where they lie and stream by, and the kernel, made
+    anew for each track, carries what it needs from one batch to the next, so no track is held whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kernel = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[by]
+            moved = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy()
+            moved[0] = True
+            starts = np.flatnonzero(moved)
+            made = []
+            for low, high in zip(starts, [*starts[1:], len(pdf)]):
+                own = tuple(None if pd.isna(x) else x for x in keys.iloc[low])
+                if kernel is None or own != key:
+                    key, kernel = own, fresh()
+                made.append(kernel(pdf.iloc[low:high]))
+            yield pd.concat(made) if len(made) > 1 else made[0]
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def _with(df: DataFrame, column: str) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {column}"
+
+
 def smoothed_gain(df: DataFrame, by: list[str], at: str, target: str, attack: float, release: float, attack_below: bool = True) -> DataFrame:
     """One-pole smoothing of target gains, in order, within each track (attack where the target falls, or rises)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        out, g = np.empty(len(pdf)), 0.0
-        for k, t in enumerate(pdf[target].to_numpy(float)):
-            coef = attack if (t < g) == attack_below and t != g else release
-            g = t + (g - t) * coef
-            out[k] = g
-        return pdf.assign(gain_db=out)
+    def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        now = [0.0]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", gain_db double"
-    return df.groupBy(*by).applyInPandas(run, schema)
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            out, g = np.empty(len(pdf)), now[0]
+            for k, t in enumerate(pdf[target].to_numpy(float)):
+                coef = attack if (t < g) == attack_below and t != g else release
+                g = t + (g - t) * coef
+                out[k] = g
+            now[0] = g
+            return pdf.assign(gain_db=out)
+
+        return step
+
+    return in_order(df, by, [at], fresh, _with(df, "gain_db double"))
 
 
 def gated(df: DataFrame, by: list[str], at: str, level: str, threshold: float, hysteresis: float, hold: int) -> DataFrame:
     """df with open (0 or 1): a gate opens at the threshold and closes after `hold` rows below it less the hysteresis."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        out, is_open, left = np.zeros(len(pdf), np.int64), False, 0
-        for k, x in enumerate(pdf[level].to_numpy(float)):
-            if x >= threshold:
-                is_open, left = True, hold
-            elif is_open and x < threshold - hysteresis:
-                left -= 1
-                is_open = left >= 0
-            elif is_open:
-                left = hold
-            out[k] = is_open
-        return pdf.assign(open=out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", open long"
-    return df.groupBy(*by).applyInPandas(run, schema)
+    def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        now = [False, 0]
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            out, (is_open, left) = np.zeros(len(pdf), np.int64), now
+            for k, x in enumerate(pdf[level].to_numpy(float)):
+                if x >= threshold:
+                    is_open, left = True, hold
+                elif is_open and x < threshold - hysteresis:
+                    is_open, left = left > 0, max(left - 1, 0)
+                out[k] = is_open
+            now[:] = is_open, left
+            return pdf.assign(open=out)
+
+        return step
+
+    return in_order(df, by, [at], fresh, _with(df, "open long"))
 
 
 def lanes(df: DataFrame, by: list[str], start: str, end: str, name: str) -> DataFrame:
     """df with lane: each item takes the first lane that is free at its start, in order of start and name."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, name], kind="stable")
+    def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
         ends: list[int] = []
-        got = []
-        for a, b in zip(pdf[start], pdf[end]):
-            lane = next((k for k, e in enumerate(ends) if e <= a), len(ends))
-            ends[lane : lane + 1] = [b]
-            got.append(lane)
-        return pdf.assign(lane=got)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", lane long"
-    return df.groupBy(*by).applyInPandas(run, schema)
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            got = []
+            for a, b in zip(pdf[start].tolist(), pdf[end].tolist()):
+                lane = next((k for k, e in enumerate(ends) if e <= a), len(ends))
+                ends[lane : lane + 1] = [b]
+                got.append(lane)
+            return pdf.assign(lane=got)
+
+        return step
+
+    return in_order(df, by, [start, name], fresh, _with(df, "lane long"))
 
 
 # --- blocks of samples: rows (track…, block, samples array<float>), blocks of one size
@@ -226,20 +287,29 @@ def process_tracks(blocks: DataFrame, by: list[str], at: str, samples: str, kern
 
 
 def block_powers(blocks: DataFrame, by: list[str], at: str, samples: str, rate: int) -> DataFrame:
-    """(by, q, power, peak): K-weighted mean power and true peak of every complete 100 ms of each track."""
-    taps = audio.impulse(audio.k_weighting(rate), max(64, rate // 4))
+    """(by, q, power, peak): K-weighted mean power and true peak of every complete 100 ms of each track.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable")
-        x = np.concatenate([np.asarray(s, float) for s in pdf[samples]])
-        y, step = audio.convolve(x, taps), rate // 10
-        n = len(y) // step
-        power = (y[: n * step].reshape(n, step) ** 2).mean(axis=1)
-        head = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame({**head, "q": np.arange(n), "power": power, "peak": audio.true_peak(x, rate)})
+    The filters' tails are carried from block to block, so a track of any length streams by."""
+    from reelspark.functions.effects import Fir, Peaks
+
+    taps, step = audio.impulse(audio.k_weighting(rate), max(64, rate // 4)), rate // 10
+
+    def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        weigh, peaks, state = Fir(taps), Peaks(rate), {"power": np.zeros(0), "peak": np.zeros(0), "q": 0}
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.concatenate([np.asarray(s, float) for s in pdf[samples]])
+            power, peak = np.concatenate([state["power"], weigh(x) ** 2]), np.concatenate([state["peak"], peaks(x)])
+            n = len(power) // step
+            state["power"], state["peak"], first = power[n * step :], peak[n * step :], state["q"]
+            state["q"] += n
+            head = {c: pdf[c].iloc[0] for c in by}
+            return pd.DataFrame({**head, "q": np.arange(first, first + n), "power": power[: n * step].reshape(n, step).mean(axis=1), "peak": peak[: n * step].reshape(n, step).max(axis=1)})
+
+        return run
 
     schema = ", ".join(f"{c} {blocks.schema[c].dataType.simpleString()}" for c in by) + ", q long, power double, peak double"
-    return blocks.groupBy(*by).applyInPandas(run, schema)
+    return in_order(blocks.select(*by, at, samples), by, [at], fresh, schema)
 
 
 def register_processor(name: str, kernel):
@@ -254,16 +324,9 @@ def register_processor(name: str, kernel):
     return udf
 
 
-def limiter(x: np.ndarray, ceiling_db: float, rate: float, lookahead: float = 0.005, release: float = 0.1) -> np.ndarray:
-    """Look-ahead limiter: the least gain needed ahead, released slowly and smoothed."""
-    ahead, top = max(1, int(rate * lookahead)), 10 ** (ceiling_db / 20)
-    need = np.minimum(1.0, top / np.maximum(np.abs(x), 1e-12))
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([need, np.ones(ahead)]), ahead + 1)
-    least = wide.min(axis=1)
-    coef, g, out = np.exp(-1 / (release * rate)), 1.0, np.empty(len(x))
-    for k, t in enumerate(least):
-        g = t if t < g else t + (g - t) * coef
-        out[k] = g
-    held = np.concatenate([np.full(ahead, out[0] if len(out) else 1.0), out])
-    smooth = np.convolve(held, np.ones(ahead + 1) / (ahead + 1), "valid") if len(x) else out
-    return x * np.minimum(smooth, need)
+def limiter(x: np.ndarray, ceiling_db: float, rate: float, lookahead: float = 0.005, release: float = 0.1, true_peak: bool = False) -> np.ndarray:
+    """A whole track through the chain's limiter."""
+    from reelspark.functions.effects import run_chain
+
+    params = {"ceiling": ceiling_db, "lookahead": 1000 * lookahead, "release": 1000 * release, "true_peak": float(true_peak)}
+    return run_chain(x, [{"type": "limiter", "bypass": False, "params": params}], rate)

@@ -6,41 +6,26 @@ never over an existing file, so a task that runs again finds or repeats its work
 
 from __future__ import annotations
 
-import os
+import struct
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import names, timecode
 from reelspark.functions.paths import parts
-from reelspark.sources import wav
+from reelspark.sources import rewrite, wav
 
 RESULT = "path string, out string, status string"
 PROBE = "struct<streams:array<struct<codec_type:string,r_frame_rate:string,tags:map<string,string>>>,format:struct<duration:string,size:string,tags:map<string,string>>>"
 VIDEO = r"(?i)\.(mov|mp4|m4v|mxf)$"
 
 
-def _samples(path: str) -> tuple[np.ndarray, dict]:
-    h = wav.read_header(path)
-    if h["error"] or h["truncated"]:
-        raise wav.NotWav(h["error"] or "truncated")
-    data = next(c for c in h["chunks"] if c[0] == "data")
-    return wav.read_frames(path, data[1], h["frames"], h["channels"], h["bits"], h["float_samples"], 0, h["frames"]), h
-
-
-def _write(out: str, make: Callable[[], tuple[np.ndarray, dict]]) -> str:
-    if os.path.lexists(out):
-        return "exists"
+def _said(work: Callable[[], str]) -> str:
     try:
-        x, h = make()
-        os.makedirs(os.path.dirname(out), exist_ok=True)
-        bext = {"time_reference": h["time_reference"], "date": h["date"], "time": h["time"], "originator": h["recorder"]} if h["time_reference"] is not None else None
-        wav.write_wav(out, x, h["sample_rate"], h["bits"], h["float_samples"], bext=bext)
-        return "done"
-    except (OSError, wav.NotWav, ValueError) as e:
+        return work()
+    except (OSError, wav.NotWav, ValueError, struct.error) as e:
         return f"failed: {e}"
 
 
@@ -53,34 +38,69 @@ def _each(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFr
 
 
 def split_files(plan: DataFrame) -> DataFrame:
-    """Writes the one-track files of a split plan (path, index from 1, out)."""
-    return _each(plan.select("path", "index", "out"), lambda p: pd.DataFrame({"path": p["path"], "out": p["out"], "status": [_write(o, lambda a=a, i=i: (lambda x, h: (x[:, i - 1 : i], h))(*_samples(a))) for a, i, o in zip(p["path"], p["index"], p["out"])]}))
+    """Writes the one-track files of a split plan (path, index from 1, out); a file is read once for all its tracks."""
+    files = plan.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("index", "out"))).alias("tracks"))
 
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for path, tracks in zip(p["path"], p["tracks"]):
+            pairs = [(int(t["index"]), t["out"]) for t in tracks]
+            try:
+                said = rewrite.split_file(path, pairs)
+            except (OSError, wav.NotWav, ValueError, struct.error) as e:
+                said = [f"failed: {e}"] * len(pairs)
+            rows += [(path, out, s) for (_, out), s in zip(pairs, said)]
+        return pd.DataFrame(rows, columns=["path", "out", "status"])
 
-def combine_files(plan: DataFrame) -> DataFrame:
-    """Writes one file from each row's aligned files (paths, in order of tracks, and out)."""
+    return _each(files, work)
 
-    def both(paths: list[str]) -> tuple[np.ndarray, dict]:
-        read = [_samples(p) for p in paths]
-        if len({(h["frames"], h["sample_rate"], h["bits"]) for _, h in read}) > 1:
-            raise ValueError("the files differ")
-        return np.concatenate([x for x, _ in read], axis=1), read[0][1]
 
-    return _each(plan.select("paths", "out"), lambda p: pd.DataFrame({"path": [a[0] for a in p["paths"]], "out": p["out"], "status": [_write(o, lambda a=a: both(list(a))) for a, o in zip(p["paths"], p["out"])]}))
+def combine_files(plan: DataFrame) -> DataFrame:
+    """Writes one file from each row's aligned files (paths, in order of tracks, and out)."""
+    return _each(plan.select("paths", "out"), lambda p: pd.DataFrame({"path": [a[0] for a in p["paths"]], "out": p["out"], "status": [_said(lambda a=a, o=o: rewrite.combine_files(list(a), o)) for a, o in zip(p["paths"], p["out"])]}))
 
 
 def process_files(plan: DataFrame, chain: list[dict]) -> DataFrame:
-    """Writes a copy of each file (path, channels touched from 0, out) with an effect chain run on the touched channels."""
+    """Writes a copy of each file (path, channels touched from 0, out) with an effect chain run on the
+    touched channels; all other channels keep their bytes."""
     from reelspark.functions.effects import run_chain
 
-    def made(path: str, touched: list[int]) -> tuple[np.ndarray, dict]:
-        x, h = _samples(path)
-        x = x.copy()
-        for c in touched:
-            x[:, c] = run_chain(x[:, c], chain, h["sample_rate"])
-        return x, h
+    def made(path: str, touched: list[int], out: str) -> str:
+        rate = rewrite.whole(path)["sample_rate"]
+        return rewrite.processed_copy(path, out, {int(c): lambda x: run_chain(x, chain, rate) for c in touched})
+
+    return _each(plan.select("path", "touched", "out"), lambda p: pd.DataFrame({"path": p["path"], "out": p["out"], "status": [_said(lambda a=a, t=t, o=o: made(a, list(t), o)) for a, t, o in zip(p["path"], p["touched"], p["out"])]}))
+
+
+def write_metadata(plan: DataFrame, allow_rewrite: bool = False) -> DataFrame:
+    """Writes changes (path, changes map<string,string>, filename or null) into the files; path, out and
+    the mode, or why it failed. A task that runs again finds the fields as they should be."""
+
+    def one(path: str, changes: dict, filename: str | None) -> str:
+        typed = {k: v.upper() == "TRUE" if k == "circled" else v for k, v in dict(changes).items()}
+        return rewrite.update_metadata(path, typed, filename, allow_rewrite)
+
+    return _each(plan.select("path", "changes", "filename"), lambda p: pd.DataFrame({"path": p["path"], "out": p["path"], "status": [_said(lambda a=a, c=c, f=f: one(a, c, f)) for a, c, f in zip(p["path"], p["changes"], p["filename"])]}))
+
+
+def offload(copies: DataFrame, edits: DataFrame) -> DataFrame:
+    """Copies files (path, dst) with a check of what was written, and writes pending edits (path, changes)
+    into the copies that are verified; path, out, status and metadata of each."""
+    from reelspark.plans.moves import copy_verified
+
+    copied = cut_plan(copy_verified(copies))
+    done = copied.where(F.col("status").isin("verified", "there")).join(edits, "path")
+    written = write_metadata(done.select(F.col("dst").alias("path"), "changes", F.lit(None).cast("string").alias("filename")), allow_rewrite=True)
+    said = written.select(F.col("path").alias("dst"), F.col("status").alias("metadata"))
+    return copied.join(said, "dst", "left").select("path", F.col("dst").alias("out"), "status", F.coalesce("metadata", F.lit("")).alias("metadata"))
+
+
+def cut_plan(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, so that what it did isn't done again."""
+    from reelspark.session import checkpoint_dir
 
-    return _each(plan.select("path", "touched", "out"), lambda p: pd.DataFrame({"path": p["path"], "out": p["out"], "status": [_write(o, lambda a=a, t=t: made(a, list(t))) for a, t, o in zip(p["path"], p["touched"], p["out"])]}))
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def metadata_plan(df: DataFrame, new_ixml: Column, headroom: int = 4096) -> DataFrame:

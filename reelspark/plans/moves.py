@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +17,7 @@ from reelspark.functions import names
 from reelspark.functions.paths import ancestors
 from reelspark.schema import ACTION
 
+#: Fixed value: rows of a preview.
 PREVIEW = 5000
 
 
@@ -172,9 +176,9 @@ def guarded(actions: DataFrame, protected: list[str]) -> DataFrame:
 def execute(actions: DataFrame, protected: list[str] | None = None) -> DataFrame:
     """Runs move, copy and remove actions where the files are; path, dst and status of each.
 
-    Nothing is overwritten: a destination that exists is a conflict. A copy goes to a temporary name,
-    is compared in size and then renamed. A task that runs again finds its work done and says so, so
-    a lost executor costs nothing.
+    Nothing is overwritten: a destination that exists is a conflict. A copy goes to a temporary name, is
+    read back and then renamed. A task that runs again finds its work done and says so, so a lost
+    executor costs nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,18 +196,140 @@ def _act(kind: str, path: str, dst: str, blocked: bool) -> str:
             if os.path.lexists(path):
                 os.remove(path)
             return "done"
-        if kind not in ("move", "copy"):
+        if kind == "copy":
+            said = _copy(path, dst, True)[0]
+            return {"verified": "done", "exists": "conflict", "there": "conflict"}.get(said, said)
+        if kind != "move":
             return "left"
         if os.path.lexists(dst):
-            return "done" if kind == "move" and not os.path.lexists(path) else "conflict"
+            return "done" if not os.path.lexists(path) else "conflict"
         os.makedirs(os.path.dirname(dst), exist_ok=True)
-        if kind == "move":
-            os.rename(path, dst)
-        else:
-            shutil.copy2(path, f"{dst}.part")
-            if os.path.getsize(path) != os.path.getsize(f"{dst}.part"):
-                return "size differs"
-            os.rename(f"{dst}.part", dst)
+        os.rename(path, dst)
         return "done"
     except OSError as e:
         return f"failed: {e.strerror}"
+
+
+def _digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "md5").hexdigest()
+
+
+def _copy(path: str, dst: str, verify: bool) -> tuple[str, str]:
+    """Status and md5 of one copy."""
+    try:
+        if os.path.lexists(dst):
+            own = _digest(path)
+            return ("there" if os.path.getsize(path) == os.path.getsize(dst) and own == _digest(dst) else "exists"), own
+        os.makedirs(os.path.dirname(dst) or ".", exist_ok=True)
+        temp, read = f"{dst}.{uuid.uuid4().hex}.part", hashlib.md5()
+        try:
+            with open(path, "rb") as a, open(temp, "xb") as b:
+                while part := a.read(1 << 22):
+                    read.update(part)
+                    b.write(part)
+                b.flush()
+                os.fsync(b.fileno())
+            if os.path.getsize(temp) != os.path.getsize(path):
+                return "size differs", ""
+            if verify and _digest(temp) != read.hexdigest():
+                return "content differs", ""
+            shutil.copystat(path, temp)
+            os.link(temp, dst)  # fails where another got there first
+        finally:
+            if os.path.lexists(temp):
+                os.remove(temp)
+        return "verified" if verify else "copied", read.hexdigest()
+    except FileExistsError:
+        return "exists", ""
+    except OSError as e:
+        return f"failed: {e.strerror}", ""
+
+
+def copy_verified(plan: DataFrame, verify: bool = True) -> DataFrame:
+    """Copies path to dst: to a temporary name, with its dates, and renamed once its size and (if verify)
+    its md5, read back, are those that were read. path, dst, status and md5; a destination is never
+    replaced, and one with the same content is there already."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [_copy(a, b, verify) for a, b in zip(pdf["path"], pdf["dst"])]
+            yield pd.DataFrame({"path": pdf["path"], "dst": pdf["dst"], "status": [m[0] for m in made], "md5": [m[1] for m in made]})
+
+    return plan.select("path", "dst").mapInPandas(run, "path string, dst string, status string, md5 string")
+
+
+def apply_renames(ops: list[tuple[str, str]]) -> list[str]:
+    """Renames a batch, all or nothing, and returns the folders it made.
+
+    Every file first gets a temporary name beside it and then its own, so names may be swapped or
+    handed on. If anything fails, all is taken back and the folders go. The batch is one transaction
+    and so runs in one place; what doesn't hang together is better given in batches of its own.
+    """
+    ops = [(a, b) for a, b in ops if a != b]
+    sources, targets = {a for a, _ in ops}, [b for _, b in ops]
+    if len(set(targets)) < len(targets):
+        raise FileExistsError("two files get one name")
+    for _, b in ops:
+        if b not in sources and os.path.lexists(b) and not any(os.path.samefile(b, a) for a, c in ops if c == b):
+            raise FileExistsError(b)
+    done: list[tuple[str, str]] = []
+    made: list[str] = []
+
+    def step(a: str, b: str) -> None:
+        if os.path.lexists(b):
+            raise FileExistsError(b)
+        os.rename(a, b)
+        done.append((a, b))
+
+    try:
+        temps = [(a, f"{a}.{uuid.uuid4().hex}.moving", b) for a, b in ops]
+        for a, t, _ in temps:
+            step(a, t)
+        for _, t, b in temps:
+            folder, missing = os.path.dirname(b), []
+            while folder and not os.path.isdir(folder):
+                missing.append(folder)
+                folder = os.path.dirname(folder)
+            for f in reversed(missing):
+                os.mkdir(f)
+                made.append(f)
+            step(t, b)
+    except OSError:
+        for a, b in reversed(done):
+            os.rename(b, a)
+        for f in reversed(made):
+            os.rmdir(f)
+        raise
+    return made
+
+
+def undo_renames(ops: list[tuple[str, str]], made: list[str]) -> None:
+    """Takes a batch back, and the folders that it made and left empty."""
+    apply_renames([(b, a) for a, b in ops])
+    for f in sorted(made, key=len, reverse=True):
+        if os.path.isdir(f) and not os.listdir(f):
+            os.rmdir(f)
+
+
+def rechecked(actions: DataFrame, now: DataFrame) -> DataFrame:
+    """actions (with the size and mtime they were planned for) against the files as they are: kind is
+    'skip' and reason says so where a file, or the copy that stands for it, has changed or gone."""
+    at = now.select(F.col("path").alias("_p"), F.col("size").alias("_s"), F.col("mtime").alias("_m"))
+    found = actions.join(at, actions["path"] == at["_p"], "left")
+    fresh = F.col("_p").isNotNull() & (F.col("size") == F.col("_s")) & (F.abs(F.col("mtime") - F.col("_m")) < 2.1)
+    kept = now.select(F.col("path").alias("dst")).distinct().withColumn("_there", F.lit(True))
+    found = found.join(kept, "dst", "left")
+    reason = F.when(~fresh, "it has changed since").when((F.col("kind") == "remove") & F.col("_there").isNull(), "the copy that stays is gone")
+    return found.select(*(F.when(reason.isNotNull(), "skip").otherwise(F.col("kind")).alias("kind") if c == "kind" else F.coalesce(reason, F.col("reason")).alias("reason") if c == "reason" else F.col(c) for c in actions.columns))
+
+
+def touched_paths(*plans: DataFrame) -> DataFrame:
+    """Every path that some plan reads or writes, once."""
+    every = [p.select(F.col(c).alias("path")) for p in plans for c in ("path", "dst", "target") if c in p.columns]
+    return reduce(DataFrame.unionByName, every).where("path <> ''").distinct()
+
+
+def preview(plan: DataFrame, *order: str, most: int = PREVIEW) -> DataFrame:
+    """The first rows of a plan, as they are shown before it runs."""
+    return plan.orderBy(*order).limit(most)

@@ -36,7 +36,8 @@ def get_session(config: EngineConfig = EngineConfig()) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's if it names one, else one of our own."""
+    """The shared folder for checkpoints: the cluster's if it names one. A session on one machine without
+    one gets a folder of its own; on a cluster that folder would not be shared, so it must be named."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     own = spark.sparkContext.getCheckpointDir()
     if named:
@@ -44,6 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="reelspark-")
         spark.sparkContext.setCheckpointDir(own)
     return own

@@ -24,8 +24,7 @@ def unchanged(listing: DataFrame, cached: DataFrame, tolerance: float = LOCAL_TO
 def incremental_scan(spark: SparkSession, root: str, cached: DataFrame | None, tolerance: float = LOCAL_TOLERANCE) -> DataFrame:
     """The library's rows: cached ones whose file is unchanged, and the others read anew on the
     executors; rows of an older parser are read again, those of vanished files go."""
-    wav.register(spark)
-    listing = spark.read.format("audio_listing").load(root).where("error = ''")
+    listing = wav.listing(spark, root).where("error = ''")
     if cached is None:
         hits, missing = None, listing
     else:
@@ -39,7 +38,7 @@ def incremental_scan(spark: SparkSession, root: str, cached: DataFrame | None, t
         for pdf in batches:
             yield pd.DataFrame([wav.read_header(p, s, m) for p, s, m in zip(pdf["path"], pdf["size"], pdf["mtime"])], columns=names)
 
-    fresh = missing.select("path", "size", "mtime").mapInPandas(read, HEADER)
+    fresh = missing.select("path", "size", "mtime").repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInPandas(read, HEADER)
     return fresh if hits is None else hits.select(*names).unionByName(fresh)
 
 
@@ -74,10 +73,6 @@ def moved_markers(markers: DataFrame, mapping: DataFrame) -> DataFrame:
     return kept.join(m, "path", "left").select(F.coalesce("new", "path").alias("path"), "frame", "name")
 
 
-def default_name(frame_order: int) -> str:
-    return f"Marker {frame_order}"
-
-
 def log_action(spark: SparkSession, path: str, action: str, **details: object) -> None:
     """Appends one row to the history."""
     row = spark.createDataFrame([(action, json.dumps(details, sort_keys=True))], "action string, details string")

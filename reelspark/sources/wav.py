@@ -1,24 +1,28 @@
 """WAV files: a reader of headers (format "wav_headers"), one of sample blocks ("wav_blocks"), and a writer.
 
 The readers seek: a header costs its own bytes and a block the bytes of its frames, whatever the
-file's size. Files are dealt to partitions by listing alone.
+file's size. The driver opens no file and lists folders only until there are enough of them to deal
+out; the folders are walked, and headers read, on the executors. scan() and blocks() also spread the
+listed files, and stretches of long ones, evenly over the cluster.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 import struct
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from reelspark.functions import audio
 from reelspark.functions.names import TAKE_NAME
+from reelspark.functions.timecode import drops
 from reelspark.schema import HEADER
 
 PARSER_VERSION = 1
@@ -31,24 +35,34 @@ class NotWav(Exception):
     """Not a file that the reader understands."""
 
 
+def _listed(folder: str) -> tuple[list[tuple[str, int, float, str]], list[str]]:
+    """The audio files in a folder, and the folders in it; one that can't be listed is a row with its error."""
+    try:
+        with os.scandir(folder) as found:
+            entries = sorted(found, key=lambda e: e.name)
+    except OSError as e:
+        return [(folder, 0, 0.0, str(e))], []
+    files, folders = [], []
+    for e in entries:
+        if e.is_dir(follow_symlinks=False):
+            if not e.name.startswith(".") and e.name != REMOVED:
+                folders.append(e.path)
+        elif e.name.lower().endswith((".wav", ".bwf")) and not e.name.startswith("._"):
+            try:
+                s = e.stat()
+                files.append((e.path, s.st_size, s.st_mtime, ""))
+            except OSError as error:  # it went away, or points nowhere
+                files.append((e.path, 0, 0.0, str(error)))
+    return files, folders
+
+
 def list_audio(root: str) -> Iterator[tuple[str, int, float, str]]:
-    """(path, size, mtime, error) of audio files below root; a folder that can't be listed is a row with its error."""
+    """(path, size, mtime, error) of audio files below root."""
     todo = [root]
     while todo:
-        folder = todo.pop()
-        try:
-            with os.scandir(folder) as found:
-                entries = sorted(found, key=lambda e: e.name)
-        except OSError as e:
-            yield folder, 0, 0.0, str(e)
-            continue
-        for e in entries:
-            if e.is_dir(follow_symlinks=False):
-                if not e.name.startswith(".") and e.name != REMOVED:
-                    todo.append(e.path)
-            elif fnmatch.fnmatch(e.name.lower(), "*.[wb][aw][vf]") and e.name.lower().endswith((".wav", ".bwf")) and not e.name.startswith("._"):
-                s = e.stat()
-                yield e.path, s.st_size, s.st_mtime, ""
+        files, folders = _listed(todo.pop())
+        yield from files
+        todo += folders
 
 
 def chunks_of(f, size: int) -> list[tuple[str, int, int, bool]]:
@@ -78,17 +92,24 @@ def chunks_of(f, size: int) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def _text(raw: bytes) -> str:
-    return raw.split(b"\0")[0].decode("latin-1").strip()
+def _text(raw: bytes, encoding: str = "latin-1") -> str:
+    return raw.split(b"\0")[0].decode(encoding, "replace").strip()
+
+
+def ixml_root(payload: bytes) -> ET.Element | None:
+    """The document of an iXML chunk; what follows a NUL or its end tag is left from an older, longer one."""
+    body = payload.split(b"\0")[0].lstrip(b"\xef\xbb\xbf \r\n\t")
+    end = body.find(b"</BWFXML>")
+    try:
+        return ET.fromstring(body if end < 0 else body[: end + 9])
+    except (ET.ParseError, LookupError, ValueError):  # also an encoding that isn't known
+        return None
 
 
 def _ixml(payload: bytes) -> tuple[dict[str, str], list[str]]:
     """Flat fields (of repeated ones the first) and track names in interleave order."""
-    end = payload.rfind(b"</BWFXML>")
-    body = payload.split(b"\0")[0] if end < 0 else payload[: end + 9]
-    try:
-        root = ET.fromstring(body.lstrip(b"\xef\xbb\xbf \r\n\t"))
-    except ET.ParseError:
+    root = ixml_root(payload)
+    if root is None:
         return {}, []
     flat: dict[str, str] = {}
     for e in root:
@@ -130,19 +151,21 @@ def read_header(path: str, size: int | None = None, mtime: float = 0.0) -> dict:
                     fields.setdefault(m[1], m[2])
         flat, tracks = _ixml(body["iXML"]) if "iXML" in body else ({}, [])
         row["has_ixml"] = bool(flat)
-        if row["time_reference"] is None and flat.get("TIMESTAMP_SAMPLES_SINCE_MIDNIGHT_LO", "").isdigit():
-            row["time_reference"] = (int(flat.get("TIMESTAMP_SAMPLES_SINCE_MIDNIGHT_HI") or 0) << 32) + int(flat["TIMESTAMP_SAMPLES_SINCE_MIDNIGHT_LO"])
+        low, high = (flat.get(f"TIMESTAMP_SAMPLES_SINCE_MIDNIGHT_{x}", "") for x in ("LO", "HI"))
+        if row["time_reference"] is None and low.isdecimal() and (high or "0").isdecimal():
+            start = (int(high or 0) << 32) + int(low)
+            row["time_reference"] = start if start < 1 << 63 else None
         named = {"meta_project": "PROJECT", "scene": "SCENE", "take": "TAKE", "tape": "TAPE", "note": "NOTE", "ubits": "UBITS", "tc_rate": "TIMECODE_RATE", "family": "FAMILY_UID", "original_filename": "ORIGINAL_FILENAME"}
         for column, key in named.items():
             row[column] = flat.get(key) or fields.get(key, "")
         row["tc_rate"] = row["tc_rate"] or fields.get("SPEED", "")
         row["circled"] = (flat.get("CIRCLED") or fields.get("CIRCLED", "")).upper() == "TRUE"
-        row["drop_frame"] = flat.get("TIMECODE_FLAG", "") == "DF" or bool(re.search(r"(?<!N)DF", fields.get("SPEED", "")))
+        row["drop_frame"] = drops(flat.get("TIMECODE_FLAG")) or drops(fields.get("SPEED"))
         row["tracks"] = tracks or [v for _, v in sorted((int(k[3:]), v) for k, v in fields.items() if re.fullmatch(r"TRK\d+", k))]
         if not row["scene"] and not row["take"] and (m := re.match(TAKE_NAME, os.path.splitext(os.path.basename(path))[0])):
             row["scene"], row["take"] = m[1], m[2]
         row["chunks"], row["cues"] = found, _cues(path, found)
-    except (NotWav, OSError, struct.error, KeyError, UnboundLocalError) as e:
+    except (NotWav, OSError, struct.error, LookupError, ValueError, OverflowError, UnboundLocalError) as e:
         row["error"] = str(e) or type(e).__name__
     return row
 
@@ -155,7 +178,7 @@ def _cues(path: str, found: list[tuple[str, int, int, bool]]) -> list[tuple[int,
             if name == "cue ":
                 f.seek(at)
                 raw = f.read(n)
-                for k in range(min(struct.unpack("<I", raw[:4])[0], (len(raw) - 4) // 24)):
+                for k in range(min(struct.unpack("<I", raw[:4])[0] if len(raw) >= 4 else 0, (len(raw) - 4) // 24)):
                     ident, *_, offset = struct.unpack("<II4sIII", raw[4 + 24 * k : 28 + 24 * k])
                     points[ident] = offset
             elif name == "LIST":
@@ -163,40 +186,53 @@ def _cues(path: str, found: list[tuple[str, int, int, bool]]) -> list[tuple[int,
                 raw, k = f.read(n), 4
                 while raw[:4] == b"adtl" and k + 12 <= len(raw):
                     kind, m, ident = struct.unpack("<4sII", raw[k : k + 12])
-                    {b"labl": labels, b"note": notes}.get(kind, {})[ident] = _text(raw[k + 12 : k + 8 + m])
+                    {b"labl": labels, b"note": notes}.get(kind, {})[ident] = _text(raw[k + 12 : k + 8 + m], "utf-8")
                     k += 8 + m + m % 2
     ordered = sorted((frame, ident) for ident, frame in points.items())
     return [(frame, labels.get(i) or notes.get(i) or f"Marker {k}") for k, (frame, i) in enumerate(ordered, 1)]
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple]) -> None:
-        self.files = files
+class _Part(InputPartition):
+    """Files that the driver met, and folders to be walked."""
+
+    def __init__(self, files: list[tuple], folders: list[str]) -> None:
+        self.files, self.folders = files, folders
+
+    def listed(self) -> Iterator[tuple[str, int, float, str]]:
+        yield from self.files
+        for folder in self.folders:
+            yield from list_audio(folder)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.root, self.per = options["path"], int(options.get("filesPerPartition", 256))
-
-    def _dealt(self, items: list[tuple]) -> list[_Files]:
-        return [_Files(items[k : k + self.per]) for k in range(0, len(items), self.per)] or [_Files([])]
+        self.root, self.per, self.spread = options["path"], int(options.get("filesPerPartition", 256)), int(options.get("folders", 256))
 
-    def partitions(self) -> list[_Files]:
-        return self._dealt(list(list_audio(self.root)))
+    def partitions(self) -> list[_Part]:
+        """Folders are listed, a level at a time, until there are enough of them; they are then dealt out unlisted."""
+        files, level = [], [self.root]
+        while level and len(level) < self.spread:
+            below: list[str] = []
+            for folder in level:
+                found, inside = _listed(folder)
+                files += found
+                below += inside
+            level = below
+        return [_Part(files[k : k + self.per], []) for k in range(0, len(files), self.per)] + [_Part([], [f]) for f in level] or [_Part([], [])]
 
 
 class _Headers(_Reader):
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[tuple]:
         names = [f.name for f in HEADER.fields]
-        for path, size, mtime, error in partition.files:
+        for path, size, mtime, error in partition.listed():
             if not error:
                 row = read_header(path, size, mtime)
                 yield tuple(row[n] for n in names)
 
 
 class _Listing(_Reader):
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        yield from partition.files
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        yield from partition.listed()
 
 
 class _Blocks(_Reader):
@@ -204,25 +240,27 @@ class _Blocks(_Reader):
         super().__init__(options)
         self.frames, self.halo = int(options.get("blockFrames", 48_000)), int(options.get("halo", 0))
 
-    def partitions(self) -> list[_Files]:
-        out = []
-        for path, size, _, error in list_audio(self.root):
-            if error:
-                continue
-            h = read_header(path, size)
-            if h["error"] or h["truncated"] or h["form"] not in ("PCM", "float"):
-                continue
-            data = next(c for c in h["chunks"] if c[0] == "data")
-            shape = (path, data[1], h["frames"], h["channels"], h["bits"], h["float_samples"], h["sample_rate"])
-            out += [(*shape, k) for k in range(-(-h["frames"] // self.frames))]
-        return self._dealt(out)
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path, at, frames, channels, bits, is_float, rate, block in partition.files:
-            a, b = block * self.frames - self.halo, min(frames, (block + 1) * self.frames) + self.halo
-            x = read_frames(path, at, frames, channels, bits, is_float, a, b)
-            for c in range(channels):
-                yield path, c, block, a, rate, x[:, c].tolist()
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        for path, size, _, error in partition.listed():
+            if not error:
+                yield from block_batches(path, size, self.frames, self.halo)
+
+
+def block_batches(path: str, size: int, frames: int, halo: int = 0, low: int = 0, high: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the blocks of a file whose first frame lies in the bytes [low, high) of its data; none of a file that can't be read."""
+    h = read_header(path, size)
+    if h["error"] or h["truncated"] or h["form"] not in ("PCM", "float"):
+        return
+    data = next(c for c in h["chunks"] if c[0] == "data")
+    width = h["channels"] * h["bits"] // 8
+    first = -(-low // (frames * width))
+    last = -(-min(h["frames"] * width, high if high is not None else h["frames"] * width) // (frames * width))
+    for block in range(first, last):
+        a, b = block * frames - halo, min(h["frames"], (block + 1) * frames) + halo
+        x = read_frames(path, data[1], h["frames"], h["channels"], h["bits"], h["float_samples"], a, b)
+        n = h["channels"]
+        samples = pa.ListArray.from_arrays(pa.array([k * len(x) for k in range(n + 1)], pa.int32()), pa.array(x.T.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array([block] * n, pa.int64()), pa.array([a] * n, pa.int64()), pa.array([h["sample_rate"]] * n, pa.int32()), samples], [f.name for f in BLOCKS.fields])
 
 
 def read_frames(path: str, at: int, frames: int, channels: int, bits: int, is_float: bool, a: int, b: int):
@@ -285,9 +323,36 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def listing(spark: SparkSession, root: str) -> DataFrame:
     register(spark)
-    return spark.read.format("wav_headers").load(root)
+    return spark.read.format("audio_listing").load(root)
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """The header rows of all files below root, which are spread evenly once they are listed."""
+    names = [f.name for f in HEADER.fields]
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([read_header(*r) for r in zip(pdf["path"], pdf["size"], pdf["mtime"])], columns=names)
+
+    found = listing(spark, root).where("error = ''").select("path", "size", "mtime")
+    return found.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInPandas(read, HEADER)
+
+
+def blocks(spark: SparkSession, root: str, frames: int = 48_000, halo: int = 0, stretch: int = 1 << 26) -> DataFrame:
+    """Sample blocks of all files below root; stretches of `stretch` bytes of a file are read apart from each other."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, low in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                yield from block_batches(path, size, frames, halo, low, low + stretch)
+
+    found = listing(spark, root).where("error = ''")
+    parts = found.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(stretch).cast("long"))).alias("low"))
+    return parts.repartition(spark.sparkContext.defaultParallelism * 4, "path", "low").mapInArrow(read, BLOCKS)
 
 
 def write_wav(path: str, samples, rate: int, bits: int = 24, is_float: bool = False, ixml: str = "", bext: dict | None = None, cues: list[tuple[int, str]] | None = None) -> None:
@@ -308,7 +373,7 @@ def write_wav(path: str, samples, rate: int, bits: int = 24, is_float: bool = Fa
         parts.append((b"cue ", struct.pack("<I", len(cues)) + b"".join(struct.pack("<II4sIII", k, f, b"data", 0, 0, f) for k, (f, _) in enumerate(cues, 1))))
         labels = b""
         for k, (_, text) in enumerate(cues, 1):
-            raw = text.encode("latin-1", "replace") + b"\0"
+            raw = text.encode("utf-8", "replace") + b"\0"
             labels += struct.pack("<4sII", b"labl", 4 + len(raw), k) + raw + b"\0" * (len(raw) % 2)
         parts.append((b"LIST", b"adtl" + labels))
     body = b"".join(name + struct.pack("<I", len(raw)) + raw + b"\0" * (len(raw) % 2) for name, raw in parts)
