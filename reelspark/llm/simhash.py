@@ -223,9 +223,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 # In a key's group members are first compared with one hub, that with the most neighbours, which is the
 # same for a family's keys, so a family costs a few pairs for each member. Groups in which more than one
 # component is left get another hub, the member with the fewest shingles of its own; last of all their
-# outsiders are compared with the members of other components that they may be like at all: two sets
-# share at most what neither has alone, which leaves out nearly all of a loose family. So every pair that
-# shares a key is compared, already linked, or too unlike by its sizes.
+# outsiders are compared with the members of other components that they may be like at all: of the hub's
+# shingles two members share those that both have, and beyond these at most what no other set lacks. That
+# bound is exact and leaves out nearly all of a loose family. So every pair that shares a key is compared,
+# already linked, or too unlike by the bound.
 #: Words of a shingle and least likeness of near copies.
 NEAR_SHINGLE, NEAR = 5, 0.8
 BANDS, WIDE = 24, 5
@@ -314,50 +315,85 @@ def lone_counts(sets: DataFrame) -> DataFrame:
     return sizes.join(lone, "h", "left").select("h", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
 
 
+def hub_masks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """h, hub, mask (which of the hub's sorted shingles the member has, 64 to a long) and inside (how many), of each pair of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            masks, inside = [], []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                has = np.zeros(-(-len(y) // 64) * 64, bool)
+                has[np.intersect1d(x, y, assume_unique=True, return_indices=True)[2]] = True
+                inside.append(int(has.sum()))
+                masks.append(np.packbits(has, bitorder="little").view(np.int64))
+            ends = np.cumsum([0, *map(len, masks)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(masks) if masks else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(inside, pa.int64())], ["h", "hub", "mask", "inside"])
+
+    pairs = members.select("h", "hub").distinct()
+    left = sets.select("h", F.col("hashes").alias("a"))
+    right = sets.select(F.col("h").alias("hub"), F.col("hashes").alias("b"))
+    return pairs.join(left, "h").join(right, "hub").select("h", "hub", "a", "b").mapInArrow(run, "h long, hub long, mask array<long>, inside long")
+
+
 def _may_link(similarity: float) -> Column:
-    """Whether a member and a hub can have the likeness: they share at most what is not lone in either."""
-    shared = F.least(F.col("n") - F.col("lone"), F.col("hub.n") - F.col("hub.lone"))
-    return shared >= F.lit(similarity) * (F.col("n") + F.col("hub.n") - shared)
+    """Whether a member and an outsider of a group can have the likeness: of the hub's shingles they share
+    those that both have, and of others at most what is not lone in either."""
+    both = F.aggregate(F.zip_with("mask", "o.mask", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    outside = lambda p: F.col(f"{p}n") - F.col(f"{p}lone") - F.col(f"{p}inside")
+    shared = both + F.greatest(F.lit(0), F.least(outside(""), outside("o.")))
+    return shared >= F.lit(similarity) * (F.col("n") + F.col("o.n") - shared)
+
+
+def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, h and c (component) of the groups in which more than one component is left."""
+    labelled = live.select("key", "h").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("c"))
+    more = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return cut(labelled.join(more, "key"))
 
 
 def near_roots(docs: DataFrame, nodes: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR, repeated: bool = True) -> DataFrame:
     """(node, root) of nodes (h, keys, first) that have near copies."""
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
     rows = nodes.select("h", F.explode("keys").alias("key"))
     groups = cut(rows.groupBy("key").agg(F.min("h").alias("u"), F.max("h").alias("v"), F.count("*").alias("members")).where("members > 1"))
     full = groups.where("members > 2").select("key", "members")
     live = cut(rows.join(F.broadcast(full) if small_enough(full) else full, "key"))
     popular = live.groupBy("h").agg(F.sum("members").alias("met"))
     hubs = live.join(popular, "h").groupBy("key").agg(F.max_by("h", F.struct("met", "h")).alias("hub"))
-    with_hub = live.join(hubs, "key").where("h <> hub").select(F.least("h", "hub").alias("u"), F.greatest("h", "hub").alias("v"))
-    tested = cut(groups.where("members = 2").select("u", "v").unionByName(with_hub).distinct())
+    tested = cut(groups.where("members = 2").select("u", "v").unionByName(ordered(live.join(hubs, "key").where("h <> hub"), "h", "hub")).distinct())
     needed = tested.select(F.col("u").alias("h")).unionByName(tested.select(F.col("v").alias("h"))).distinct()
     sets = sets_of(docs, nodes, needed, size, repeated)
     found = verified(tested, sets, similarity)
     roots = components(found)
-    for turn in ("hub", "outsiders"):
-        labelled = live.select("key", "h").join(roots, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("c"))
-        open_ = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        live = cut(labelled.join(open_, "key"))
-        if live.isEmpty():
-            break
-        if turn == "hub":
-            lone = cut(lone_counts(sets.join(live.select("h").distinct(), "h", "left_semi")))
-        member = live.join(lone, "h").where(F.col("n") - F.col("lone") >= F.lit(similarity) * F.col("n"))
-        each = F.struct("h", "c", "n", "lone")
-        if turn == "hub":
-            hubs = member.groupBy("key").agg(F.min_by(each, F.struct(F.col("lone") / F.col("n"), "h")).alias("hub"))
-        else:
-            counts = member.groupBy("key", "c").agg(F.count("*").alias("members"))
-            main = counts.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("main"))
-            hubs = member.join(main, "key").where("c <> main").select("key", each.alias("hub"))
-        pairs = member.join(hubs, "key").where((F.col("c") != F.col("hub.c")) & _may_link(similarity)).select(F.least("h", "hub.h").alias("u"), F.greatest("h", "hub.h").alias("v")).distinct()
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
-        if not pairs.isEmpty():
-            more = verified(pairs, sets, similarity)
-            tested, found = tested.unionByName(pairs), found.unionByName(more)
-            if not more.isEmpty():
-                roots = components(found)
-    return roots
+    live = _open(live, roots)
+    if live.isEmpty():
+        return roots
+    # Another hub for the groups that are open: the member with the fewest shingles of its own.
+    lone = cut(lone_counts(sets.join(live.select("h").distinct(), "h", "left_semi")))
+    member = live.join(lone, "h").where(F.col("n") - F.col("lone") >= F.lit(similarity) * F.col("n"))
+    hubs = member.groupBy("key").agg(F.min_by(F.struct("h", "c"), F.struct(F.col("lone") / F.col("n"), "h")).alias("b")).select("key", F.col("b.h").alias("hub"), F.col("b.c").alias("hub_c"))
+    member = cut(member.join(hubs, "key"))
+    pairs = cut(ordered(member.where("c <> hub_c"), "h", "hub").join(tested, ["u", "v"], "left_anti"))
+    more = verified(pairs, sets, similarity)
+    tested, found = tested.unionByName(pairs), found.unionByName(more)
+    roots = components(found)
+    # Outsiders of what is open still: those that a member may be like, by what both have of the hub.
+    live = _open(member, roots)
+    if live.isEmpty():
+        return roots
+    counts = live.groupBy("key", "c").agg(F.count("*").alias("members"))
+    main = counts.groupBy("key").agg(F.max_by("c", F.struct("members", "c")).alias("main"))
+    member = member.select("key", "h", "hub").join(live, ["key", "h"]).join(main, "key")
+    member = cut(member.join(lone, "h").join(cut(hub_masks(member, sets)), ["h", "hub"]))
+    outside = member.where("c <> main").select("key", F.struct("h", "c", "n", "lone", "mask", "inside").alias("o"))
+    pairs = member.join(outside, "key").where((F.col("c") != F.col("o.c")) & (F.least("n", "o.n") >= F.lit(similarity) * F.greatest("n", "o.n")) & _may_link(similarity))
+    pairs = cut(ordered(pairs, F.col("h"), F.col("o.h")).join(tested, ["u", "v"], "left_anti"))
+    if pairs.isEmpty():
+        return roots
+    more = verified(pairs, sets, similarity)
+    return roots if more.isEmpty() else components(found.unionByName(more))
 
 
 def drop_near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR) -> DataFrame:
