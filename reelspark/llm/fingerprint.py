@@ -38,7 +38,7 @@ _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 #: Rows of a range, and ranges of a task, beyond which there are more of them. The bounds of at most
 #: MAX_BUCKETS ranges (131 million rows) reach the driver; of a larger table the ranges grow instead.
 ROWS_PER_BUCKET = 2000
-RANGES_PER_TASK = 16
+RANGES_PER_TASK = 4
 MAX_BUCKETS = 1 << 16
 
 
