@@ -146,7 +146,7 @@ def clips(probes: DataFrame, path: str, text: str) -> DataFrame:
     d = d.withColumn("rate", timecode.parse_rate(video["r_frame_rate"])).withColumn("tc", F.get(codes, F.lit(0))).withColumn("fps", timecode.nominal_fps(F.col("rate")))
     start = timecode.tc_to_frames(F.col("tc"), F.col("fps"), F.coalesce(F.col("tc").contains(";"), F.lit(False)))
     error = F.when(F.col("_p").isNull(), "unreadable").when(F.col("rate").isNull(), "no video").when(F.col("tc").isNull(), "no timecode").otherwise("")
-    return d.select(path, "rate", start.alias("start_frame"), F.col("_p.format.duration").try_cast("double").alias("duration"), F.size(F.filter("_p.streams", lambda s: s["codec_type"] == "audio")).alias("audio_streams"), error.alias("error"))
+    return d.select(path, "rate", F.when(F.col("rate").isNotNull(), start).alias("start_frame"), F.col("_p.format.duration").try_cast("double").alias("duration"), F.size(F.filter("_p.streams", lambda s: s["codec_type"] == "audio")).alias("audio_streams"), error.alias("error"))
 
 
 def sync_plan(matches: DataFrame) -> DataFrame:
