@@ -42,7 +42,7 @@ def digit_runs(name: Column) -> Column:
 def natural_key(text: Column) -> Column:
     """Sorts digit runs as numbers and before text: an array of (is text, number, text)."""
     runs = F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.transform(runs, lambda r: F.struct((~r.rlike("^[0-9]")).cast("int").alias("kind"), F.coalesce(r.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"), F.lower(r).alias("text")))
+    return F.transform(runs, lambda r: F.struct((~r.rlike("^[0-9]")).cast("int").alias("kind"), F.coalesce(r.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(r.rlike("^[0-9]"), "").otherwise(F.lower(r)).alias("text")))
 
 
 def safe_part(text: Column, with_: str = "-") -> Column:

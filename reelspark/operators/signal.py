@@ -131,6 +131,13 @@ def running_min(df: DataFrame, by: list[str], at: str, value: str, width: int) -
     return F.min(value).over(Window.partitionBy(*by).orderBy(at).rowsBetween(0, width - 1))
 
 
+def level_db(df: DataFrame, by: list[str], at: str, value: str, width: int) -> DataFrame:
+    """df with peak_db of each row and power_db, the mean power of the row and the width - 1 before it (null until there are as many)."""
+    w = Window.partitionBy(*by).orderBy(at).rowsBetween(-(width - 1), 0)
+    power = F.when(F.count("*").over(w) == width, 10 * F.log10(F.greatest(F.avg(F.col(value) * F.col(value)).over(w), F.lit(1e-20))))
+    return df.withColumn("peak_db", 20 * F.log10(F.greatest(F.abs(value), F.lit(1e-10)))).withColumn("power_db", power)
+
+
 def box(df: DataFrame, by: list[str], at: str, value: str, reach: int) -> Column:
     """Mean of the rows up to `reach` away, of those that exist."""
     return F.avg(value).over(Window.partitionBy(*by).orderBy(at).rowsBetween(-reach, reach))

@@ -33,4 +33,4 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
     return put
 
 
-from reelspark.queries import duplicates, fields, joins, rows, signal  # noqa: E402, F401
+from reelspark.queries import duplicates, fields, joins, media, rows, signal  # noqa: E402, F401

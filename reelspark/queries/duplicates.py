@@ -79,12 +79,14 @@ def q_similar_names(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT DISTINCT p_name FROM part), y AS (SELECT DISTINCT upper(p_name) || ' INC' AS project FROM part)
-SELECT p_name AS folder, project, CAST(2 AS INTEGER) AS rank, CAST(1 AS BIGINT) AS files FROM x JOIN y ON project = upper(p_name) || ' INC'""")
+WITH x AS (SELECT DISTINCT p_brand AS folder FROM part), y AS (SELECT CASE WHEN CAST(substr(p_brand, 7) AS INT) % 3 = 0 THEN p_brand WHEN CAST(substr(p_brand, 7) AS INT) % 3 = 1 THEN upper(replace(p_brand, '#', ' ')) ELSE 'other ' || p_brand END AS project, count(*) AS files FROM part GROUP BY 1)
+SELECT folder, project, CAST(CASE WHEN folder = project THEN 0 ELSE 1 END AS INTEGER) AS rank, files FROM x JOIN y ON regexp_replace(lower(folder), '[^0-9a-z]', '', 'g') = regexp_replace(lower(project), '[^0-9a-z]', '', 'g')""")
 def q_project_match(t: Tables) -> DataFrame:
-    card = t.part.select(F.col("p_name").alias("folder"), F.col("p_name").alias("name")).distinct()
-    library = card.select(F.concat(F.upper("name"), F.lit(" INC")).alias("project"), F.lit(1).cast("long").alias("files"))
-    return dedupe.project_matches(card, library).where(F.upper("folder") == F.expr("substring(project, 1, length(project) - 4)"))
+    """Brands are told apart by their numbers, so none is like another but those of one spelling."""
+    number = F.substring("p_brand", 7, 9).cast("int") % 3
+    project = F.when(number == 0, F.col("p_brand")).when(number == 1, F.upper(F.replace("p_brand", F.lit("#"), F.lit(" ")))).otherwise(F.concat(F.lit("other "), "p_brand"))
+    library = t.part.groupBy(project.alias("project")).agg(F.count("*").alias("files"))
+    return dedupe.project_matches(t.part.select(F.col("p_brand").alias("folder"), F.col("p_brand").alias("name")).distinct(), library)
 
 
 @query()
@@ -110,10 +112,10 @@ def q_project_locations(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT 'lib/' || lang || '/' || source || '/' || upper(source) || '/' || CAST(doc_id AS VARCHAR) AS path, lang, source FROM documents WHERE doc_id % 2 = 0)
+WITH p AS (SELECT 'lib/' || lang || '/' || source || '/' || upper(source) || '/' || CAST(doc_id AS VARCHAR) AS path, lang, source FROM documents)
 SELECT 'lib/' || lang || '/' || source || '/' || upper(source) AS inner, 'lib/' || lang || '/' || source AS outer, count(*) AS files FROM p GROUP BY 1, 2""")
 def q_nested(t: Tables) -> DataFrame:
-    d = t.documents.where("doc_id % 2 = 0").select(F.concat_ws("/", F.lit("lib"), "lang", "source", F.upper("source"), F.col("doc_id").cast("string")).alias("path"))
+    d = t.documents.select(F.concat_ws("/", F.lit("lib"), "lang", "source", F.upper("source"), F.col("doc_id").cast("string")).alias("path"))
     return dedupe.nested_folders(d, "path")
 
 
@@ -164,20 +166,22 @@ def q_review_pairs(t: Tables) -> DataFrame:
     return dedupe.review_pairs(d, ["lang", "n_chars"])
 
 
-@query("SELECT a.vec_id, a.vec_id % 2 = 0 AS contained FROM embeddings a")
+@query("""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x * 20) AS INTEGER)) AS v FROM embeddings)
+SELECT vec_id, len(list_filter(v[3:7], lambda x: NOT list_contains(v[20:64], x))) = 0 AS contained FROM e""")
 def q_channel_contained(t: Tables) -> DataFrame:
-    small = F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 3, 5)).otherwise(F.transform(F.slice("embedding", 3, 5), lambda x: x + 10))
-    return t.embeddings.select("vec_id", dedupe.channels_contained(small, F.col("embedding")).alias("contained"))
+    d = t.embeddings.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 20).cast("int")).alias("v"))
+    return d.select("vec_id", dedupe.channels_contained(F.slice("v", 3, 5), F.slice("v", 20, 45)).alias("contained"))
 
 
 @query(f"""
-WITH p AS (SELECT {_URL} AS path FROM pages), f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder FROM p WHERE path LIKE 'www.%'), s AS (SELECT string_split(folder, '/') AS x FROM f),
+WITH p AS (SELECT 'lib/web/' || {_URL} AS path FROM pages), f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder FROM p), s AS (SELECT string_split(folder, '/') AS x FROM f),
 c AS (SELECT array_to_string(x[1:k], '/') AS folder, count(*) AS n FROM s, LATERAL unnest(range(1, len(x) + 1)) AS u(k) GROUP BY 1)
 SELECT coalesce(max_by(folder, length(folder)), '') AS folder FROM c WHERE n = (SELECT count(*) FROM s)""")
 def q_common_folder(t: Tables) -> DataFrame:
     from reelspark.functions.paths import common_folder
 
-    return common_folder(t.pages.select(_url_path(F.col("url")).alias("path")).where(F.startswith("path", F.lit("www."))), "path")
+    return common_folder(t.pages.select(F.concat(F.lit("lib/web/"), _url_path(F.col("url"))).alias("path")), "path")
 
 
 @query("SELECT doc_id, regexp_replace(lower(source), '[^0-9a-z]', '', 'g') AS plain, regexp_extract_all(source, '([0-9]+)', 1) AS runs FROM documents")

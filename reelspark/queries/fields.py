@@ -280,22 +280,22 @@ def q_card_files(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS m FROM documents WHERE doc_id % 11 <> 5)
+WITH a AS (SELECT doc_id, n_chars FROM documents WHERE source <> 'src3'), b AS (SELECT doc_id, n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS m FROM documents WHERE lang <> 'fr')
 SELECT CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR) AS relative, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'not on the card' ELSE 'differs' END AS wrong
 FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR n_chars <> m""")
 def q_manifest(t: Tables) -> DataFrame:
-    d = t.documents.select(F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("relative"), F.col("n_chars").alias("size"))
-    return cards.manifest_differences(d.where("k % 10 <> 3"), d.where("k % 11 <> 5").withColumn("size", F.col("size") + F.when(F.col("k") % 9 == 0, 1).otherwise(0)))
+    d = t.documents.select(F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("relative"), F.col("n_chars").alias("size"), "source", "lang")
+    return cards.manifest_differences(d.where("source <> 'src3'"), d.where("lang <> 'fr'").withColumn("size", F.col("size") + F.when(F.col("k") % 9 == 0, 1).otherwise(0)))
 
 
 @query("""
-WITH c AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 4 > 0), l AS (SELECT doc_id, n_chars, CAST(doc_id AS DOUBLE) + CASE WHEN doc_id % 6 = 1 THEN 0.5 ELSE 0.001 END AS m FROM documents WHERE doc_id % 7 > 0)
+WITH c AS (SELECT doc_id, n_chars FROM documents WHERE source <> 'src3'), l AS (SELECT doc_id, n_chars, CAST(doc_id AS DOUBLE) + CASE WHEN doc_id % 6 = 1 THEN 0.5 ELSE 0.001 END AS m FROM documents WHERE lang <> 'fr')
 SELECT c.doc_id FROM c JOIN l USING (doc_id) WHERE c.n_chars = l.n_chars AND abs(m - c.doc_id) <= 0.01""")
 def q_unchanged(t: Tables) -> DataFrame:
     k = F.col("doc_id")
-    d = t.documents.select("doc_id", k.cast("string").alias("path"), F.col("n_chars").alias("size"), k.cast("double").alias("mtime"))
-    now = d.where("doc_id % 7 > 0").withColumn("mtime", F.col("mtime") + F.when(k % 6 == 1, 0.5).otherwise(0.001))
-    return store.unchanged(now, d.where("doc_id % 4 > 0"), store.SHARED_TOLERANCE).select("doc_id")
+    d = t.documents.select("doc_id", k.cast("string").alias("path"), F.col("n_chars").alias("size"), k.cast("double").alias("mtime"), "source", "lang")
+    now = d.where("lang <> 'fr'").withColumn("mtime", F.col("mtime") + F.when(k % 6 == 1, 0.5).otherwise(0.001))
+    return store.unchanged(now, d.where("source <> 'src3'"), store.SHARED_TOLERANCE).select("doc_id")
 
 
 @query("""
@@ -340,11 +340,11 @@ def q_clips(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT doc_id, lang, n_chars % 100 AS take FROM documents), own AS (SELECT * FROM e WHERE doc_id % 20 = 0)
+WITH e AS (SELECT doc_id, lang, n_chars % 100 AS take FROM documents), own AS (SELECT e.* FROM e JOIN documents d USING (doc_id) WHERE d.source = 'src1')
 SELECT DISTINCT CAST(e.doc_id AS VARCHAR) AS path, 'scene' AS "column", 'S' || CAST(own.doc_id AS VARCHAR) AS value FROM own JOIN e ON e.lang = own.lang AND e.take = own.take""")
 def q_edit_plan(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("path"), "lang", (F.col("n_chars") % 100).alias("take"))
-    edits = d.where("doc_id % 20 = 0").select("path", F.lit("scene").alias("column"), F.concat(F.lit("S"), "path").alias("value"))
+    d = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("path"), "lang", (F.col("n_chars") % 100).alias("take"), "source")
+    edits = d.where("source = 'src1'").select("path", F.lit("scene").alias("column"), F.concat(F.lit("S"), "path").alias("value"))
     return files.edit_plan(d, edits, ["lang", "take"])
 
 

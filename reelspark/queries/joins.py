@@ -100,14 +100,14 @@ def q_tolerance_join(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT doc_id AS seq, lang || '/' || CAST(doc_id % 700 AS VARCHAR) AS dst, n_chars AS size, CAST(doc_id AS DOUBLE) AS mtime FROM documents),
-x AS (SELECT lang || '/' || CAST(doc_id AS VARCHAR) AS dst, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS e_size, CAST(doc_id AS DOUBLE) + CASE WHEN doc_id % 3 = 0 THEN 2.5 ELSE 1.0 END AS e_mtime FROM documents WHERE doc_id % 2 = 0)
+x AS (SELECT lang || '/' || CAST(doc_id AS VARCHAR) AS dst, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS e_size, CAST(doc_id AS DOUBLE) + CASE WHEN doc_id % 3 = 0 THEN 2.5 ELSE 1.0 END AS e_mtime FROM documents WHERE n_chars > 400)
 SELECT seq, dst, CASE WHEN row_number() OVER (PARTITION BY dst ORDER BY seq) > 1 THEN 'conflict' WHEN e_size IS NULL THEN 'new' WHEN size = e_size AND abs(mtime - e_mtime) < 2.1 THEN 'same' ELSE 'conflict' END AS status
 FROM s LEFT JOIN x USING (dst)""")
 def q_copy_plan(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "lang", "n_chars")
     name = lambda k: F.concat_ws("/", "lang", k.cast("string"))
     source = d.select(F.col("doc_id").alias("seq"), name(F.col("doc_id") % 700).alias("dst"), F.col("n_chars").alias("size"), F.col("doc_id").cast("double").alias("mtime"))
-    there = d.where("doc_id % 2 = 0").select(name(F.col("doc_id")).alias("dst"), (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("e_size"), (F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 2.5).otherwise(1.0)).alias("e_mtime"))
+    there = d.where("n_chars > 400").select(name(F.col("doc_id")).alias("dst"), (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("e_size"), (F.col("doc_id") + F.when(F.col("doc_id") % 3 == 0, 2.5).otherwise(1.0)).alias("e_mtime"))
     return op.copy_plan(source, there).select("seq", "dst", "status")
 
 
@@ -131,11 +131,12 @@ def q_translate(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id AS file, md5(text) AS digest FROM documents WHERE doc_id % 3 = 0), k AS (SELECT c.file, d.doc_id AS dst, md5(d.text) AS c_digest FROM c JOIN documents d ON d.doc_id BETWEEN c.file - 1 AND c.file + 1 AND d.doc_id <> c.file),
-r AS (SELECT c.file, c.digest, k.dst, k.c_digest, coalesce(c.digest = k.c_digest, false) AS eq, row_number() OVER (PARTITION BY c.file ORDER BY coalesce(c.digest = k.c_digest, false) DESC, k.dst) AS n FROM c LEFT JOIN k USING (file))
+WITH c AS (SELECT doc_id AS file, lang, source, n_chars, md5(text) AS digest FROM documents),
+k AS (SELECT c.file, c.digest, d.file AS dst, d.digest AS c_digest FROM c LEFT JOIN c d ON d.lang = c.lang AND d.n_chars = c.n_chars AND d.file <> c.file),
+r AS (SELECT *, coalesce(digest = c_digest, false) AS eq, row_number() OVER (PARTITION BY file ORDER BY coalesce(digest = c_digest, false) DESC, dst) AS n FROM k)
 SELECT file, CASE WHEN eq THEN CAST(dst AS VARCHAR) END AS dst, CASE WHEN eq THEN 'verified' WHEN c_digest IS NOT NULL THEN 'different' ELSE 'new' END AS status FROM r WHERE n = 1""")
 def q_backup_verify(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    card = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("file"), "digest")
-    near = d.select(F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("file"), F.col("doc_id").alias("priority"), F.col("doc_id").cast("string").alias("dst"), F.col("digest").alias("c_digest"))
-    return op.verified_backup(card, near)
+    d = t.documents.select(F.col("doc_id").alias("file"), "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+    there = d.select(F.col("file").alias("priority"), "lang", "n_chars", F.col("file").cast("string").alias("dst"), F.col("digest").alias("c_digest"))
+    near = d.select("file", "lang", "n_chars").join(there, ["lang", "n_chars"]).where("file <> priority").select("file", "priority", "dst", "c_digest")
+    return op.verified_backup(d.select("file", "digest"), near)

@@ -135,26 +135,31 @@ def q_report_groups(t: Tables) -> DataFrame:
     return catalog.report_groups(t.orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")), "o_orderpriority", "day", "o_orderkey")
 
 
-@query("""
-SELECT conv_id, coalesce(max(CASE WHEN k = 1 THEN role END), '') AS "Trk1", coalesce(max(CASE WHEN k = 2 THEN role END), '') AS "Trk2", coalesce(max(CASE WHEN k = 3 THEN role END), '') AS "Trk3", coalesce(max(CASE WHEN k = 4 THEN role END), '') AS "Trk4"
-FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM conversations) GROUP BY conv_id""")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS track, role AS name FROM conversations")
 def q_report_tracks(t: Tables) -> DataFrame:
     roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return catalog.track_columns(t.conversations.groupBy("conv_id").agg(roles.alias("tracks")), "tracks", 4)
+    d = t.conversations.groupBy("conv_id").agg(roles.alias("tracks"))
+    width = catalog.max_tracks(d, "tracks")  # a column for each track of the longest record, read back as rows
+    wide = catalog.track_columns(d, "tracks", width)
+    rows = F.array(*(F.struct(F.lit(k).cast("long").alias("track"), F.col(f"Trk{k}").alias("name")) for k in range(1, width + 1)))
+    return wide.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.track", "r.name").where("name <> ''")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, coalesce(o_custkey, -1), o_orderkey) AS position FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_custkey % 3 = 0 THEN -1 ELSE o_custkey END, 'p' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS position FROM orders")
 def q_report_order(t: Tables) -> DataFrame:
-    d = t.orders.where("o_orderpriority = '1-URGENT'")
-    return catalog.positions(d, F.col("o_orderdate"), F.coalesce("o_custkey", F.lit(-1)), F.col("o_orderkey")).select("o_orderkey", "position")
+    d = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("time_reference"), F.concat(F.lit("p"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("path"))
+    return catalog.positions(d, *catalog.report_order(d)).select("o_orderkey", "position")
 
 
 @query("""
-SELECT s_suppkey, name, row_number() OVER (ORDER BY n, s_suppkey) AS position
-FROM (SELECT s_suppkey, 'Supplier#' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS n FROM supplier)""")
+SELECT p_partkey, name, row_number() OVER (ORDER BY a, b, p_partkey) AS position
+FROM (SELECT p_partkey, p_partkey % 137 AS a, p_partkey % 11 AS b, ['Take', 'take', 'TAKE'][p_partkey % 3 + 1] || CAST(p_partkey % 137 AS VARCHAR) || ['b', 'B'][p_partkey % 2 + 1] || lpad(CAST(p_partkey % 11 AS VARCHAR), CAST(greatest(length(CAST(p_partkey % 11 AS VARCHAR)), 1 + p_partkey % 4) AS INT), '0') AS name FROM part)""")
 def q_natural_sort(t: Tables) -> DataFrame:
-    d = t.supplier.select("s_suppkey", F.concat(F.lit("Supplier#"), F.col("s_suppkey").cast("string")).alias("name"))
-    return catalog.natural_order(d, "name", "s_suppkey").select("s_suppkey", "name", "position")
+    k = F.col("p_partkey")
+    pick = lambda n, *v: F.get(F.array(*(F.lit(x) for x in v)), (k % n).cast("int"))
+    second = (k % 11).cast("string")
+    d = t.part.select("p_partkey", F.concat(pick(3, "Take", "take", "TAKE"), (k % 137).cast("string"), pick(2, "b", "B"), F.when(F.length(second) >= 1 + k % 4, second).otherwise(F.lpad(second, (1 + k % 4).cast("int"), F.lit("0")))).alias("name"))
+    return catalog.natural_order(d, "name", "p_partkey").select("p_partkey", "name", "position")
 
 
 @query("""

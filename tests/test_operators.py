@@ -192,3 +192,10 @@ def test_size_estimate_and_status(spark):
     d = spark.range(0, 5000).select("id", F.lit(7).cast("long").alias("size"))
     r = catalog.size_estimate(d, "size", "id").first()
     assert r["estimate"] == pytest.approx(35000, rel=0.02) and 380 <= r["sampled"] <= 440
+
+
+def test_every_length_of_day_is_matched(spark):
+    """More lengths of day than any list of rates has: no clip is lost."""
+    takes = spark.createDataFrame([("t", 0, 10_000, 2, 1, None)], "take string, t_start long, t_len long, t_channels int, t_seq int, t_date date")
+    clips = spark.createDataFrame([(f"c{k}", 100 + k, 50, 1_000_000 + k, None) for k in range(1500)], "clip string, c_start long, c_len long, c_day long, c_date date")
+    assert joins.match_clips(takes, clips, 1000).where("chosen").count() == 1500
