@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +34,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """UTF-8 words of a text; bytes.split() splits at exactly the space and the characters 9 to 13."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def lower_words(text: str | None) -> list[bytes]:
-    """As words_of, with A-Z (and no other letter) lower-cased."""
+    """UTF-8 words of a text with A-Z (and no other letter) lower-cased; bytes.split() splits at exactly the space and the characters 9 to 13."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
@@ -57,50 +49,26 @@ def remainder_column(doc_id: Column, divisor: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(-1)).cast("int")
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are bounded in bytes by the session's settings."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = work(batch)
-            if isinstance(made, pa.RecordBatch):
-                yield made
-            else:
-                yield from made
-
-    return df.mapInArrow(run, schema)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written to the shared checkpoint folder, so lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def hash_terms(words: list[bytes], bits: int, seed: int = 0) -> np.ndarray:
-    """Slots of 2**bits for the words."""
-    import xxhash
-
-    mask = (1 << bits) - 1
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) & mask for w in words), np.int64, len(words))
-
-
-def count_of(pattern: str, text: str) -> int:
-    return sum(1 for _ in re.finditer(pattern, text))
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int) -> DataFrame:
     """doc_id, text and y of at most `most` labelled documents outside the held-out fold.
 
-    fold (4, 2) holds out the ids whose crc32 is 2 modulo 4. The rows are those with the smallest
+    fold (4, 2) holds out the ids whose crc32 is 2 modulo 4. The documents are those with the smallest
     hashes of their ids, so every size of corpus is sampled alike; the bound on their number makes
-    the list of ids small enough to broadcast.
+    the list of ids small enough to broadcast. Of labels that contradict each other 1 holds; of an id's
+    texts that with the smallest hash is learned from, so an id that repeats is one row.
     """
     divisor, held_out = fold
     wanted = labels.select(labels["doc_id"].cast("long").alias("id"), labels[label].cast("int").alias("y"))
     wanted = wanted.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (remainder_column(F.col("id"), divisor) != held_out))
     wanted = wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
-    return id_and_text(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+    found = id_and_text(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("id"))
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

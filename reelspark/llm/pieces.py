@@ -9,7 +9,9 @@ character in a text is kept apart from a space by its bytes.
 No piece has a marker or a line break behind another character, so the best path of a text is that
 of its words one after another; words are encoded once for a task and remembered, within a bound.
 
-Defined results: a null or empty text has no ids; repeated rows stay.
+Defined results: a null or empty text has no ids; repeated rows and rows without id stay; an empty table
+gives none; further columns, whatever their names, don't matter. A very long text is cut into words, and
+a single very long word costs time and memory in proportion to its bytes.
 """
 
 from __future__ import annotations
@@ -330,7 +332,7 @@ def _cut(text: str) -> list[tuple[str | None, list[str]]]:
     return out
 
 
-def tokens(docs: DataFrame, path: str = MODEL, scores: str = "rank", carry: bool = False) -> DataFrame:
+def tokens(docs: DataFrame, path: str = MODEL, scores: str = "rank") -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, round_trip (decoding gives the text) and ids of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(UnigramTokenizer.load(path, scores))  # a vocabulary file's size
 

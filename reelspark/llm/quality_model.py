@@ -7,7 +7,8 @@ together from document labels alone, on a bounded sample; scores read every pass
 
 Defined results: a null or empty text has one empty passage; without labels of both kinds every
 text scores the share of label 1 (0.5 without labels); repeated rows stay, and a null doc_id is not
-held out.
+held out; an empty table gives no rows; further columns, whatever their names, don't matter. A very
+long text is as many passages as it has, and a row of numbers for each.
 """
 
 from __future__ import annotations

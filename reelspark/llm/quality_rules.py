@@ -1,11 +1,13 @@
 """Quality rules over documents as a bitmask ledger, in DataFrame functions alone.
 
 Every rule is evaluated once: the ledger holds each document's measurements and one failure bit
-for each rule. A policy is a versioned set of rules, applied as a mask to the stored bits, so a new
-policy or an ablation never reads a text again.
+for each rule. Once it is written (save_ledger), a policy, a versioned set of rules applied as a mask to
+the stored bits, or an ablation reads the ledger and never a text.
 
 Defined results: a null or empty text has no words and zero measurements (and so fails the rule on
-few words); repeated rows stay, each with its own row; further columns don't matter.
+few words); repeated rows and rows without id stay, each with its own row; an empty table gives none;
+further columns, whatever their names, stay or don't matter. A very long text is measured in its row,
+with its words and the hashes of its windows in memory.
 """
 
 from __future__ import annotations
@@ -105,6 +107,12 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs).withColumn("failed", failure_bits())
 
 
+def save_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """Writes the ledger of docs and gives it as it was written."""
+    ledger(docs).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def apply_policy(led: DataFrame, policy: str | list[str]) -> Column:
     """True where the ledger's row passes the policy."""
     return led["failed"].bitwiseAND(F.lit(mask_of(policy))) == 0

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.llm import fingerprint, lm, mixing, pieces, pii, quality_model, quality_rules, simhash, toxicity, url_filter
 from reelspark.llm.common import read_table
+from reelspark.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +31,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents")).drop("failed")
+    return quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents"))
+
+
+def op5_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects alone and at all, from a written ledger."""
+    path = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return quality_rules.ablation(quality_rules.save_ledger(read_table(spark, sf_dir, "documents"), path))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op5_rule_ablation": op5_rule_ablation,
     "op6_lm_score": op6_lm_score,
     "op7_url_filter": op7_url_filter,
     "op8_quality_model": op8_quality_model,
@@ -65,8 +74,7 @@ QUERIES: dict[str, Query] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {
-    "op5_quality_rules": r"""
+_LEDGER = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), l AS (
@@ -86,13 +94,16 @@ WITH t AS (
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM t JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)
 ), b AS (
-  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m
+  SELECT *, CAST(CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > 3 * n_words AS INT) + 8 * CAST(n_lines >= 4 AND 2 * n_dup_lines > n_lines AS INT)
+    + 16 * CAST(word_chars < 2 * n_words OR word_chars > 20 * n_words AS INT) + 32 * CAST(5 * n_upper > 3 * word_chars AS INT) AS BIGINT) AS failed FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)
-       OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 5 * n_upper > 3 * word_chars) AS kept
-FROM b
-""",
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_quality_rules": _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM b",
+    "op5_rule_ablation": _LEDGER
+    + """, r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32))
+SELECT rule, count(*) FILTER (WHERE failed = bit) AS rejects_alone, count(*) FILTER (WHERE failed & bit <> 0) AS rejects, count(*) FILTER (WHERE failed <> 0) AS policy_rejects FROM b CROSS JOIN r GROUP BY rule""",
     "op7_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages

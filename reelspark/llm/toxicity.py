@@ -7,7 +7,8 @@ the weights of uninformative terms to zero; scores read whole texts.
 
 Defined results: a null or empty text has no terms and scores by the bias alone; without labels of
 both kinds every text scores the share of label 1 (0.5 without labels); repeated rows stay, and a
-null doc_id is not held out.
+null doc_id is not held out; an empty table gives no rows; further columns, whatever their names, don't
+matter. A very long text needs the memory of its distinct words.
 """
 
 from __future__ import annotations

@@ -92,3 +92,41 @@ def test_attention_sums_to_one():
     m = Q.train(rows, np.array([1.0, 0.0, 1.0]), epochs=1)
     which = np.repeat(np.arange(3), [len(r) for r in rows])
     assert np.bincount(which, m.forward(np.concatenate(rows), which, 3)["att"]) == pytest.approx([1, 1, 1])
+
+
+def test_interactions_learn_what_weights_cannot():
+    """Label 1 where exactly one of two terms is there: the linear part is blind to it."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (1600, 2))
+    y = (x[:, 0] ^ x[:, 1]).astype(float)
+    # Each term also stands for its absence, so that pairs can say both cases.
+    rows = [np.array(sorted([5 + 20 * a, 9 + 20 * b])) for a, b in x]
+    informative = T.informative
+    T.informative = lambda rows, y, **_: np.unique(np.concatenate(rows))  # none is informative alone
+    try:
+        m = T.train(rows, y, epochs=300)
+    finally:
+        T.informative = informative
+    linear = T.FactorizationMachine(m.bias, m.slots, m.weights, np.zeros_like(m.factors))
+    assert auc(np.array([m.score(r) for r in rows]), y) > 0.95 and abs(auc(np.array([linear.score(r) for r in rows]), y) - 0.5) < 0.1
+
+
+def test_interactions_change_real_scores(larger):
+    docs, labels = larger
+    m = T.fit(docs, labels)
+    linear = T.FactorizationMachine(m.bias, m.slots, m.weights, np.zeros_like(m.factors))
+    terms = T.Terms()
+    rows = [terms(r["text"]) for r in docs.join(labels, "doc_id").select("text").limit(400).collect()]
+    assert max(abs(m.score(r) - linear.score(r)) for r in rows) > 0.05
+
+
+@pytest.mark.parametrize("op,fit", [(T, T.fit), (Q, Q.fit)])
+def test_repeated_ids_are_one_row(spark, op, fit, monkeypatch):
+    """Many rows of a labelled id, and labels that contradict each other: one row of it is learned from."""
+    seen = {}
+    monkeypatch.setattr(op, "train", lambda rows, y: seen.update(n=len(rows), y=sorted(y.tolist())))
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(3, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    fit(docs, labels)
+    wanted = [y for i, y in ((1, 1.0), (3, 0.0)) if remainder(i, 4) != 2]
+    assert seen == {"n": len(wanted), "y": sorted(wanted)}
