@@ -319,6 +319,25 @@ def block_powers(blocks: DataFrame, by: list[str], at: str, samples: str, rate:
     return in_order(blocks.select(*by, at, samples), by, [at], fresh, schema)
 
 
+def stitched(x: np.ndarray, kernel: Callable[[np.ndarray], np.ndarray], rate: int, block: float = 300.0, preroll: float = 10.0, fade: float = 0.02) -> np.ndarray:
+    """A model's output over a long track: blocks of some minutes, each begun earlier so that the model
+    settles, and faded into the one before. With one block it is the kernel's own output."""
+    size, early, over = int(block * rate), int(preroll * rate), max(1, int(fade * rate))
+    out = np.zeros(len(x), np.float32)
+    rise = (np.arange(over) + 0.5) / over
+    for low in range(0, max(len(x), 1), size):
+        begun, high = max(0, low - early), min(len(x), low + size + over)
+        y = np.asarray(kernel(x[begun:high]), np.float32)
+        if len(y) != high - begun:
+            raise ValueError("the model changed the length")
+        y = y[low - begun :]
+        if low:
+            n = min(over, len(y))
+            y[:n] = out[low : low + n] * (1 - rise[:n]) + y[:n] * rise[:n]
+        out[low:high] = y
+    return out
+
+
 def register_processor(name: str, kernel):
     """A user's kernel (float array to float array) as a function of an array<float> column."""
 

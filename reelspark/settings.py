@@ -1,0 +1,41 @@
+"""Settings of the engine: typed, with defaults, kept as one JSON object."""
+
+from __future__ import annotations
+
+import json
+import os
+
+#: Defaults; a value of another type, or a key that isn't here, is not taken.
+DEFAULTS: dict[str, object] = {
+    "library_folder": "", "containers": ["SD_1", "SD_2"], "removed_folder": "_Removed", "protected_folders": [], "verify_copies": True, "allow_rewrite": False,
+    "blocks_frames": 48_000, "waveform_buckets": 4096, "time_tolerance": 2.1, "index_tolerance": 0.01, "similar_names": 0.85, "preview_rows": 5000,
+    "report_columns": ["name", "scene", "take", "start_tc", "length", "tracks", "notes"], "report_style": "list", "loudness_target": "ebu", "chain": "[]",
+}
+
+
+def _fits(key: str, value: object) -> bool:
+    kind = type(DEFAULTS[key])
+    if kind is float and type(value) is int:
+        return True
+    return type(value) is kind and (kind is not list or all(isinstance(x, str) for x in value))
+
+
+def load(path: str) -> dict[str, object]:
+    """All settings; the defaults where the file has none, or something of another type."""
+    try:
+        with open(path) as f:
+            held = json.load(f)
+    except (OSError, ValueError):
+        held = {}
+    return {k: held[k] if isinstance(held, dict) and k in held and _fits(k, held[k]) else v for k, v in DEFAULTS.items()}
+
+
+def put(path: str, key: str, value: object) -> None:
+    """Keeps one value, through a file that replaces the old one."""
+    if key not in DEFAULTS or not _fits(key, value):
+        raise ValueError(f"{key} can't be {value!r}")
+    held = load(path) | {key: value}
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.part", "w") as f:
+        json.dump({k: v for k, v in held.items() if v != DEFAULTS[k]}, f, ensure_ascii=False, indent=1)
+    os.replace(f"{path}.part", path)
