@@ -37,6 +37,8 @@ CHUNK = 1 << 15
 #: Members of a cell that are compared pair by pair, and rows of a table that may be broadcast.
 FEW = 16
 SMALL = 500_000
+#: Links for which the rounds of the components take another task.
+PER_TASK = 200_000
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> Iterator[bytes]:
@@ -151,15 +153,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = checksum(now)
+    # Links that are few are held together, so that rounds don't write a file for each partition and shuffle.
+    width = 1 + int(before[0]) // PER_TASK
     done = not before[0]
+    now = now.coalesce(width)
     while not done:  # each round lowers some node's neighbour, or is the last
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(width)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(width).distinct().coalesce(width)
+        smallest = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(width)
+        small = large.join(smallest, "u").coalesce(width)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after_df = cut(small.where("u <> v").distinct())
+        after_df = cut(small.where("u <> v").coalesce(width).distinct().coalesce(width))
         after = checksum(after_df)
         now, done, before = after_df, after == before, after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
