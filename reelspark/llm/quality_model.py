@@ -1,7 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A text is cut into passages of 64 words. Each is encoded from the mix of its characters (by class),
-its word lengths and how many of its words are new; gated attention weighs the passages, and the
+A text is cut into passages of 64 words. Each is encoded from its words (hashed to signed dimensions),
+the mix of its characters (by class), its word lengths and how many of its words are new; gated attention weighs the passages, and the
 weighted sum of their encodings is scored. The weights of encoder, attention and score are learned
 together from document labels alone, on a bounded sample; scores read every passage of a text.
 
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from reelspark.llm.common import id_and_text, labelled_sample, remainder, sigmoid
@@ -33,7 +34,9 @@ THRESHOLD = 0.7
 #: Character classes of UTF-8 bytes; each further listed byte is a class of its own.
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\x0b\x0c", ".", ",", "!", "?", "#", "$", "%", "&", "*", "|", "<>", "\"'`", "()[]{}", "-_/\\", "=+~^", ":;@"]
 CLASSES = len(_CLASSES) + 2
-FEATURES = CLASSES + 5
+#: Signed dimensions that words are hashed to, and words whose hashes a task remembers.
+WORD_DIMS, REMEMBERED = 32, 200_000
+FEATURES = CLASSES + 5 + WORD_DIMS
 
 
 def _class_table() -> np.ndarray:
@@ -47,6 +50,22 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 
 
+_hashed: dict[bytes, int] = {}
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Of each word, lower-cased, its dimension and, above it, its sign."""
+    if len(_hashed) > REMEMBERED:
+        _hashed.clear()
+    out = []
+    for w in words:
+        h = _hashed.get(w)
+        if h is None:
+            h = _hashed[w] = xxhash.xxh3_64_intdigest(w.lower()) % (2 * WORD_DIMS)
+        out.append(h)
+    return np.array(out, np.int64)
+
+
 def passages(text: str | None) -> np.ndarray:
     """A row of FEATURES for each passage of the text."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -57,11 +76,14 @@ def passages(text: str | None) -> np.ndarray:
     chars = np.bincount(which * CLASSES + _TABLE[np.frombuffer(b"".join(raw), np.uint8)], minlength=len(raw) * CLASSES).reshape(-1, CLASSES)
     out = np.empty((len(raw), FEATURES))
     out[:, :CLASSES] = np.sqrt(chars / np.maximum(sizes, 1)[:, None])
+    hashes, at = _word_hashes(words), np.arange(len(words)) // PASSAGE
+    signed = np.bincount(at * WORD_DIMS + hashes % WORD_DIMS, 1.0 - 2.0 * (hashes // WORD_DIMS), len(raw) * WORD_DIMS).reshape(-1, WORD_DIMS)
+    out[:, CLASSES + 5 :] = signed / np.sqrt(np.maximum([len(p) for p in parts], 1))[:, None]
     seen: set[bytes] = set()
     for k, p in enumerate(parts):
         n, kinds = max(len(p), 1), set(p)
         fresh = kinds - seen
-        out[k, CLASSES:] = len(kinds) / n, len(fresh) / n, min(sizes[k] / n / 10, 3.0), min(max(map(len, p), default=0) / 30, 3.0), len(p) / PASSAGE
+        out[k, CLASSES : CLASSES + 5] = len(kinds) / n, len(fresh) / n, min(sizes[k] / n / 10, 3.0), min(max(map(len, p), default=0) / 30, 3.0), len(p) / PASSAGE
         seen |= fresh
     return out
 
