@@ -175,6 +175,29 @@ def looks_stereo(tracks: Column, name: Column) -> Column:
     return (F.size(tracks) == 2) & (stem(name).rlike("(?i)_LR$") | sides | ends)
 
 
+def report_name(project: Column, first_day: Column, last_day: Column) -> Column:
+    """A report's file name: its project and its day, or its first and last one."""
+    known = lambda x: F.coalesce(x, F.lit("")) != ""
+    days = F.when(~known(first_day), "").when(first_day == last_day, F.concat(F.lit(" "), first_day)).otherwise(F.concat(F.lit(" "), first_day, F.lit(" to "), last_day))
+    return F.trim(F.regexp_replace(F.concat(F.when(known(project), project).otherwise("Sound"), F.lit(" Sound Report"), days), r'[/\\:*?"<>|]', "-"))
+
+
+def copy_ending(platform: Column) -> Column:
+    """What the name of a copy for a platform ends in: its name before a bracket, letters and digits alone."""
+    return F.concat(F.lit("_"), F.regexp_replace(F.split_part(platform, F.lit(" ("), F.lit(1)), "[^A-Za-z0-9]", ""))
+
+
+def combined_name(scene: Column, take: Column, original: Column, parts: Column, ext: Column, taken: Column) -> Column:
+    """The name of a file of several: that of the take they came from, else of scene and take; with the
+    parts' names behind it where it is taken, and those alone where there is neither."""
+    s, t = F.trim(scene), F.trim(take)
+    core = F.regexp_replace(F.coalesce(original, F.lit("")), r"(?i)(?:_[^.]*)?\.[^.]*$", "")
+    own = F.lower(F.regexp_replace(core, r"[-_ ]", "")) == F.lower(F.concat(F.regexp_replace(s, r"[-_ ]", ""), F.lit("t"), F.regexp_replace(t, r"[-_ ]", "")))
+    base = F.when((s == "") | (t == ""), core).when(own, core).otherwise(safe_part(F.concat(s, F.lit("T"), t)))
+    joined = F.array_join(parts, "+")
+    return F.when(base == "", F.concat(joined, ext)).when(F.array_contains(taken, F.concat(base, ext)), F.concat(base, F.lit("_"), joined, ext)).otherwise(F.concat(base, ext))
+
+
 def html_escaped(text: Column) -> Column:
     for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(old), F.lit(new))

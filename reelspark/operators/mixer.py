@@ -47,3 +47,12 @@ def matrix(df: DataFrame, take: str) -> DataFrame:
     d = df.withColumn("_on", sounding.cast("int")).withColumn("_n", F.greatest(F.sum("_on").over(w), F.lit(1)))
     gain = F.when(F.col("_on") == 1, audio.db_to_gain(F.col("gain_db") + F.col("master"))).otherwise(0.0) / F.sqrt("_n")
     return d.select(take, "channel", (gain * left).alias("left"), (gain * right).alias("right"))
+
+
+def soloed(df: DataFrame, edits: DataFrame, take: str, exclusive: bool = False) -> DataFrame:
+    """df after solos are set (take, channel, on); if exclusive, a new solo replaces the take's others."""
+    e = edits.select(take, "channel", F.col("on").alias("_on"))
+    news = e.groupBy(take).agg(F.max("_on").alias("_new"))
+    both = df.join(e, [take, "channel"], "left").join(news, take, "left")
+    cleared = F.coalesce(F.col("_new"), F.lit(False)) if exclusive else F.lit(False)
+    return both.select(*(F.coalesce("_on", F.when(cleared, False).otherwise(F.col("solo"))).alias("solo") if c == "solo" else F.col(c) for c in df.columns))

@@ -403,3 +403,43 @@ def q_reduction(t: Tables) -> DataFrame:
     from reelspark.operators import signal
 
     return signal.reduction_db(t.lineitem, ["l_orderkey"], "l_quantity", "l_discount").withColumn("reduction_db", F.round("reduction_db", 6))
+
+
+@query("""
+WITH d AS (SELECT CAST(o_custkey % 400 AS VARCHAR) AS k, min(strftime(o_orderdate, '%Y-%m-%d')) AS a, max(strftime(o_orderdate, '%Y-%m-%d')) AS b FROM orders GROUP BY 1)
+SELECT k, CASE WHEN k = '7' THEN 'Sound' ELSE 'P-' || k END || ' Sound Report ' || CASE WHEN a = b THEN a ELSE a || ' to ' || b END AS report FROM d""")
+def q_report_names(t: Tables) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    d = t.orders.groupBy((F.col("o_custkey") % 400).cast("string").alias("k")).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return d.select("k", names.report_name(F.when(F.col("k") != "7", F.concat(F.lit("P/"), "k")), F.col("a"), F.col("b")).alias("report"))
+
+
+_PLATFORMS = ("Netflix", "Apple TV+ (US)", "EBU R128", "ATSC A/85")
+
+
+@query(f"SELECT p_partkey, '_' || regexp_replace(string_split({_list(_PLATFORMS)}[p_partkey % 4 + 1], ' (')[1], '[^A-Za-z0-9]', '', 'g') AS ending FROM part")
+def q_copy_endings(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", names.copy_ending(_one_of(F.col("p_partkey"), *_PLATFORMS)).alias("ending"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey AS k, p_brand AS s, CAST(p_size AS VARCHAR) AS t FROM part), y AS (SELECT *, CASE k % 4 WHEN 0 THEN s || '-T' || t WHEN 1 THEN replace(s, '#', '#') || 'T' || t WHEN 2 THEN 'other' ELSE '' END AS base FROM x)
+SELECT k AS p_partkey, CASE WHEN base = '' THEN 'BOOM+LAV.wav' WHEN k % 5 = 0 THEN base || '_BOOM+LAV.wav' ELSE base || '.wav' END AS name FROM y""")
+def q_combined_names(t: Tables) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    with_take = k % 4 < 2
+    original = F.when(k % 4 == 0, F.concat("p_brand", F.lit("-T"), size, F.lit("_ISO.wav"))).when(k % 4 == 1, "x.wav").when(k % 4 == 2, "other.wav")
+    base = F.when(k % 4 == 0, F.concat("p_brand", F.lit("-T"), size)).when(k % 4 == 1, F.concat("p_brand", F.lit("T"), size)).otherwise("other")
+    taken = F.when(k % 5 == 0, F.array(F.concat(base, F.lit(".wav")))).otherwise(F.array().cast("array<string>"))
+    name = names.combined_name(F.when(with_take, F.col("p_brand")).otherwise(""), F.when(with_take, size).otherwise(""), original, F.array(F.lit("BOOM"), F.lit("LAV")), F.lit(".wav"), taken)
+    return t.part.select("p_partkey", name.alias("name"))
+
+
+@query("""
+WITH x AS (SELECT l_orderkey AS take, CAST(l_linenumber AS INT) AS channel, bool_or(l_returnflag = 'R') AS solo, bool_or(l_shipdate > TIMESTAMP '1998-06-01') AS edited, bool_or(l_quantity > 25) AS wanted FROM lineitem GROUP BY 1, 2)
+SELECT take, channel, CASE WHEN edited THEN wanted WHEN bool_or(edited AND wanted) OVER (PARTITION BY take) THEN false ELSE solo END AS solo FROM x""")
+def q_exclusive_solo(t: Tables) -> DataFrame:
+    from reelspark.operators import mixer
+
+    d = t.lineitem.groupBy(F.col("l_orderkey").alias("take"), F.col("l_linenumber").cast("int").alias("channel")).agg(F.max(F.col("l_returnflag") == "R").alias("solo"), F.max(F.col("l_shipdate") > F.lit("1998-06-01").cast("timestamp")).alias("edited"), F.max(F.col("l_quantity") > 25).alias("on"))
+    return mixer.soloed(d.select("take", "channel", "solo"), d.where("edited").select("take", "channel", "on"), "take", exclusive=True)

@@ -75,6 +75,15 @@ def q_wav_blocks(t: Tables) -> DataFrame:
     return d.groupBy("name", "channel").agg(F.count("*").alias("blocks"), F.sum(F.size("samples")).cast("long").alias("samples"), F.round(top, 4).alias("top"))
 
 
+@query(f"""
+WITH x AS (SELECT n_nationkey, i * 20 // ((n_nationkey + 1) * {RATE}) AS bucket, (i % 100 - 50) / 100.0 * (n_nationkey + 1) / 25 AS v FROM nation, LATERAL unnest(range(0, (n_nationkey + 1) * {RATE})) AS u(i)),
+b AS (SELECT n_nationkey, bucket, round(max(abs(v)), 3) AS peak, round(least(sqrt(avg(v * v)), max(abs(v))), 3) AS rms FROM x GROUP BY 1, 2)
+SELECT {_NAME} AS name, CAST(c AS INT) AS channel, bucket, peak, rms FROM b JOIN nation USING (n_nationkey), LATERAL unnest(range(0, 1 + n_nationkey % 3)) AS u(c)""")
+def q_wav_envelope(t: Tables) -> DataFrame:
+    d = wav.envelopes(t.spark, _library(t), 20, stretch=100_000, frames=3_000)
+    return d.select(basename(F.col("path")).alias("name"), "channel", "bucket", F.round("peak", 3).alias("peak"), F.round("rms", 3).alias("rms"))
+
+
 @query(f"""
 WITH f AS (SELECT n_nationkey, {_NAME} AS name, {_TRACKS} AS tracks FROM nation)
 SELECT replace(name, '.wav', '') || '_' || tracks[k] || '.wav' AS name, tracks[k] AS track, CAST((n_nationkey + 1) * {RATE} AS BIGINT) AS frames, 'done' AS status FROM f, LATERAL unnest(range(1, len(tracks) + 1)) AS u(k) WHERE len(tracks) > 1""")

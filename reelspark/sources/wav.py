@@ -355,6 +355,38 @@ def blocks(spark: SparkSession, root: str, frames: int = 48_000, halo: int = 0,
     return parts.repartition(spark.sparkContext.defaultParallelism * 4, "path", "low").mapInArrow(read, BLOCKS)
 
 
+def envelopes(spark: SparkSession, root: str, buckets: int, stretch: int = 1 << 26, frames: int = 1 << 16) -> DataFrame:
+    """path, channel, bucket, peak and rms of all files below root, in one reading: samples are decoded and
+    reduced block by block where they are read, and only sums by bucket leave the task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for path, size, low in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                h = read_header(path, size)
+                sums: dict[tuple[int, int], list[float]] = {}
+                for block in block_batches(path, size, frames, 0, low, low + stretch):
+                    start, c = block.column(3)[0].as_py(), len(block)
+                    x = block.column(5).values.to_numpy().reshape(c, -1).astype(np.float64)
+                    at = (np.arange(start, start + x.shape[1]) * buckets) // h["frames"]
+                    firsts = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+                    peak, power, n = np.maximum.reduceat(np.abs(x), firsts, axis=1), np.add.reduceat(x * x, firsts, axis=1), np.diff(np.append(firsts, len(at)))
+                    for k in range(c):
+                        for b, top, p, m in zip(at[firsts].tolist(), peak[k].tolist(), power[k].tolist(), n.tolist()):
+                            held = sums.setdefault((k, b), [0.0, 0.0, 0])
+                            held[0], held[1], held[2] = max(held[0], top), held[1] + p, held[2] + m
+                if sums:
+                    rows = [(path, *key, *v) for key, v in sums.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["path", "channel", "bucket", "peak", "power", "n"])
+
+    found = listing(spark, root).where("error = ''")
+    parts = found.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(stretch).cast("long"))).alias("low"))
+    each = parts.repartition(spark.sparkContext.defaultParallelism * 4, "path", "low").mapInArrow(read, "path string, channel int, bucket long, peak double, power double, n long")
+    sums = each.groupBy("path", "channel", "bucket").agg(F.max("peak").alias("peak"), F.sqrt(F.sum("power") / F.sum("n")).alias("rms"))
+    return sums.withColumn("rms", F.least("rms", "peak"))
+
+
 def write_wav(path: str, samples, rate: int, bits: int = 24, is_float: bool = False, ixml: str = "", bext: dict | None = None, cues: list[tuple[int, str]] | None = None) -> None:
     """A WAV file of samples (frames, channels), written to a temporary name and then renamed."""
     channels = samples.shape[1]
