@@ -35,10 +35,9 @@ CHUNK = 1 << 15
 #: Rows whose texts a task holds as Python strings.
 TOGETHER = 256
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
-#: Rows of a range, and ranges of a task, beyond which there are more of them. The bounds of at most
-#: MAX_BUCKETS ranges (131 million rows) reach the driver; of a larger table the ranges grow instead.
+#: Rows of a range, each of which is a task of its own beyond the session's partitions. The bounds of at
+#: most MAX_BUCKETS ranges (131 million rows) reach the driver; of a larger table the ranges grow instead.
 ROWS_PER_BUCKET = 2000
-RANGES_PER_TASK = 4
 MAX_BUCKETS = 1 << 16
 
 
@@ -175,7 +174,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
     placed = d.withColumn("place", F.explode(F.pandas_udf(places, "array<long>")("key", "th")))
     placed = placed.select(F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2).alias("last"), "key", "th", "doc_id", "text")
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(firsts) // RANGES_PER_TASK)
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(firsts))
     return placed.repartition(width, "bucket").sortWithinPartitions("bucket", "last", "key", "th", "text")
 
 
