@@ -55,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Removes the files of a table from cut() that nothing reads any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    held = rdd.getCheckpointFile()
+    if held.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], most: int) -> DataFrame:
     """doc_id, text and y of at most `most` labelled documents outside the held-out fold.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import cut, id_and_text, lower_words
+from reelspark.llm.common import cut, id_and_text, lower_words, release
 
 SHINGLE = 3
 SEED = 42
@@ -145,18 +145,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(u, v), root being the smallest node reachable.
 
     Alternating large-star and small-star steps; each round is written to the shared checkpoint
-    folder. Links stay distributed: only a count and a checksum reach the driver.
+    folder, and the one before it removed. Links stay distributed: only a count and a checksum reach the driver.
     """
 
     def checksum(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = checksum(now)
+    held = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = checksum(held)
     # Links that are few are held together, so that rounds don't write a file for each partition and shuffle.
     width = 1 + int(before[0]) // PER_TASK
     done = not before[0]
-    now = now.coalesce(width)
+    now = held.coalesce(width)
     while not done:  # each round lowers some node's neighbour, or is the last
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(width)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -165,8 +165,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "u").coalesce(width)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         after_df = cut(small.where("u <> v").coalesce(width).distinct().coalesce(width))
+        release(held)  # the round before
         after = checksum(after_df)
-        now, done, before = after_df, after == before, after
+        now, held, done, before = after_df, after_df, after == before, after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
