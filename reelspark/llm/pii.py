@@ -35,8 +35,9 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000
 WINDOWS = 3_000
 PIECE = 512
-#: Characters of a stretch that are tagged at a time.
+#: Characters of a stretch that are tagged at a time, and rows whose texts a task holds.
 CHUNK = 1 << 13
+TOGETHER = 512
 WIDTH = 64
 STEP = 32
 HIDDEN = 16
@@ -456,7 +457,7 @@ def find(docs: DataFrame, model: Tagger) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, whole.num_rows, TOGETHER)):
             rows = []
             for base, added in all_spans(batch.column(1).to_pylist(), shared.value):
                 rows.append((*(sum(k == kind for _, kind, _ in base) for k in range(len(KINDS))), hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(base + added), len(added)))
@@ -487,7 +488,7 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, whole.num_rows, TOGETHER)):
             old = batch.column(names.index("text")).to_pylist()
             new = [t if t is None else redacted(t, base + added) for t, (base, added) in zip(old, all_spans([t or "" for t in old], shared.value))]
             cols = list(batch.columns)
