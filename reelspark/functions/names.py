@@ -45,6 +45,15 @@ def natural_key(text: Column) -> Column:
     return F.transform(runs, lambda r: F.struct((~r.rlike("^[0-9]")).cast("int").alias("kind"), F.coalesce(r.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(r.rlike("^[0-9]"), "").otherwise(F.lower(r)).alias("text")))
 
 
+def natural_text(text: Column) -> Column:
+    """As natural_key in one text that sorts as plain text: a number is its length and its digits, other
+    text ends below all characters."""
+    runs = F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    digits = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    number = lambda r: F.concat(F.lit("0"), F.lpad(F.length(digits(r)).cast("string"), 6, "0"), digits(r))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(F.concat(F.lit("1"), F.lower(r), F.lit("\x00")))), "")
+
+
 def safe_part(text: Column, with_: str = "-") -> Column:
     """A path component: unsafe characters replaced, no outer blanks, no dots at the end, never '.' or '..'."""
     clean = F.trim(F.regexp_replace(text, UNSAFE, with_))

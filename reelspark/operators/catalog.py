@@ -83,7 +83,7 @@ def positions(df: DataFrame, *order: Column, name: str = "position") -> DataFram
 
 def natural_order(df: DataFrame, column: str, tie: str) -> DataFrame:
     """df with position, its place in natural order."""
-    return positions(df, names.natural_key(F.col(column)), F.col(tie))
+    return positions(df, names.natural_text(F.col(column)), F.col(tie))
 
 
 def report_order(df: DataFrame) -> list[Column]:

@@ -70,6 +70,7 @@ def programme(blocks: DataFrame, by: list[str], at: str, power: str) -> DataFram
 def gain_to_target(blocks: DataFrame, by: list[str], at: str, power: str, target: float, steps: int = 6, near: float = 0.001) -> DataFrame:
     """Gain in dB that brings a track's integrated loudness to the target; gating moves with the gain, so it
     is solved by steps. Each step is an aggregate of the windows, so no track is gathered."""
+    checkpoint_dir(blocks.sparkSession)
     w = window_powers(blocks, by, at, power, 4)
     state = blocks.select(*by).distinct().withColumn("gain_db", F.lit(None).cast("double")).withColumn("_done", F.lit(False))
     for k in range(steps + 1):
@@ -82,9 +83,9 @@ def gain_to_target(blocks: DataFrame, by: list[str], at: str, power: str, target
         else:
             stop = F.col("_done") | F.col("lufs").isNull() | (F.abs(off) <= near)
             state = state.select(*by, F.when(stop, F.col("gain_db")).otherwise(F.col("gain_db") + off).alias("gain_db"), stop.alias("_done"))
-        if k % 2:
-            checkpoint_dir(blocks.sparkSession)
             state = state.checkpoint()
+            if state.where("not _done").isEmpty():
+                break
     return state.drop("_done")
 
 

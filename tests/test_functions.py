@@ -129,3 +129,12 @@ def test_filters():
     assert audio.response_db(audio.k_weighting(48000), np.array([997.0]), 48000)[0] == pytest.approx(0.691, abs=0.02)
     x = np.sin(2 * np.pi * np.arange(4800) / 4 + np.pi / 4)
     assert 20 * np.log10(audio.true_peak(x, 48000)) == pytest.approx(0.0, abs=0.1)
+
+
+def test_natural_text_sorts_like_the_key(spark):
+    texts = ["a10", "a2", "A2b", "a02", "b", "10", "9", "", "a", "ab", "a2b10", "a2b9", "é1", "x" + "9" * 50, "x" + "1" * 51, "a 1", "a1"]
+    d = spark.createDataFrame([(t,) for t in texts if len(t) < 40], "t string")
+    by_key = [r["t"] for r in d.orderBy(names.natural_key(F.col("t")), "t").collect()]
+    assert [r["t"] for r in d.orderBy(names.natural_text(F.col("t")), "t").collect()] == by_key
+    long_ = spark.createDataFrame([(t,) for t in texts if len(t) > 40], "t string")
+    assert [len(r["t"]) for r in long_.orderBy(names.natural_text(F.col("t"))).collect()] == [51, 52]
