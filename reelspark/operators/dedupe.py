@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import names, paths
+from reelspark.operators.similar import similar_pairs
 
 #: Fields compared between copies, folders of leftovers, the mark of review copies, block of a fingerprint.
 META_FIELDS = ["project", "scene", "take", "tape", "note", "circled", "date"]
@@ -89,36 +90,6 @@ def take_aligned(df: DataFrame, take: str, group: str, folder: str, score: Colum
     return whole.groupBy(take).agg(F.min_by(folder, F.struct("best", folder)).alias(folder), F.max("n").alias("groups"))
 
 
-def similar_pairs(df: DataFrame, name: str, least: float = 0.85) -> DataFrame:
-    """(a, b): names that look alike, a before b in lower case.
-
-    Names must have the same digit runs. The shorter, of three characters or more, is a prefix whose
-    remainder has no digit: such names meet by their first three characters. Or both have five or more
-    and the share of characters in matching blocks is high: between blocks lies an unmatched character,
-    so at 0.85 there are few blocks and one of them has three characters (two, where the lengths add up
-    to 14), and names meet by those; lengths and an edit distance are tested before the share is.
-    """
-    d = df.select(F.col(name).alias("x")).distinct().withColumn("n", names.normalized(F.col("x"))).withColumn("runs", F.array_join(names.digit_runs(F.col("x")), ","))
-    d = d.where(F.length("n") >= 3).withColumn("len", F.length("n")).withColumn("low", F.lower("x"))
-    side = lambda s, key: d.select(*(F.col(c).alias(f"{s}_{c}") for c in ("x", "n", "len", "low")), "runs", key)
-    first = (F.col("a_low") < F.col("b_low")) | ((F.col("a_low") == F.col("b_low")) & (F.col("a_x") < F.col("b_x")))
-    head = F.substring("n", 1, 3).alias("head")
-    met = side("a", head).join(side("b", head), ["runs", "head"]).where(first)
-    short, long_ = F.when(F.col("a_len") <= F.col("b_len"), F.col("a_n")).otherwise(F.col("b_n")), F.when(F.col("a_len") <= F.col("b_len"), F.col("b_n")).otherwise(F.col("a_n"))
-    prefix = F.startswith(long_, short) & ~F.expr("substring(if(a_len <= b_len, b_n, a_n), least(a_len, b_len) + 1)").rlike("[0-9]")
-    by_prefix = met.where(prefix).select(F.col("a_x").alias("a"), F.col("b_x").alias("b"))
-    cuts = lambda size: F.transform(F.sequence(F.lit(1), F.col("len") - (size - 1)), lambda k: F.substr("n", k, F.lit(size)))
-    twos = F.when(F.col("len").between(5, 9), F.transform(cuts(2), lambda g: F.concat(F.lit("#"), g))).otherwise(F.array().cast("array<string>"))
-    gram = F.explode(F.array_distinct(F.concat(cuts(3), twos))).alias("gram")
-    d = d.where("len >= 5")
-    total = F.col("a_len") + F.col("b_len")
-    fits = (2 * F.least("a_len", "b_len") >= least * total) & (F.startswith("gram", F.lit("#")) == (total == 14))
-    rest = side("a", gram).join(side("b", gram), ["runs", "gram"]).where(first & fits).select("a_x", "b_x", "a_n", "b_n", "a_len", "b_len").distinct()
-    rest = rest.where(~prefix & (F.levenshtein("a_n", "b_n") <= ((1 - least) * total).cast("int")))
-    by_ratio = rest.where(names.sequence_ratio("a_n", "b_n") >= least).select(F.col("a_x").alias("a"), F.col("b_x").alias("b"))
-    return by_prefix.unionByName(by_ratio)
-
-
 def clusters(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(name, cluster): the smallest name reachable, by iterated minimum of the neighbours'."""
     from reelspark.session import checkpoint_dir
