@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from reelspark.functions import audio
 from reelspark.functions.timecode import div
+from reelspark.operators.prefix import LENGTH, in_order, neighbours, running, scanned
 from reelspark.session import checkpoint_dir
 
+#: Stretches of items between free moments that are packed in one go.
+TOGETHER = 1024
+
 
 def envelope(df: DataFrame, by: list[str], at: str, total: str, value: str, buckets: int) -> DataFrame:
     """Peak and RMS (no more than the peak) in each bucket of each track; bucket k holds at * buckets div total = k."""
@@ -35,10 +40,11 @@ def column_levels(df: DataFrame, by: list[str], bucket: str, value: str, buckets
     return each.select(*by, "column", (F.col(value) + F.coalesce(F.col("_next") - F.col(value), F.lit(0)) * share).alias(value))
 
 
-def window_powers(df: DataFrame, by: list[str], at: str, power: str, width: int) -> DataFrame:
-    """Mean power over `width` consecutive blocks, complete windows alone."""
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(-(width - 1), 0)
-    return df.select(*by, at, F.avg(power).over(w).alias("mean_power"), F.count("*").over(w).alias("_n")).where(f"_n = {width}").drop("_n")
+def window_powers(df: DataFrame, by: list[str], at: str, power: str, width: int, length: int = LENGTH) -> DataFrame:
+    """Mean power over `width` consecutive blocks, complete windows alone; at numbers the blocks of a track."""
+    back = lambda spec: spec.rowsBetween(-(width - 1), 0)
+    d = neighbours(df.select(*by, at, power), by, at, width - 1, 0, length, mean_power=lambda w: F.avg(power).over(back(w)), _n=lambda w: F.count("*").over(back(w)))
+    return d.where(f"_n = {width}").select(*by, at, "mean_power")
 
 
 def gated_loudness(windows: DataFrame, by: list[str], gate: float = -70.0, relative: float = -10.0) -> DataFrame:
@@ -127,21 +133,23 @@ def noise_profile(df: DataFrame, by: list[str], frame: str, energy: str, spectru
     return low.select(*by, F.posexplode(spectrum).alias("bin", "power")).groupBy(*by, "bin").agg(F.avg("power").alias("power"))
 
 
-def running_min(df: DataFrame, by: list[str], at: str, value: str, width: int) -> Column:
-    """Smallest of the row and the width - 1 that follow."""
-    return F.min(value).over(Window.partitionBy(*by).orderBy(at).rowsBetween(0, width - 1))
+def running_min(value: str, width: int) -> Callable[[WindowSpec], Column]:
+    """For neighbours(): the smallest of the row and the width - 1 that follow."""
+    return lambda spec: F.min(value).over(spec.rowsBetween(0, width - 1))
 
 
-def level_db(df: DataFrame, by: list[str], at: str, value: str, width: int) -> DataFrame:
-    """df with peak_db of each row and power_db, the mean power of the row and the width - 1 before it (null until there are as many)."""
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(-(width - 1), 0)
-    power = F.when(F.count("*").over(w) == width, 10 * F.log10(F.greatest(F.avg(F.col(value) * F.col(value)).over(w), F.lit(1e-20))))
-    return df.withColumn("peak_db", 20 * F.log10(F.greatest(F.abs(value), F.lit(1e-10)))).withColumn("power_db", power)
+def level_db(df: DataFrame, by: list[str], at: str, value: str, width: int, length: int = LENGTH) -> DataFrame:
+    """df with peak_db of each row and power_db, the mean power of the row and the width - 1 before it (null until
+    there are as many); at numbers the rows of a track."""
+    back = lambda spec: spec.rowsBetween(-(width - 1), 0)
+    power = lambda w: F.when(F.count("*").over(back(w)) == width, 10 * F.log10(F.greatest(F.avg(F.col(value) * F.col(value)).over(back(w)), F.lit(1e-20))))
+    d = neighbours(df, by, at, width - 1, 0, length, power_db=power)
+    return d.select(*df.columns, (20 * F.log10(F.greatest(F.abs(value), F.lit(1e-10)))).alias("peak_db"), "power_db")
 
 
-def box(df: DataFrame, by: list[str], at: str, value: str, reach: int) -> Column:
-    """Mean of the rows up to `reach` away, of those that exist."""
-    return F.avg(value).over(Window.partitionBy(*by).orderBy(at).rowsBetween(-reach, reach))
+def box(value: str, reach: int) -> Callable[[WindowSpec], Column]:
+    """For neighbours(): the mean of the rows up to `reach` away, of those that exist."""
+    return lambda spec: F.avg(value).over(spec.rowsBetween(-reach, reach))
 
 
 def mixdown(df: DataFrame, frame: list[str], value: Column, gain_db: Column, pan: Column, muted: Column, master_db: float = 0.0) -> DataFrame:
@@ -159,78 +167,80 @@ def reduction_db(df: DataFrame, by: list[str], before: str, after: str) -> DataF
     return df.groupBy(*by).agg(F.when((a > 0) & (b > 0), 10 * F.log10(a / b)).otherwise(0.0).alias("reduction_db"))
 
 
-def in_order(df: DataFrame, by: list[str], order: list[str], fresh: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Runs a kernel along each track: rows are sorted where they lie and stream by, and the kernel, made
-    anew for each track, carries what it needs from one batch to the next, so no track is held whole."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kernel = None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = pdf[by]
-            moved = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy()
-            moved[0] = True
-            starts = np.flatnonzero(moved)
-            made = []
-            for low, high in zip(starts, [*starts[1:], len(pdf)]):
-                own = tuple(None if pd.isna(x) else x for x in keys.iloc[low])
-                if kernel is None or own != key:
-                    key, kernel = own, fresh()
-                made.append(kernel(pdf.iloc[low:high]))
-            yield pd.concat(made) if len(made) > 1 else made[0]
+def _with(df: DataFrame, column: str) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {column}"
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
+def _pole(targets: np.ndarray, low: float, high: float, attack: float, release: float, attack_below: bool) -> list[float]:
+    """One-pole smoothing over the targets as a function of the gain before, between low and high: a rising
+    line with bends, as its places and then its values. A target bends it only where it falls within what
+    is left of its range, which shrinks with every target."""
+    xs, ys = [low, high], [low, high]
+    for t in targets.tolist():
+        if ys[0] < t < ys[-1]:
+            k = bisect_left(ys, t)
+            if ys[k] != t:
+                xs.insert(k, xs[k - 1] + (t - ys[k - 1]) * (xs[k] - xs[k - 1]) / (ys[k] - ys[k - 1]))
+                ys.insert(k, t)
+        ys = [t + (y - t) * (attack if (t < y) == attack_below else release) for y in ys]
+        if len(ys) > 1 and ys[0] == ys[-1]:
+            xs, ys = xs[:1], ys[:1]
+    return [*xs, *ys]
 
-def _with(df: DataFrame, column: str) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {column}"
 
+def smoothed_gain(df: DataFrame, by: list[str], at: str, target: str, attack: float, release: float, attack_below: bool = True, length: int = LENGTH) -> DataFrame:
+    """df with gain_db: one-pole smoothing of target gains within each track (attack where the target falls, or rises), from 0 on.
 
-def smoothed_gain(df: DataFrame, by: list[str], at: str, target: str, attack: float, release: float, attack_below: bool = True) -> DataFrame:
-    """One-pole smoothing of target gains, in order, within each track (attack where the target falls, or rises)."""
+    at numbers the rows of a track. A segment is a line with bends in the gain that comes in; the lines are followed from one to the next."""
 
-    def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        now = [0.0]
+    def run(pdf: pd.DataFrame, state: list[float]) -> tuple[np.ndarray, list[float]]:
+        out, g = np.empty(len(pdf)), state[0]
+        for k, t in enumerate(pdf[target].to_numpy(float)):
+            g = t + (g - t) * (attack if (t < g) == attack_below and t != g else release)
+            out[k] = g
+        return out, [g]
 
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, g = np.empty(len(pdf)), now[0]
-            for k, t in enumerate(pdf[target].to_numpy(float)):
-                coef = attack if (t < g) == attack_below and t != g else release
-                g = t + (g - t) * coef
-                out[k] = g
-            now[0] = g
-            return pdf.assign(gain_db=out)
+    function = lambda pdf, b: _pole(pdf[target].to_numpy(float), min(0.0, b["low"]), max(0.0, b["high"]), attack, release, attack_below)
+    follow = lambda g, f: [float(np.interp(g[0], f[: len(f) // 2], f[len(f) // 2 :]))]
+    return scanned(df, by, at, "gain_db", "double", [0.0], function, follow, run, {"low": F.min(target), "high": F.max(target)}, length)
 
-        return step
 
-    return in_order(df, by, [at], fresh, _with(df, "gain_db double"))
+def gated(df: DataFrame, by: list[str], at: str, level: str, threshold: float, hysteresis: float, hold: int, length: int = LENGTH) -> DataFrame:
+    """df with open (0 or 1): a gate opens at the threshold and closes after `hold` rows below it less the hysteresis.
 
+    at numbers the rows of a track. The state is how many low rows have come since the gate was opened last (infinity
+    before it); a segment adds its own, or starts from its last opening."""
 
-def gated(df: DataFrame, by: list[str], at: str, level: str, threshold: float, hysteresis: float, hold: int) -> DataFrame:
-    """df with open (0 or 1): a gate opens at the threshold and closes after `hold` rows below it less the hysteresis."""
+    def lows_since(pdf: pd.DataFrame, before: float) -> np.ndarray:
+        x = pdf[level].to_numpy(float)
+        up, lows = x >= threshold, np.cumsum((x < threshold - hysteresis) & ~(x >= threshold))
+        opened = np.maximum.accumulate(np.where(up, np.arange(1, len(x) + 1), 0))
+        return np.where(opened > 0, lows - lows[opened - 1], before + lows)
 
-    def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        now = [False, 0]
+    def run(pdf: pd.DataFrame, state: list[float]) -> tuple[np.ndarray, list[float]]:
+        if not len(pdf):
+            return np.zeros(0, np.int64), state
+        since = lows_since(pdf, state[0])
+        return (since <= hold).astype(np.int64), [float(since[-1])]
 
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, (is_open, left) = np.zeros(len(pdf), np.int64), now
-            for k, x in enumerate(pdf[level].to_numpy(float)):
-                if x >= threshold:
-                    is_open, left = True, hold
-                elif is_open and x < threshold - hysteresis:
-                    is_open, left = left > 0, max(left - 1, 0)
-                out[k] = is_open
-            now[:] = is_open, left
-            return pdf.assign(open=out)
+    def function(pdf: pd.DataFrame, _: dict[str, float]) -> list[float]:
+        from_start, from_never = lows_since(pdf, 0.0)[-1], lows_since(pdf, np.inf)[-1]
+        return [float(np.isinf(from_never)), float(from_start)]  # adds to what came before, or doesn't; how many
 
-        return step
+    follow = lambda state, f: [state[0] + f[1] if f[0] else f[1]]
+    return scanned(df, by, at, "open", "long", [np.inf], function, follow, run, length=length)
 
-    return in_order(df, by, [at], fresh, _with(df, "open long"))
 
+def lanes(df: DataFrame, by: list[str], start: str, end: str, name: str, width: int = 86_400) -> DataFrame:
+    """df with lane: each item takes the first lane that is free at its start, in order of start and name.
 
-def lanes(df: DataFrame, by: list[str], start: str, end: str, name: str) -> DataFrame:
-    """df with lane: each item takes the first lane that is free at its start, in order of start and name."""
+    Where an item starts at or after all ends before it, every lane is free, so what lies between such moments may be packed
+    apart. They are found by a running maximum of ends over spans of `width`; TOGETHER of them make a task's share."""
+    span = F.floor(F.col(start) / width)
+    d = running(df, by, span, [start, name], _past=("max_before", F.col(end)))
+    d = running(d, by, span, [start, name], _part=("sum", F.coalesce((F.col(start) >= F.col("_past")).cast("long"), F.lit(1))))
+    d = d.withColumn("_part", F.floor(F.col("_part") / TOGETHER))
+    columns = df.columns
 
     def fresh() -> Callable[[pd.DataFrame], pd.DataFrame]:
         ends: list[int] = []
@@ -241,11 +251,11 @@ def lanes(df: DataFrame, by: list[str], start: str, end: str, name: str) -> Data
                 lane = next((k for k, e in enumerate(ends) if e <= a), len(ends))
                 ends[lane : lane + 1] = [b]
                 got.append(lane)
-            return pdf.assign(lane=got)
+            return pdf[columns].assign(lane=got)
 
         return step
 
-    return in_order(df, by, [start, name], fresh, _with(df, "lane long"))
+    return in_order(d.drop("_past"), [*by, "_part"], [start, name], fresh, _with(df, "lane long"))
 
 
 # --- blocks of samples: rows (track…, block, samples array<float>), blocks of one size

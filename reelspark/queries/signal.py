@@ -2,18 +2,19 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import audio
 from reelspark.operators import signal as op
+from reelspark.operators.prefix import neighbours, positions
 from reelspark.queries import Tables, query
 from reelspark.streaming import ingest
 
 
 def _track(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.events.select("user_id", (F.row_number().over(w) - 1).alias("pos"), F.count("*").over(Window.partitionBy("user_id")).alias("total"), "value")
+    d = positions(t.events.select("user_id", "ts", "event_id", "value"), ["user_id"], F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    return d.select("user_id", "pos", "total", "value")
 
 
 _TRACK = "t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS total, value FROM events)"
@@ -132,8 +133,8 @@ def q_level_detector(t: Tables) -> DataFrame:
 @query(f"""WITH {_TRACK} SELECT user_id, pos, min(value) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS low,
   round(avg(value) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM t""")
 def q_running(t: Tables) -> DataFrame:
-    d = _track(t)
-    return d.select("user_id", "pos", op.running_min(d, ["user_id"], "pos", "value", 5).alias("low"), F.round(op.box(d, ["user_id"], "pos", "value", 2), 6).alias("smooth"))
+    d = neighbours(_track(t), ["user_id"], "pos", 2, 4, low=op.running_min("value", 5), smooth=op.box("value", 2))
+    return d.select("user_id", "pos", "low", F.round("smooth", 6).alias("smooth"))
 
 
 @query("""
