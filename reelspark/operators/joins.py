@@ -1,7 +1,7 @@
 """Joins that need more than equal keys, each as an equi join with a remainder.
 
-Where a range is compared, both sides are cut into buckets and meet by bucket, so the engine can
-hash or sort them; a pair that meets in several buckets is kept in the first one alone.
+Where ranges are compared, they are filed under the nodes of a binary tree and meet by node, so the engine can
+hash or sort them, and a pair meets once.
 """
 
 from __future__ import annotations
@@ -12,16 +12,50 @@ from pyspark.sql import functions as F
 from reelspark.functions.timecode import div
 
 
-def interval_join(left: DataFrame, right: DataFrame, start: tuple[str, str], end: tuple[str, str], width: int, on: list[str] | None = None) -> DataFrame:
-    """Rows whose intervals [start, end) of longs overlap. Column names of both sides must differ, but for `on`."""
+def _nodes(a: Column, b: Column) -> Column:
+    """The least nodes (level, place) of the binary tree over longs that make up [a, b): at most two on a level.
+
+    On level k what is left runs from lo to hi in units of 2^k; an odd end takes one node. Nothing is left once
+    the units are longer than the interval was."""
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
+    node = lambda k, place: F.array(F.struct(k.cast("int").alias("level"), place.alias("place")))
+    begin = F.struct(a.cast("long").alias("lo"), b.cast("long").alias("hi"), none.alias("made"))
+
+    def step(left: Column, k: Column) -> Column:
+        lo, hi = left["lo"], left["hi"]
+        odd = lambda x: (lo < hi) & (x.bitwiseAND(F.lit(1)) == 1)
+        taken = F.concat(left["made"], F.when(odd(lo), node(k, lo)).otherwise(none), F.when(odd(hi), node(k, hi - 1)).otherwise(none))
+        return F.struct(F.shiftright(F.when(odd(lo), lo + 1).otherwise(lo), 1).alias("lo"), F.shiftright(F.when(odd(hi), hi - 1).otherwise(hi), 1).alias("hi"), taken.alias("made"))
+
+    levels = F.sequence(F.lit(0), F.least(F.lit(63), F.ceil(F.log2((b - a).cast("double"))).cast("int") + 1))
+    return F.aggregate(levels, begin, step, lambda x: x["made"])
+
+
+def nodes(df: DataFrame, start: str, end: str) -> DataFrame:
+    """df's rows of a positive length with level and place: the nodes that make up each interval, at most 2 log2 of its length."""
+    return df.where(F.col(end) > F.col(start)).withColumn("_node", F.explode(_nodes(F.col(start), F.col(end)))).select(*df.columns, F.col("_node.level").alias("_level"), F.col("_node.place").alias("_place"))
+
+
+def interval_join(left: DataFrame, right: DataFrame, start: tuple[str, str], end: tuple[str, str], on: list[str] | None = None) -> DataFrame:
+    """Rows whose intervals [start, end) of longs overlap. Column names of both sides must differ, but for `on`.
+
+    Of two intervals that overlap one holds the other's start. An interval is filed under the nodes of a binary tree
+    that make it up, and a point asks for the nodes above it, so that a pair meets once, by equality: where the right
+    start lies in the left interval, or the left start in the right interval and not at its start. The nodes asked for
+    are those of levels that some interval has. A year costs an interval as few rows as an hour, two for each level.
+    """
     on = on or []
 
-    def cut(df: DataFrame, a: str, b: str, bucket: str) -> DataFrame:
-        return df.where(F.col(b) > F.col(a)).withColumn(bucket, F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width))))
+    def met(held: DataFrame, points: DataFrame, a: str, b: str, at: str, other_end: str) -> DataFrame:
+        filed = nodes(held, a, b)
+        levels = filed.agg(F.sort_array(F.collect_set("_level")))  # 64 at most
+        asks = points.where(F.col(other_end) > F.col(at)).withColumn("_levels", levels.scalar()).withColumn("_level", F.explode("_levels"))
+        asks = asks.withColumn("_place", F.expr(f"shiftright(`{at}`, _level)")).drop("_levels")
+        return filed.join(asks, [*on, "_level", "_place"]).drop("_level", "_place")
 
-    x, y = cut(left, start[0], end[0], "_bucket"), cut(right, start[1], end[1], "_bucket")
-    both = x.join(y, [*on, "_bucket"]).where((F.col(start[0]) < F.col(end[1])) & (F.col(start[1]) < F.col(end[0])))
-    return both.where(F.col("_bucket") == F.floor(F.greatest(F.col(start[0]), F.col(start[1])) / width)).drop("_bucket")
+    one = met(left, right, start[0], end[0], start[1], end[1])
+    two = met(right, left, start[1], end[1], start[0], end[0]).where(F.col(start[0]) > F.col(start[1]))
+    return one.unionByName(two)
 
 
 def nearest_day_start(start: Column, day: Column, target: Column) -> Column:
@@ -30,7 +64,7 @@ def nearest_day_start(start: Column, day: Column, target: Column) -> Column:
     return F.array_min(options)["at"]
 
 
-def match_clips(takes: DataFrame, clips: DataFrame, width: int, slack_days: int = 1) -> DataFrame:
+def match_clips(takes: DataFrame, clips: DataFrame, slack_days: int = 1) -> DataFrame:
     """Take and clip pairs that run at the same time of day, and the best take of each clip.
 
     takes: take, t_start, t_len, t_channels, t_seq, t_date; clips: clip, c_start, c_len, c_day,
@@ -40,7 +74,7 @@ def match_clips(takes: DataFrame, clips: DataFrame, width: int, slack_days: int
     ends = clips.withColumn("c_end", F.col("c_start") + F.col("c_len"))
     # A take as it is meets clips; moved by a day either way it meets clips that are moved back, whatever their day's length.
     moved = ends.withColumn("_shift", F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))).withColumn("m_start", F.col("c_start") - F.col("_shift") * F.col("c_day")).withColumn("m_end", F.col("c_end") - F.col("_shift") * F.col("c_day"))
-    both = interval_join(takes.withColumn("t_end", F.col("t_start") + F.col("t_len")), moved, ("t_start", "m_start"), ("t_end", "m_end"), width)
+    both = interval_join(takes.withColumn("t_end", F.col("t_start") + F.col("t_len")), moved, ("t_start", "m_start"), ("t_end", "m_end"))
     both = both.withColumn("s_start", F.col("t_start") + F.col("_shift") * F.col("c_day")).withColumn("s_end", F.col("s_start") + F.col("t_len"))
     near = both.where(F.col("s_start") == nearest_day_start(F.col("t_start"), F.col("c_day"), F.col("c_start")))
     near = near.where(F.col("t_date").isNull() | F.col("c_date").isNull() | (F.abs(F.date_diff("t_date", "c_date")) <= slack_days))

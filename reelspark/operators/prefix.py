@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from reelspark.functions.timecode import div
+from reelspark.session import checkpoint_dir
 
 #: Rows of a segment where rows are numbered.
 LENGTH = 65_536
@@ -44,6 +45,12 @@ def running(df: DataFrame, by: list[str], segment: Column, order: list[str], **v
     return both.select(*df.columns, "_own", *made).where("_own = 1").drop("_own")
 
 
+def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with _pos, which rises with the keys: rows are dealt by ranges of them, so equal first keys may be many tasks. Written once."""
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pos", F.monotonically_increasing_id()).checkpoint()
+
+
 def positions(df: DataFrame, by: list[str], segment: Column, order: list[str]) -> DataFrame:
     """df with pos, each row's place in its group from 0 on, and total, the group's rows."""
     return running(df, by, segment, order, pos=("sum", F.lit(1).cast("long")), total=("total", F.lit(1).cast("long"))).withColumn("pos", F.col("pos") - 1)
@@ -93,14 +100,31 @@ def scanned(df: DataFrame, by: list[str], at: str, column: str, kind: str, begin
     numbers; follow(state, function) gives the state after it; run(rows, state) gives the column's values and the
     state after them. Functions are made of segments alone that others follow, so short groups cost nothing more.
     """
-    d = df.withColumn("_seg", F.floor(F.col(at) / length))
+    checkpoint_dir(df.sparkSession)
+    d = df.withColumn("_seg", F.floor(F.col(at) / length)).checkpoint()  # read three times
     names, bounds = df.columns, bounds or {}
     limited = list(bounds)
     shape = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
     whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = d.groupBy(*by, "_seg").agg(F.count("*").alias("_n"), *(c.alias(f"_b_{n}") for n, c in bounds.items()))
     ends = ends.select(*by, "_seg", *((F.min if n.startswith("low") else F.max)(f"_b_{n}").over(whole).alias(f"_b_{n}") for n in bounds), F.max("_seg").over(whole).alias("_top"))
-    ends = ends.where("_seg < _top").drop("_top")
+    ends = ends.where("_seg < _top").drop("_top").checkpoint()
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {column} {kind}"
+
+    def running_on() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        now = [begin]
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            if pdf["_own"].iloc[0] == 0:
+                now[0] = list(pdf["_state"].iloc[0])
+                pdf = pdf.iloc[1:]
+            made, now[0] = run(pdf, now[0])
+            return pdf[names].assign(**{column: made})
+
+        return step
+
+    if ends.isEmpty():
+        return in_order(d.withColumn("_own", F.lit(1)), [*by, "_seg"], [at], running_on, out)
     match = [F.col(f"d.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*by, "_seg")]
     followed = d.alias("d").join(ends.alias("e"), match).select("d.*", *(f"e._b_{n}" for n in bounds))
 
@@ -125,20 +149,7 @@ def scanned(df: DataFrame, by: list[str], at: str, column: str, kind: str, begin
     functions = followed.groupBy(*by, "_seg").applyInPandas(summarise, table)
     carry = in_order(functions, by, ["_seg"], folding, table).withColumn("_own", F.lit(0))
 
-    def running_on() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        now = [begin]
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            if pdf["_own"].iloc[0] == 0:
-                now[0] = list(pdf["_state"].iloc[0])
-                pdf = pdf.iloc[1:]
-            made, now[0] = run(pdf, now[0])
-            return pdf[names].assign(**{column: made})
-
-        return step
-
     both = d.withColumn("_own", F.lit(1)).unionByName(carry, allowMissingColumns=True)
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + f", {column} {kind}"
     return in_order(both, [*by, "_seg"], ["_own", at], running_on, out)
 
 

@@ -8,6 +8,7 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import names
 from reelspark.functions.paths import ancestors
+from reelspark.operators.dedupe import clusters
+from reelspark.operators.prefix import numbered_from, ranged, running
 from reelspark.schema import ACTION
 
 #: Fixed value: rows of a preview.
@@ -41,23 +44,28 @@ def rename_plan(df: DataFrame, path: Column, target: Column, existing: DataFrame
 def numbered(df: DataFrame, wanted: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """df with unique: the wanted name, or the first free `name (n)` from 2 on, against existing names and earlier rows.
 
-    Rows with one wanted name meet in one group, in order; names with a number of their own are
-    looked up among the existing ones alone.
+    Rows that want one name are counted by ranges of the order, and the k-th takes the k-th free number, which is k and
+    the taken ones below it: with the i-th taken number t, t - i are free below it, so it counts for every k above
+    t - i. Neither the rows nor the taken numbers of a name are ever in one task. Names with a number of their
+    own are looked up among the existing ones alone.
     """
-    taken = existing.select(F.col(wanted).alias("_name")).distinct() if existing is not None else None
-    d = df.withColumn("_k", F.row_number().over(Window.partitionBy(wanted).orderBy(*order)))
+    rows = ranged(df, [wanted, *order])
+    d = running(rows, [wanted], F.shiftright("_pos", 16), ["_pos"], _k=("sum", F.lit(1).cast("long"))).drop("_pos")
     ext = F.regexp_extract(F.col(wanted), r"(?<=.)(\.[^./]*)$", 1)
     bare = F.expr(f"substring({wanted}, 1, length({wanted}) - length(regexp_extract({wanted}, '(?<=.)([.][^./]*)$', 1)))")
     name = lambda k: F.when(k == 1, F.col(wanted)).otherwise(F.concat(bare, F.lit(" ("), k.cast("string"), F.lit(")"), ext))
-    if taken is None:
+    if existing is None:
         return d.withColumn("unique", name(F.col("_k"))).drop("_k")
-    # The k-th row of a name takes the k-th free number: candidates run to the rows plus the taken ones.
-    groups = d.groupBy(wanted).agg(F.max("_k").alias("_rows"))
-    stems = taken.withColumn("_w", F.regexp_replace("_name", r" \([0-9]+\)(?=(\.[^./]*)?$)", "")).groupBy("_w").agg(F.count("*").alias("_used"))
-    both = groups.join(stems, groups[wanted] == stems["_w"], "left")
-    tries = both.select(wanted, F.explode(F.sequence(F.lit(1), F.col("_rows") + F.coalesce("_used", F.lit(0)).cast("int"))).alias("_try")).withColumn("unique", name(F.col("_try")))
-    free = tries.join(taken, tries["unique"] == taken["_name"], "left_anti").withColumn("_k", F.row_number().over(Window.partitionBy(wanted).orderBy("_try"))).drop("_try")
-    return d.join(free, [wanted, "_k"]).drop("_k")
+    # an existing name is the first of its own, and the n-th of the one without its number
+    number = r" \(([1-9][0-9]*)\)(?=(\.[^./]*)?$)"
+    there = existing.select(F.col(wanted).alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    nth = F.regexp_extract("_name", number, 1).try_cast("long")
+    ways = F.array(F.struct(F.col("_name").alias("w"), F.lit(1).cast("long").alias("t")), F.struct(F.regexp_replace("_name", number, "").alias("w"), nth.alias("t")))
+    taken = there.select(F.inline(F.filter(ways, lambda x: (x["t"] == 1) & (x["w"] == F.col("_name")) | (x["t"] > 1))))
+    taken = taken.select(F.col("w").alias(wanted), "t").join(df.select(wanted).distinct(), wanted, "left_semi")
+    taken = running(taken, [wanted], F.shiftright("t", 16), ["t"], i=("sum", F.lit(1).cast("long")))
+    free = numbered_from(d, [wanted], "_k", taken.select(wanted, (F.col("t") - F.col("i")).alias("_below")), "_below")
+    return free.withColumn("unique", name(F.col("_k") + F.coalesce("passed", F.lit(0)))).drop("_k", "passed")
 
 
 def nested_plan(df: DataFrame, nested: DataFrame) -> DataFrame:
@@ -84,52 +92,81 @@ def merge_plan(df: DataFrame, group: str) -> DataFrame:
 
     df: group, path, name, key (audio), hash, size, channels, noted, in_target, score (order of
     preference), target (path in the target folder). Best copies come first, and what is decided for
-    one bears on the next, so a group is planned in one go; groups are independent.
+    one bears on the next, but only where they have a recording or a place in common: files of a group that are
+    linked by these are planned together, in order, and a group is as many plans as it has such components.
     """
+    files = df.withColumn("_place", F.when(F.col("in_target"), F.col("path")).otherwise(F.col("target"))).withColumn("_node", F.concat_ws("\x1f", F.col(group).cast("string"), "path"))
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict = {}
-        places: dict[str, object] = {}
-        actions: dict[str, list] = {}
-        for r in pdf[pdf["in_target"]].itertuples():
+    def links(key: str) -> DataFrame:
+        """Each file that shares key with others, and the first of them."""
+        first = files.groupBy(group, key).agg(F.min("_node").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col(group).alias("_g"), F.col(key).alias("_key"), "_first")
+        return files.join(first, F.col(group).eqNullSafe(F.col("_g")) & F.col(key).eqNullSafe(F.col("_key"))).where("_node <> _first").select(F.col("_first").alias("a"), F.col("_node").alias("b"))
+
+    parts = clusters(links("key").unionByName(links("_place"))).select(F.col("name").alias("_node"), "cluster")
+    parted = files.join(parts, "_node", "left").withColumn("_part", F.coalesce("cluster", "_node"))
+    fields = ["path", "name", "key", "hash", "size", "channels", "noted", "in_target", "score", "target"]
+    shape = f"{group} {df.schema[group].dataType.simpleString()}, {ACTION}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name="File"))
+        made: list[tuple] = []
+        for _, own in groupby(rows, key=lambda r: r.part):
+            own = list(own)
+            made += [(own[0].grp, kind, path, *rest, "") for path, (kind, *rest) in _plan_files(own).items()]
+            if len(made) > 4096:
+                yield pd.DataFrame(made, columns=[group, *_ACTION_FIELDS])
+                made = []
+        yield pd.DataFrame(made, columns=[group, *_ACTION_FIELDS])
+
+    named = parted.select(F.col("_part").alias("part"), F.col(group).alias("grp"), *fields)
+    return named.repartition("part").sortWithinPartitions("part", F.col("in_target").desc(), "score", "path").mapInPandas(run, shape)
+
+
+_ACTION_FIELDS = ["kind", "path", "dst", "reason", "level", "other"]
+
+
+def _plan_files(files: list) -> dict[str, list]:
+    """path: [kind, dst, reason, level] of files that bear on each other, those in the target first, then by score and path."""
+    kept: dict = {}
+    places: dict[str, object] = {}
+    actions: dict[str, list] = {}
+    for r in files:
+        if r.in_target:
             kept.setdefault(r.key, []).append(r)
             places[r.path] = r
-        for r in pdf[~pdf["in_target"]].sort_values(["score", "path"], kind="stable").itertuples():
-            same = [k for k in kept.get(r.key, []) if k.name.lower() == r.name.lower()] or [k for k in kept.get(r.key, []) if k.hash == r.hash]
-            if same:
-                twin = same[0]
-                if r.noted and not twin.noted and r.name.lower() == twin.name.lower():
-                    kept[r.key] = [k for k in kept[r.key] if k is not twin] + [r]
-                    if twin.path in actions:  # it was to be moved in: this copy goes instead
-                        dst = actions[twin.path][1]
-                        actions[twin.path] = ["remove", r.path, "a copy with notes is kept", "audio"]
-                        actions[r.path] = ["move", dst, "has notes", ""]
-                        places[dst] = r
-                    else:
-                        actions[r.path] = ["replace", twin.path, "has notes that the kept copy lacks", "audio"]
+            continue
+        same = [k for k in kept.get(r.key, []) if k.name.lower() == r.name.lower()] or [k for k in kept.get(r.key, []) if k.hash == r.hash]
+        if same:
+            twin = same[0]
+            if r.noted and not twin.noted and r.name.lower() == twin.name.lower():
+                kept[r.key] = [k for k in kept[r.key] if k is not twin] + [r]
+                if twin.path in actions:  # it was to be moved in: this copy goes instead
+                    dst = actions[twin.path][1]
+                    actions[twin.path] = ["remove", r.path, "a copy with notes is kept", "audio"]
+                    actions[r.path] = ["move", dst, "has notes", ""]
+                    places[dst] = r
                 else:
-                    actions[r.path] = ["remove", twin.path, "the same recording is kept", "identical" if twin.size == r.size else "audio"]
-                continue
-            other = places.get(r.target)
-            if other is None:
-                kept.setdefault(r.key, []).append(r)
+                    actions[r.path] = ["replace", twin.path, "has notes that the kept copy lacks", "audio"]
+            else:
+                actions[r.path] = ["remove", twin.path, "the same recording is kept", "identical" if twin.size == r.size else "audio"]
+            continue
+        other = places.get(r.target)
+        if other is None:
+            kept.setdefault(r.key, []).append(r)
+            places[r.target] = r
+            actions[r.path] = ["move", r.target, "", ""]
+        elif other.name.lower() == r.name.lower() and other.channels != r.channels:
+            if r.channels < other.channels:
+                actions[r.path] = ["remove", r.target, "its tracks are all in the other", "subset"]
+            elif other.path in actions:
+                actions[other.path] = ["remove", r.path, "its tracks are all in the other", "subset"]
+                actions[r.path] = ["move", r.target, "has more tracks", ""]
                 places[r.target] = r
-                actions[r.path] = ["move", r.target, "", ""]
-            elif other.name.lower() == r.name.lower() and other.channels != r.channels:
-                if r.channels < other.channels:
-                    actions[r.path] = ["remove", r.target, "its tracks are all in the other", "subset"]
-                elif other.path in actions:
-                    actions[other.path] = ["remove", r.path, "its tracks are all in the other", "subset"]
-                    actions[r.path] = ["move", r.target, "has more tracks", ""]
-                    places[r.target] = r
-                else:
-                    actions[r.path] = ["replace", r.target, "has more tracks", "subset"]
             else:
-                actions[r.path] = ["skip", r.target, "another file has this name", ""]
-        rows = [(pdf[group].iloc[0], a[0], p, a[1], a[2], a[3], "") for p, a in actions.items()]
-        return pd.DataFrame(rows, columns=[group, "kind", "path", "dst", "reason", "level", "other"])
-
-    return df.groupBy(group).applyInPandas(plan, f"{group} {df.schema[group].dataType.simpleString()}, {ACTION}")
+                actions[r.path] = ["replace", r.target, "has more tracks", "subset"]
+        else:
+            actions[r.path] = ["skip", r.target, "another file has this name", ""]
+    return actions
 
 
 def keep_takes_together(actions: DataFrame, folder: Column, take: Column, is_take: Column) -> DataFrame:

@@ -41,7 +41,7 @@ def q_interval_match(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), (F.floor("value") + 1).cast("long").alias("n"))
     clips = e.where("event_type = 'view'").select(F.col("event_id").alias("clip"), F.col("s").alias("c_s"), (F.col("s") + F.col("n")).alias("c_e"))
     takes = e.where("event_type <> 'view'").select(F.col("event_id").alias("take"), F.col("user_id").alias("channels"), F.col("s").alias("t_s"), (F.col("s") + F.col("n")).alias("t_e"))
-    both = op.interval_join(clips, takes, ("c_s", "t_s"), ("c_e", "t_e"), 600).withColumn("overlap", F.least("c_e", "t_e") - F.greatest("c_s", "t_s"))
+    both = op.interval_join(clips, takes, ("c_s", "t_s"), ("c_e", "t_e")).withColumn("overlap", F.least("c_e", "t_e") - F.greatest("c_s", "t_s"))
     return op.with_chosen(both, ["clip"], [F.col("overlap").desc(), F.col("channels").desc(), F.col("take")]).select("clip", "take", "overlap", "chosen")
 
 
@@ -61,7 +61,7 @@ def q_clip_match_days(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", "event_type", (F.unix_seconds(F.col("ts").cast("timestamp")) % 86400).alias("s"), (F.floor("value") + 1).cast("long").alias("n"), F.to_date("ts").alias("d"))
     clips = e.where("event_type = 'view'").select(F.col("event_id").alias("clip"), F.col("s").alias("c_start"), F.col("n").alias("c_len"), F.lit(86400).cast("long").alias("c_day"), F.col("d").alias("c_date"))
     takes = e.where("event_type = 'error'").select(F.col("event_id").alias("take"), F.col("s").alias("t_start"), F.col("n").alias("t_len"), F.col("user_id").alias("t_channels"), F.col("event_id").alias("t_seq"), F.col("d").alias("t_date"))
-    return op.match_clips(takes, clips, 600).select("clip", "take", "overlap", "chosen")
+    return op.match_clips(takes, clips).select("clip", "take", "overlap", "chosen")
 
 
 _ASOF = """

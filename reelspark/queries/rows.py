@@ -215,6 +215,19 @@ def q_numbered(t: Tables) -> DataFrame:
     return moves.numbered(d, "wanted", ["p_partkey"]).drop("wanted")
 
 
+@query("""
+WITH e AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN p_name || '.wav' ELSE p_name || ' (' || CAST(p_partkey % 40 AS VARCHAR) || ').wav' END AS name FROM part WHERE p_partkey % 9 = 0),
+w AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part), n AS (SELECT p_name, count(*) AS rows FROM part GROUP BY 1),
+c AS (SELECT p_name, CAST(unnest(range(1, rows + 42)) AS BIGINT) AS i FROM n), f AS (SELECT p_name, CASE WHEN i = 1 THEN p_name || '.wav' ELSE p_name || ' (' || CAST(i AS VARCHAR) || ').wav' END AS name, i FROM c),
+g AS (SELECT p_name, name, row_number() OVER (PARTITION BY p_name ORDER BY i) AS k FROM f WHERE name NOT IN (SELECT name FROM e))
+SELECT p_partkey, w.p_name, g.name AS unique FROM w JOIN g ON g.p_name = w.p_name AND g.k = w.k""")
+def q_numbered_gaps(t: Tables) -> DataFrame:
+    """As q_numbered, where some names and numbers are there already."""
+    d = t.part.select("p_partkey", "p_name", F.concat("p_name", F.lit(".wav")).alias("wanted"))
+    there = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(".wav"))).otherwise(F.concat(F.col("p_name"), F.lit(" ("), (F.col("p_partkey") % 40).cast("string"), F.lit(").wav")))
+    return moves.numbered(d, "wanted", ["p_partkey"], t.part.where("p_partkey % 9 = 0").select(there.alias("wanted"))).drop("wanted")
+
+
 @query("""
 SELECT platform, lufs, tolerance, peak FROM (VALUES ('netflix', -27.0, 2.0, -2.0), ('amazon', -24.0, 2.0, -2.0), ('appletv', -24.0, 2.0, -1.0), ('youtube', -14.0, NULL, -1.0),
  ('spotify', -14.0, NULL, -1.0), ('applepodcasts', -16.0, 1.0, -1.0), ('ebu', -23.0, 0.5, -1.0), ('atsc', -24.0, 2.0, -2.0)) x(platform, lufs, tolerance, peak)""")

@@ -16,9 +16,66 @@ def test_interval_join_equals_all_pairs(spark):
     b = [(i, s := rng.randrange(1000), s + rng.randrange(0, 120)) for i in range(150)]
     left, right = spark.createDataFrame(a, "x long, a0 long, a1 long"), spark.createDataFrame(b, "y long, b0 long, b1 long")
     want = {(i, j) for i, s, e in a for j, t, f in b if s < f and t < e and e > s and f > t}
-    for width in (7, 100, 5000):
-        got = [(r["x"], r["y"]) for r in joins.interval_join(left, right, ("a0", "b0"), ("a1", "b1"), width).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    got = [(r["x"], r["y"]) for r in joins.interval_join(left, right, ("a0", "b0"), ("a1", "b1")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_intervals_of_any_length_meet_by_few_nodes(spark):
+    """From one tick to a thousand million, before and after zero; an interval is filed under two nodes a level at most."""
+    rng = random.Random(8)
+    make = lambda n: [(i, s := rng.randrange(-10**9, 10**9), s + int(10 ** rng.uniform(0, 9))) for i in range(n)] + [(n, -(2**61), 2**61), (n + 1, 5, 5), (n + 2, 7, 3)]
+    a, b = make(250), make(250)
+    left, right = spark.createDataFrame(a, "x long, a0 long, a1 long"), spark.createDataFrame(b, "y long, b0 long, b1 long")
+    want = {(i, j) for i, s, e in a for j, t, f in b if s < f and t < e and e > s and f > t}
+    got = [(r["x"], r["y"]) for r in joins.interval_join(left, right, ("a0", "b0"), ("a1", "b1")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    filed = {}
+    for r in joins.nodes(left, "a0", "a1").collect():
+        filed.setdefault(r["x"], []).append((r["_place"] << r["_level"], r["_place"] + 1 << r["_level"]))
+    for i, s, e in a:
+        own = sorted(filed.get(i, []))
+        assert len(own) <= max(1, 2 * (max(e - s, 1)).bit_length())
+        if e > s:  # the nodes make up the interval, without gaps
+            assert own[0][0] == s and own[-1][1] == e and all(p[1] == q[0] for p, q in zip(own, own[1:]))
+
+
+def test_a_name_that_most_rows_want(spark):
+    rng = random.Random(6)
+    wants = ["hot.wav"] * 3000 + ["b"] * 40 + ["c (2).wav"] * 5 + [".x"] * 3 + ["d.e/f"] * 4
+    rng.shuffle(wants)
+    there = ["hot.wav", "hot (2).wav", "hot (07).wav", "hot (9999).wav", "b (1)", "b (3)", "b (3) (2)", "c (2) (2).wav", ".x (2)", "d.e/f", "hot (99999999999999999999).wav"] + [f"hot ({rng.randrange(2, 4000)}).wav" for _ in range(900)]
+    used, want = set(there), {}
+    numbers = {}
+    for k, w in enumerate(wants):
+        stem, dot, ext = w.rpartition(".")
+        stem, ext = (stem, dot + ext) if stem and "/" not in ext else (w, "")
+        n = numbers.get(w, 0) + 1
+        while (w if n == 1 else f"{stem} ({n}){ext}") in used:
+            n += 1
+        numbers[w], want[k] = n, w if n == 1 else f"{stem} ({n}){ext}"
+    d = spark.createDataFrame(list(enumerate(wants)), "id long, want string").repartition(5)
+    got = {r["id"]: r["unique"] for r in moves.numbered(d, "want", ["id"], spark.createDataFrame([(x,) for x in there], "want string")).collect()}
+    assert got == want
+    plain = {r["id"]: r["unique"] for r in moves.numbered(d, "want", ["id"]).collect()}
+    assert len(set(plain.values())) == len(wants) and plain[min(plain)] == wants[0]
+
+
+def test_a_merge_is_planned_by_components(spark):
+    """As one plan of each whole group, over random files that share recordings and places."""
+    rng = random.Random(9)
+    schema = "grp string, path string, name string, key string, hash string, size long, channels long, noted boolean, in_target boolean, score long, target string"
+    rows = []
+    for k in range(900):
+        g, name = rng.choice(["g", "h", None]), f"{rng.randrange(260)}.{rng.choice(['wav', 'WAV'])}"
+        inside = rng.random() < 0.2
+        rows.append((g, f"{'t' if inside else 's'}/{k}/{name}" if not inside else f"t/{name}#{k}" if rng.random() < 0.3 else f"t/{name.lower()}", name, rng.choice([None, *map(str, range(400))]), str(rng.randrange(300)), rng.randrange(3), rng.choice([2, 2, 8]), rng.random() < 0.3, inside, rng.randrange(4), f"t/{name.lower()}"))
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    want, found = set(), df.collect()
+    for g in ("g", "h", None):
+        own = sorted((r for r in found if r["grp"] == g), key=lambda r: (not r["in_target"], r["score"], r["path"]))
+        want |= {(g, a[0], path, *a[1:], "") for path, a in moves._plan_files(own).items()}
+    assert {tuple(r) for r in moves.merge_plan(df, "grp").collect()} == want and len({w[1] for w in want}) == 4
 
 
 @pytest.mark.parametrize("strict,width", [(False, None), (True, None), (False, 7), (True, 7)])
@@ -46,7 +103,7 @@ def test_clip_over_midnight(spark):
     day = 86400
     takes = spark.createDataFrame([(1, day - 5, 20, 2, 1, None), (2, 3, 10, 8, 2, None), (3, 40000, 5, 2, 3, None)], "take long, t_start long, t_len long, t_channels long, t_seq long, t_date date")
     clips = spark.createDataFrame([(7, 2, 6, day, None)], "clip long, c_start long, c_len long, c_day long, c_date date")
-    got = {r["take"]: (r["overlap"], r["chosen"]) for r in joins.match_clips(takes, clips, 600).collect()}
+    got = {r["take"]: (r["overlap"], r["chosen"]) for r in joins.match_clips(takes, clips).collect()}
     assert got == {1: (6, True), 2: (5, False)}
 
 
@@ -198,4 +255,4 @@ def test_every_length_of_day_is_matched(spark):
     """More lengths of day than any list of rates has: no clip is lost."""
     takes = spark.createDataFrame([("t", 0, 10_000, 2, 1, None)], "take string, t_start long, t_len long, t_channels int, t_seq int, t_date date")
     clips = spark.createDataFrame([(f"c{k}", 100 + k, 50, 1_000_000 + k, None) for k in range(1500)], "clip string, c_start long, c_len long, c_day long, c_date date")
-    assert joins.match_clips(takes, clips, 1000).where("chosen").count() == 1500
+    assert joins.match_clips(takes, clips).where("chosen").count() == 1500
