@@ -24,8 +24,9 @@ _SPEEDS = ("29.97DF", "29.97D", "29.97-ND", "29.97NDF", "df", "DF", "25", "030.0
 
 
 @query(f"""
-WITH t AS (SELECT p_partkey, p_size, {_list(_SPEEDS)}[p_partkey % {len(_SPEEDS)} + 1] AS speed FROM part)
-SELECT p_partkey, speed, (upper(speed) = 'DF' OR regexp_matches(upper(speed), '(^|[^N])DF($|[^A-Z0-9_])') OR regexp_matches(upper(speed), '[0-9. -]D$')) AS drops FROM t""")
+WITH t AS (SELECT p_partkey, {_list(_SPEEDS)}[p_partkey % {len(_SPEEDS)} + 1] AS speed FROM part), r AS (SELECT *, regexp_extract_all(upper(speed), '[A-Z]+|[^A-Z]+') AS runs FROM t)
+SELECT p_partkey, speed, len(list_filter(runs, lambda r, i: ends_with(r, 'DF') AND NOT ends_with(r, 'NDF') AND (i = len(runs) OR NOT regexp_matches(runs[i + 1], '^[0-9_]')))) > 0
+  OR coalesce(len(runs) > 1 AND runs[-1] = 'D' AND right(runs[-2], 1) IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '.', '-', ' '), false) AS drops FROM r""")
 def q_drop_flags(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", _one_of(F.col("p_partkey"), *_SPEEDS).alias("speed")).withColumn("drops", timecode.parse_drop_frame(F.col("speed")))
 
@@ -35,9 +36,11 @@ _CODES = ("01:02:03:04", "1:02:03:04", "01:2:03:04", "01:02:03:004", "23;59;59;2
 
 @query(f"""
 WITH t AS (SELECT p_partkey, {_list(_CODES)}[p_partkey % {len(_CODES)} + 1] AS code FROM part),
-m AS (SELECT *, regexp_extract(code, '^\\s*(\\d{{1,2}})[:;.](\\d{{2}})[:;.](\\d{{2}})[:;.,](\\d{{2}})\\s*$', ['h', 'm', 's', 'f']) AS x FROM t),
-n AS (SELECT *, try_cast(x.h AS BIGINT) * 60 + try_cast(x.m AS BIGINT) AS minutes FROM m)
-SELECT p_partkey, code, (minutes * 60 + try_cast(x.s AS BIGINT)) * 25 + try_cast(x.f AS BIGINT) AS plain, (minutes * 60 + try_cast(x.s AS BIGINT)) * 30 + try_cast(x.f AS BIGINT) - 2 * (minutes - minutes // 10) AS dropped FROM n""")
+m AS (SELECT *, string_split(translate(trim(code), ';.', '::'), ':') AS c FROM t),
+f AS (SELECT p_partkey, code, CASE WHEN len(string_split(c[-1], ',')) = 2 THEN list_concat(c[:-2], string_split(c[-1], ',')) ELSE c END AS c FROM m),
+x AS (SELECT p_partkey, code, CASE WHEN len(c) = 4 AND length(c[1]) IN (1, 2) AND length(c[2]) = 2 AND length(c[3]) = 2 AND length(c[4]) = 2 THEN list_transform(c, lambda p: try_cast(p AS BIGINT)) END AS c FROM f),
+n AS (SELECT p_partkey, code, c[1] * 60 + c[2] AS minutes, c[3] AS s, c[4] AS f FROM x)
+SELECT p_partkey, code, (minutes * 60 + s) * 25 + f AS plain, (minutes * 60 + s) * 30 + f - 2 * (minutes - minutes // 10) AS dropped FROM n""")
 def q_tc_strict(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", _one_of(F.col("p_partkey"), *_CODES).alias("code"))
     return d.select("*", timecode.tc_to_frames(F.col("code"), 25).alias("plain"), timecode.tc_to_frames(F.col("code"), 30, True).alias("dropped"))

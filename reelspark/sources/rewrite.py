@@ -32,41 +32,54 @@ BLOCK_FRAMES = 1 << 16
 MOST_RIFF = 0xFFFFFFFF
 
 
-class NeedsRewrite(Exception):
-    """The metadata doesn't fit where it lies."""
+# --- metadata
 
 
-# --- metadata
+def _element(tag: str, *inside: ET.Element, text: str | None = None) -> ET.Element:
+    made = ET.Element(tag)
+    made.text = text
+    made.extend(inside)
+    return made
+
 
+def _put(root: ET.Element, path: str, text: str, keep: bool = False) -> None:
+    """Sets the text of the first element at a path such as HISTORY/CURRENT_FILENAME, which is made where it isn't; keep leaves one that is."""
+    node = root
+    for tag in path.split("/"):
+        below = node.find(tag)
+        made = below is None
+        if made:
+            below = _element(tag)
+            node.append(below)
+        node = below
+    if made or not keep:
+        node.text = text
 
-def _child(node: ET.Element, tag: str) -> ET.Element:
-    found = node.find(tag)
-    return ET.SubElement(node, tag) if found is None else found
+
+def _track_list(tracks: list[str]) -> ET.Element:
+    """Tracks in the order of their channels, which are their places in the file too."""
+    each = [_element("TRACK", *(_element(tag, text=text) for tag, text in (("CHANNEL_INDEX", str(k)), ("INTERLEAVE_INDEX", str(k)), ("NAME", name)))) for k, name in enumerate(tracks, 1)]
+    return _element("TRACK_LIST", _element("TRACK_COUNT", text=str(len(tracks))), *each)
 
 
 def build_ixml(old: bytes | None, changes: dict[str, object], filename: str | None = None, tracks: list[str] | None = None) -> bytes:
     """An iXML document with the changes; what else the old one holds stays. A new file name is kept beside
-    the first one, and given tracks replace the list, numbered from 1."""
-    root = wav.ixml_root(old) if old else None
+    the first one, and given tracks replace the list. An old document that can't be read is never replaced: NotWav."""
+    root = _element("BWFXML", _element("IXML_VERSION", text="1.61")) if not (old or b"").strip(b"\0 \r\n\t") else wav.ixml_root(old)
     if root is None:
-        root = ET.Element("BWFXML")
-        _child(root, "IXML_VERSION").text = "1.61"
-    for field, value in changes.items():
-        _child(root, FIELDS[field][0]).text = str(value).upper() if isinstance(value, bool) else str(value)
+        raise wav.NotWav("its iXML can't be read, so it isn't changed")
+    written = {True: "TRUE", False: "FALSE"}
+    edits = [(FIELDS[field][0], written[value] if isinstance(value, bool) else str(value), False) for field, value in changes.items()]
     if filename is not None:
-        history = _child(root, "HISTORY")
-        if history.find("ORIGINAL_FILENAME") is None:
-            _child(history, "ORIGINAL_FILENAME").text = filename
-        _child(history, "CURRENT_FILENAME").text = filename
+        edits += [("HISTORY/ORIGINAL_FILENAME", filename, True), ("HISTORY/CURRENT_FILENAME", filename, False)]
+    for path, text, keep in edits:
+        _put(root, path, text, keep)
     if tracks is not None:
-        listed = _child(root, "TRACK_LIST")
-        for k in list(listed):
-            listed.remove(k)
-        _child(listed, "TRACK_COUNT").text = str(len(tracks))
-        for k, name in enumerate(tracks, 1):
-            track = ET.SubElement(listed, "TRACK")
-            for tag, text in (("CHANNEL_INDEX", str(k)), ("INTERLEAVE_INDEX", str(k)), ("NAME", name)):
-                _child(track, tag).text = text
+        lists = root.findall("TRACK_LIST")
+        at = list(root).index(lists[0]) if lists else len(root)
+        for listed in lists:
+            root.remove(listed)
+        root.insert(at, _track_list(tracks))
     return b'<?xml version="1.0" encoding="UTF-8"?>\n' + ET.tostring(root, encoding="utf-8", short_empty_elements=False) + b"\n"
 
 
@@ -253,71 +266,114 @@ def processed_copy(path: str, out: str, touched: dict[int, Callable[[np.ndarray]
     return write_files([out], [header(chunks, h["frames"] * h["channels"] * width)], blocks())[0]
 
 
+def _room(chunks: list[tuple[str, int, int, bool]], k: int) -> tuple[int, int]:
+    """Bytes of the k-th chunk with its pad, and those of a filler right behind it (0: there is none)."""
+    _, at, size, _ = chunks[k]
+    own = size + size % 2
+    name, body, spare, _ = chunks[k + 1] if k + 1 < len(chunks) else ("", -1, 0, False)
+    return own, 8 + spare if name in FILLERS and body == at + own + 8 else 0
+
+
+def _fitted(document: bytes, chunks: list[tuple[str, int, int, bool]], k: int) -> bytes | None:
+    """What to write from the k-th chunk's head on, so that nothing behind it moves; None if there is no room."""
+    own, spare = _room(chunks, k)
+    if len(document) <= chunks[k][2]:  # the chunk keeps its size, with zeros behind the document
+        return b"iXML" + struct.pack("<I", chunks[k][2]) + document.ljust(chunks[k][2], b"\0")
+    grown = _padded(b"iXML", document)
+    left = 8 + own + spare - len(grown)  # for a filler of its own head at least
+    return grown + chunks[k + 1][0].encode() + struct.pack("<I", left - 8) if spare and left >= 8 else None
+
+
 def update_metadata(path: str, changes: dict[str, object], filename: str | None = None, allow_rewrite: bool = False) -> str:
     """Puts changed fields into a file: unchanged, in place (the document fits its chunk and a filler right
-    behind it), or by a rewrite with room to spare if that is allowed. The fields are read back."""
+    behind it), or by a rewrite with room to spare if that is allowed. The fields are read back. A file
+    whose document can't be read is left as it is (NotWav)."""
     h = whole(path)
-    now = {k: h[k] for k in changes}
-    if now == changes and filename is None:
+    if filename is None and all(h[field] == value for field, value in changes.items()):
         return "unchanged"
-    spots = {c[0]: (k, c) for k, c in reversed(list(enumerate(h["chunks"])))}
+    chunks = h["chunks"]
+    place = {name: next((k for k, c in enumerate(chunks) if c[0] == name), None) for name in ("iXML", "bext")}
+    body: dict[str, bytes] = {}
     with open(path, "rb") as f:
-        body = {}
-        for name in ("iXML", "bext"):
-            if name in spots:
-                f.seek(spots[name][1][1])
-                body[name] = f.read(spots[name][1][2])
+        for name, k in place.items():
+            if k is not None:
+                f.seek(chunks[k][1])
+                body[name] = f.read(chunks[k][2])
     document = build_ixml(body.get("iXML"), changes, filename)
-    if "bext" in body:
-        body["bext"] = build_description(body["bext"][:DESCRIPTION], changes, filename) + body["bext"][DESCRIPTION:]
-    mode = "in place"
-    try:
-        if "iXML" not in spots:
-            raise NeedsRewrite
-        k, (_, at, size, _) = spots["iXML"]
-        after = h["chunks"][k + 1] if k + 1 < len(h["chunks"]) else ("", 0, 0, False)
-        end = at + size + size % 2
-        if len(document) > size and not (after[0] in FILLERS and after[1] == end + 8 and len(document) + len(document) % 2 <= end - at + after[2]):
-            raise NeedsRewrite
+    bext = build_description(body["bext"][:DESCRIPTION], changes, filename) + body["bext"][DESCRIPTION:] if "bext" in body else None
+    fitted = None if place["iXML"] is None else _fitted(document, chunks, place["iXML"])
+    if fitted is None and not allow_rewrite:
+        return "needs a rewrite"
+    if fitted is None:
+        _rewritten(path, h, document, bext)
+    else:
         with open(path, "r+b") as f:
-            if len(document) <= size:
-                f.seek(at)
-                f.write(document.ljust(size, b"\0"))
-            else:  # the document grows into the filler, which begins anew behind it
-                grown = len(document) + len(document) % 2
-                left = end - at + after[2] - grown
-                f.seek(at)
-                f.write(document + b"\0" * (grown - len(document)) + after[0].encode() + struct.pack("<I", left))
-                f.seek(at - 4)
-                f.write(struct.pack("<I", grown))
-            if "bext" in body:
-                f.seek(spots["bext"][1][1])
-                f.write(body["bext"])
+            f.seek(chunks[place["iXML"]][1] - 8)
+            f.write(fitted)
+            if bext is not None:
+                f.seek(chunks[place["bext"]][1])
+                f.write(bext)
             f.flush()
             os.fsync(f.fileno())
-    except NeedsRewrite:
-        if not allow_rewrite:
-            return "needs a rewrite"
-        mode = "rewrite"
-        _rewritten(path, h, document, body.get("bext"))
     back = wav.read_header(path)
-    lost = [k for k, v in changes.items() if back[k] != (v if isinstance(v, bool) else str(v).strip())]
+    lost = [field for field, value in changes.items() if back[field] != (value if isinstance(value, bool) else str(value).strip())]
     if back["error"] or lost or back["frames"] != h["frames"]:
         raise OSError(f"did not read back: {', '.join(lost) or back['error'] or 'frames'}")
-    return mode
+    return "rewrite" if fitted is None else "in place"
 
 
 def _rewritten(path: str, h: dict, document: bytes, bext: bytes | None) -> None:
-    """The same file with room for the document, through a temporary one that replaces it once it is whole."""
-    chunks = [(n.encode(), bext if n == "bext" and bext is not None else b) for n, b in other_chunks(path, h, ("iXML",))]
+    """The same file with room for the document, through a temporary one that replaces it once it is whole.
+
+    All other bytes stay as they are and in their order, those that no chunk holds and those behind the last one too."""
+    size = os.path.getsize(path)
+    fresh = _padded(b"iXML", document) + _padded(b"JUNK", bytes(HEADROOM))
+    puts: list[tuple[int, int, bytes]] = []  # from, to, what instead
+    for name, at, n, _ in h["chunks"]:
+        if name == "iXML" and fresh:
+            puts.append((at - 8, min(at + n + n % 2, size), fresh))
+            fresh = b""
+        elif name == "bext" and bext is not None:
+            puts.append((at, at + n, bext))
+            bext = None
+    if fresh:
+        head = next(at for name, at, _, _ in h["chunks"] if name == "data") - 8
+        puts.append((head, head, fresh))
+    more = sum(len(new) - (high - low) for low, high, new in puts)
     with open(path, "rb") as f:
-        _, at, size, _ = next(c for c in h["chunks"] if c[0] == "fmt ")
+        long_ = next((at for name, at, _, _ in h["chunks"] if name == "ds64"), None)
+        at, form = (4, "<I") if long_ is None else (long_, "<Q")
         f.seek(at)
-        chunks += [(b"iXML", document), (b"JUNK", bytes(HEADROOM)), (b"fmt ", f.read(size))]
-    temp = f"{path}.{uuid.uuid4().hex}"
-    times = os.stat(path)
-    done = write_files([temp], [header(chunks, h["frames"] * h["channels"] * h["bits"] // 8)], ([b] for b in raw_blocks(path, h)))
-    if done != ["done"]:
-        raise OSError("could not be rewritten")
-    os.utime(temp, ns=(times.st_atime_ns, times.st_mtime_ns))
-    os.replace(temp, path)
+        total = struct.unpack(form, f.read(struct.calcsize(form)))[0] + more
+        if long_ is None and total > MOST_RIFF:
+            raise ValueError("the file would be too long for its kind")
+        puts.append((at, at + struct.calcsize(form), struct.pack(form, total)))
+        temp = f"{path}.{uuid.uuid4().hex}"
+        times = os.stat(path)
+        try:
+            with open(temp, "xb") as out:
+                now = 0
+                for low, high, new in sorted(puts):
+                    _copied(f, out, now, low)
+                    out.write(new)
+                    now = high
+                _copied(f, out, now, size)
+                out.flush()
+                os.fsync(out.fileno())
+            if os.path.getsize(temp) != size + more or wav.read_header(temp)["error"]:
+                raise OSError("could not be rewritten")
+            os.utime(temp, ns=(times.st_atime_ns, times.st_mtime_ns))
+            os.replace(temp, path)
+        finally:
+            if os.path.exists(temp):
+                os.remove(temp)
+
+
+def _copied(f, out, low: int, high: int, block: int = 1 << 22) -> None:
+    f.seek(low)
+    while low < high:
+        part = f.read(min(block, high - low))
+        if not part:
+            raise OSError("the file got shorter")
+        out.write(part)
+        low += len(part)

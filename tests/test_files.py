@@ -172,7 +172,9 @@ def test_documents_keep_what_they_dont_know():
     assert root.findtext("OWN") == "kept" and root.findtext("TAKE") == "3" and root.findtext("HISTORY/ORIGINAL_FILENAME") == "b.wav" and [t.findtext("NAME") for t in root.iterfind("TRACK_LIST/TRACK")] == ["A", "B&C"]
     again = wav.ixml_root(rewrite.build_ixml(rewrite.build_ixml(IXML.encode(), {}, "b.wav"), {}, "c.wav"))
     assert again.findtext("HISTORY/ORIGINAL_FILENAME") == "b.wav" and again.findtext("HISTORY/CURRENT_FILENAME") == "c.wav"
-    assert wav.ixml_root(rewrite.build_ixml(b"not xml", {"scene": "5"})).findtext("SCENE") == "5"
+    with pytest.raises(wav.NotWav):
+        rewrite.build_ixml(b"not xml", {"scene": "5"})
+    assert wav.ixml_root(rewrite.build_ixml(b"\0\0", {"scene": "5"})).findtext("SCENE") == "5"
 
 
 def test_verified_copies(spark, tmp_path):
@@ -315,3 +317,39 @@ def test_folders_are_walked_where_the_work_is(spark, tmp_path):
     for stretch in (1 << 26, 400, 150):
         spread = wav.blocks(spark, str(tmp_path), 100, 5, stretch)
         assert sorted(map(repr, spread.collect())) == sorted(map(repr, by_source.collect())) and spread.count() == 12 * 2 * 3
+
+
+def _with_chunks(path, *parts, tail=b""):
+    """A WAV file of these chunks in order."""
+    body = b"".join(rewrite._padded(n, b) for n, b in parts)
+    path.write_bytes(b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body + tail)
+    return str(path)
+
+
+def test_a_document_that_cannot_be_read_is_not_changed(tmp_path):
+    broken = b"<BWFXML><PROJECT>Dear</PROJECT><NOTE>kept & lost"
+    path = _with_chunks(tmp_path / "x.wav", (b"fmt ", rewrite.fmt(1, 48000, 16, False)), (b"iXML", broken), (b"JUNK", bytes(4000)), (b"data", bytes(20)))
+    before = open(path, "rb").read()
+    for room in (False, True):
+        with pytest.raises(wav.NotWav):
+            rewrite.update_metadata(path, {"scene": "7"}, allow_rewrite=room)
+    assert open(path, "rb").read() == before
+
+
+@pytest.mark.parametrize("document", [IXML.encode(), None])
+def test_a_rewrite_keeps_every_other_byte_in_its_place(tmp_path, document):
+    ixml = [(b"iXML", document)] if document else []
+    parts = [(b"JUNK", b"filler that means something"), (b"fmt ", rewrite.fmt(1, 48000, 16, False)), *ixml, (b"vend", b"odd"), (b"data", bytes(range(20))), (b"LIST", b"INFOISFT\x02\0\0\0me")]
+    path = _with_chunks(tmp_path / "x.wav", *parts, tail=b"\x01\x02vendor's own tail, of an odd length")
+    before = open(path, "rb").read()
+    assert rewrite.update_metadata(path, {"note": "n" * 900}, allow_rewrite=True) == "rewrite"
+    after, h = open(path, "rb").read(), wav.read_header(path)
+    assert h["note"] == "n" * 900 and struct.unpack("<I", after[4:8])[0] - struct.unpack("<I", before[4:8])[0] == len(after) - len(before)
+    names = [c[0] for c in h["chunks"]]
+    kept = [n for k, n in enumerate(names) if n != "iXML" and not (n == "JUNK" and names[k - 1] == "iXML")]
+    assert kept == [n.decode() for n, _ in parts if n != b"iXML"]
+    new = [c for c in h["chunks"] if c[0] == "iXML"][0]
+    end = new[1] + new[2] + new[2] % 2 + 8 + rewrite.HEADROOM
+    old = before.index(b"iXML") if document else before.index(b"data")
+    gone = old + 8 + len(document) + len(document) % 2 if document else old
+    assert after[8 : new[1] - 8] == before[8:old] and after[end:] == before[gone:]
