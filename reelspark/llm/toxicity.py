@@ -3,7 +3,8 @@
 Terms are a text's distinct words and the beginnings of its words, each with how often it starts a
 distinct word (up to three). Linear weights and pairwise interactions, through vectors of a few
 factors, are learned from a bounded sample of labelled documents, with a proximal penalty that sets
-the weights of uninformative terms to zero; scores read whole texts.
+the weights of uninformative terms to zero; scores read whole texts. Learned are the terms that bear on the
+label alone or with another term, so a group word that is harmless by itself is among them.
 
 Defined results: a null or empty text has no terms and scores by the bias alone; without labels of
 both kinds every text scores the share of label 1 (0.5 without labels); repeated rows stay, and a
@@ -28,6 +29,8 @@ BITS = 20
 FACTORS = 4
 #: At most so many labelled documents are learned from.
 SAMPLE = 12_000
+#: So many of the most frequent terms are tested with each other.
+PAIRED = 1024
 PREFIX = 5
 EPOCHS = 60
 BATCH = 128
@@ -94,18 +97,60 @@ class FactorizationMachine:
         return float(sigmoid(np.array(self.bias + float(self.weights[at].sum()) + pairs)))
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray, least: int = 3, bound: float = 6.0) -> np.ndarray:
-    """Slots in at least `least` rows whose presence and label depend on each other (likelihood ratio over the bound)."""
-    n, n1 = len(y), float(y.sum())
+def _dependence(a, b, n1, n0):
+    """Likelihood ratio of a label and a term that a rows of label 1 and b of label 0 have, of n1 and n0 in all; any shapes that go together."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    c, d, n = n1 - a, n0 - b, np.maximum(n1 + n0, 1e-12)
+    ratio = 0.0
+    for cell, row, column in ((a, a + b, n1), (b, a + b, n0), (c, c + d, n1), (d, c + d, n0)):
+        ratio = ratio + 2 * cell * np.log(np.maximum(cell, 1e-12) * n / np.maximum(row * column, 1e-12))
+    return ratio
+
+
+def informative(rows: list[np.ndarray], y: np.ndarray, least: int = 3, bound: float = 6.0, pair_bound: float = 45.0, paired: int = PAIRED) -> np.ndarray:
+    """Slots in at least `least` rows that bear on the label: alone (likelihood ratio over bound), or with another
+    term (over pair_bound, where the label is compared among rows with the other term and among those without).
+
+    The others are all terms that bear on it alone, and the `paired` most frequent ones, which are tested with each
+    other; so a term without any effect of its own is found by the term that it matters with.
+    """
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
     both = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    ones = np.bincount(np.concatenate([r for r, k in zip(rows, y) if k] or [np.empty(0, np.int64)]), minlength=1 << BITS)
     slots = np.flatnonzero(both >= least)
-    a, b = ones[slots].astype(float), (both - ones)[slots].astype(float)
-    c, d = n1 - a, (n - n1) - b
-    ratio = np.zeros(len(slots))
-    for cell, row, column in ((a, a + b, n1), (b, a + b, n - n1), (c, c + d, n1), (d, c + d, n - n1)):
-        ratio += 2 * cell * np.log(np.maximum(cell, 1e-12) * n / np.maximum(row * column, 1e-12))
-    return slots[ratio > bound]
+    where = np.full(1 << BITS, -1, np.int64)
+    where[slots] = np.arange(len(slots))
+    inner = [x[x >= 0] for x in (where[r] for r in rows)]
+    size = len(slots)
+    flat, label = np.concatenate(inner), np.repeat(y.astype(bool), [len(r) for r in inner])
+    ones, zeros = np.bincount(flat[label], minlength=size), np.bincount(flat[~label], minlength=size)
+    kept = _dependence(ones, zeros, n1, n0) > bound
+
+    frequent = np.argsort(-(ones + zeros), kind="stable")[:paired]
+    column = np.full(size, -1, np.int64)
+    column[frequent] = np.arange(len(frequent))
+    has = np.zeros((len(inner), len(frequent)), np.float32)
+    for k, r in enumerate(inner):
+        has[k, (c := column[r])[c >= 0]] = 1
+    a, b = has[y == 1].T @ has[y == 1], has[y != 1].T @ has[y != 1]  # rows with both terms, by label; at most paired x paired
+    f1, f0 = np.diag(a)[:, None], np.diag(b)[:, None]
+    found = _dependence(a, b, f1, f0) + _dependence(f1.T - a, f0.T - b, n1 - f1, n0 - f0) > pair_bound
+    np.fill_diagonal(found, False)
+    # a term that bears on the label alone does so among the rows with another too: that alone says nothing of the other
+    matters = found & ~kept[frequent][None, :]
+    also = np.zeros(size, bool)
+    also[frequent[matters.any(axis=0) | matters.any(axis=1)]] = True
+
+    order = np.argsort(flat, kind="stable")
+    of_row = np.repeat(np.arange(len(inner)), [len(r) for r in inner])[order]
+    begins = np.searchsorted(flat[order], np.arange(size + 1))
+    for t in np.flatnonzero(kept):  # with each term that bears on it alone, every other
+        own = [inner[k] for k in of_row[begins[t] : begins[t + 1]]]
+        mine, mark = np.concatenate(own), np.repeat(y[of_row[begins[t] : begins[t + 1]]].astype(bool), [len(r) for r in own])
+        a, b = np.bincount(mine[mark], minlength=size), np.bincount(mine[~mark], minlength=size)
+        some = np.flatnonzero((a + b > 0) & ~kept)
+        a, b, m1, m0 = a[some], b[some], float(ones[t]), float(zeros[t])
+        also[some[_dependence(a, b, m1, m0) + _dependence(ones[some] - a, zeros[some] - b, n1 - m1, n0 - m0) > pair_bound]] = True
+    return slots[kept | also]
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7, l1: float = 2e-4, l2: float = 1e-3) -> FactorizationMachine:

@@ -101,16 +101,47 @@ def test_interactions_learn_what_weights_cannot():
     y = (x[:, 0] ^ x[:, 1]).astype(float)
     # Each term also stands for its absence, so that pairs can say both cases.
     rows = [np.array(sorted([5 + 20 * a, 9 + 20 * b])) for a, b in x]
-    informative = T.informative
-    T.informative = lambda rows, y, **_: np.unique(np.concatenate(rows))  # none is informative alone
-    try:
-        m = T.train(rows, y, epochs=300)
-    finally:
-        T.informative = informative
+    m = T.train(rows, y, epochs=300)
     linear = T.FactorizationMachine(m.bias, m.slots, m.weights, np.zeros_like(m.factors))
     assert auc(np.array([m.score(r) for r in rows]), y) > 0.95 and abs(auc(np.array([linear.score(r) for r in rows]), y) - 0.5) < 0.1
 
 
+@pytest.mark.parametrize("rare", [2, 12])
+def test_a_pair_without_effects_of_its_own_is_learned_from_texts(spark, rare):
+    """Label 1 where exactly one of two words is there, among others that say nothing: neither says anything alone."""
+    rng = np.random.default_rng(5)
+    rows, marks = [], []
+    for k in range(4000):
+        a, b = (rng.random(2) < 0.5) if rare == 2 else (rng.random(2) < [0.5, 1 / rare])
+        words = [f"filler{j}" for j in rng.integers(0, 300, 25)] + ["apple"] * bool(a) + ["pear"] * bool(b)
+        rows.append((k, " ".join(rng.permutation(words))))
+        # in the second case the rare word turns the frequent one's meaning round, and the label is even among rows without it
+        marks.append((k, 0, int(a != b) if rare == 2 or b else int(rng.random() < 0.5), bool(b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([m[:3] for m in marks], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in T.toxicity(docs, labels).collect()}
+    held = [m for m in marks if got[m[0]]["held_out"] and (rare == 2 or m[3])]
+    assert auc(np.array([got[m[0]]["score"] for m in held]), np.array([m[2] for m in held])) > 0.9
+
+
+def test_pair_statistics_equal_counting():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, (200, 2)).astype(bool)
+    y = (rng.random(200) < np.where(x[:, 0] ^ x[:, 1], 0.8, 0.3)).astype(float)
+
+    def plain(u, y):
+        total = 0.0
+        for i in (False, True):
+            for j in (0, 1):
+                n = ((u == i) & (y == j)).sum()
+                total += 2 * n * np.log(n * len(y) / ((u == i).sum() * (y == j).sum())) if n else 0.0
+        return total
+
+    t, u = x[:, 0], x[:, 1]
+    a, b, m1, m0 = (u & t & (y == 1)).sum(), (u & t & (y == 0)).sum(), (t & (y == 1)).sum(), (t & (y == 0)).sum()
+    assert T._dependence(a, b, m1, m0) == pytest.approx(plain(u[t], y[t]))
+
+
 def test_interactions_change_real_scores(larger):
     docs, labels = larger
     m = T.fit(docs, labels)
