@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +137,10 @@ class Ranges:
         self.times = np.concatenate([times, [1]])  # ranges that begin at or below each bound
         self.first = np.cumsum(self.times) - self.times
 
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys have more rows than a range."""
+        return np.isin(keys, self.bounds[self.times[:-1] > 1])
+
     def of(self, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.bounds, keys, side="left")
         # The last range below a bound's key holds smaller keys too; the key itself spreads over all of them.
@@ -149,11 +154,14 @@ class Ranges:
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, last, key, th, doc_id, text) in which each row is followed by the next document.
+    """Rows (bucket, last, key, th, doc_id, text) in which each row is followed by the next document; a row
+    that is marked 2 is followed by a copy of itself, which isn't there.
 
     Ids are cut into ranges by approximate quantiles, and an id with more rows than a range by the hash
     of the text as well; each range is gathered and sorted on its own, and the first document of a range
-    is also sent, marked last, to the range before it (that of the first range to the last one). So
+    is also sent, marked last, to the range before it (that of the first range to the last one), once by each
+    task that has it. Rows alike in id and text, of which there are more than a range, are each other's next: each
+    task sends one of them to its range, and the others, marked 2, are dealt to as many tasks as there are ranges. So
     texts are shuffled once and no task sees more than its ranges, whose number grows with the rows.
     """
     d = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("th", F.xxhash64("text"))
@@ -163,17 +171,35 @@ def beside_next(docs: DataFrame) -> DataFrame:
     if cuts > 1:
         found = d.select(F.percentile_approx("key", [k / cuts for k in range(1, cuts)], 10 * cuts).alias("q")).first()["q"]
     ranges = Ranges(found)
+    alike: set[tuple[int, int]] = set()
+    if (ranges.times > 1).any():  # an id with more rows than a range
+        several = d.where(F.pandas_udf(lambda keys: pd.Series(ranges.repeated(keys.to_numpy())), "boolean")("key")).groupBy("key", "th").agg(F.count("*").alias("n"))
+        alike = {(r["key"], r["th"]) for r in several.where(F.col("n") > max(ROWS_PER_BUCKET, n // MAX_BUCKETS)).collect()}  # MAX_BUCKETS at most
     bucket = F.pandas_udf(lambda keys, hashes: pd.Series(ranges.of(keys.to_numpy(), hashes.to_numpy())), "long")
     lowest = d.select("key", "th").withColumn("bucket", bucket("key", "th")).groupBy("bucket").agg(F.min(F.struct("key", "th")).alias("m"))
     firsts = sorted((r["bucket"], tuple(r["m"])) for r in lowest.collect())  # a row for each range
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
+    beyond = int(ranges.times.sum())
+
+    @F.pandas_udf("array<long>")
+    def places(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Four times the bucket and the mark, of each row."""
+        here: set[tuple[int, int]] = set()
+        turn = TaskContext.get().partitionId()
+        for keys, hashes in parts:
+            out = []
+            for b, k in zip(ranges.of(keys.to_numpy(), hashes.to_numpy()).tolist(), zip(keys.tolist(), hashes.tolist())):
+                if k in here and k in alike:
+                    turn += 1
+                    out.append([4 * (beyond + turn % cuts) + 2])
+                    continue
+                out.append([4 * b, 4 * before[k] + 1] if k in before and k not in here else [4 * b])
+                if k in before or k in alike:
+                    here.add(k)
+            yield pd.Series(out)
 
-    def places(keys, hashes):
-        own = ranges.of(keys.to_numpy(), hashes.to_numpy())
-        return pd.Series([[2 * b, 2 * before[k] + 1] if k in before else [2 * b] for b, k in zip(own.tolist(), zip(keys.tolist(), hashes.tolist()))])
-
-    placed = d.withColumn("place", F.explode(F.pandas_udf(places, "array<long>")("key", "th")))
-    placed = placed.select(F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2).alias("last"), "key", "th", "doc_id", "text")
+    placed = d.withColumn("place", F.explode(places("key", "th")))
+    placed = placed.select(F.shiftright("place", 2).alias("bucket"), (F.col("place") % 4).alias("last"), "key", "th", "doc_id", "text")
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(firsts))
     return placed.repartition(width, "bucket").sortWithinPartitions("bucket", "last", "key", "th", "text")
 
@@ -184,12 +210,19 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        held = None
+        held, twin = None, ("", None)
         for batch in (part.slice(k, TOGETHER) for part in batches for k in range(0, part.num_rows, TOGETHER)):
             rows = []
             for bucket, last, doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4, 5))):
                 if held and held[0] != bucket:
                     held = None
+                if last == 2:
+                    if twin[1] is None or twin[0] != text:
+                        own, changed = MultisetHash.of(text), edited(text, text)
+                        new = MultisetHash.of(changed)
+                        twin = text, (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(), new.hex(), own.likeness(new), own.likeness(own))
+                    rows.append((doc_id, *twin[1]))
+                    continue
                 if last and not held:
                     continue
                 own = MultisetHash.of(text)

@@ -92,3 +92,15 @@ def test_hot_ids_are_split(spark, monkeypatch):
     assert got == sorted(brute(ordered(frame)), key=repr)
     sizes = [r["count"] for r in P.beside_next(frame).where("last = 0").groupBy("bucket").count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 300
+
+
+def test_rows_alike_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Most rows without id and of one text, as many of one id and text: each is its copy's next, and no bucket holds them all."""
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 50)
+    rows = [(None, "the same. text.")] * 4000 + [(5, "another one. of many.")] * 1500 + [(k, f"text {k}.") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted(map(tuple, P.edit_likeness(frame).collect()), key=repr)
+    assert got == sorted(brute(ordered(frame)), key=repr)
+    each = P.beside_next(frame).groupBy("bucket", "last").count().collect()
+    assert sum(r["count"] for r in each if r["last"] != 1) == len(rows) and max(r["count"] for r in each) < 300
+    assert all(r["count"] <= 6 for r in each if r["last"] == 1)
