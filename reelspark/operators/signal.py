@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import audio
 from reelspark.functions.timecode import div
-from reelspark.operators.prefix import LENGTH, in_order, neighbours, running, scanned
+from reelspark.operators.prefix import LENGTH, in_order, neighbours, positions, ranged, running, scanned
 from reelspark.session import checkpoint_dir
 
 #: Stretches of items between free moments that are packed in one go.
@@ -58,8 +58,35 @@ def loudness_range(windows: DataFrame, by: list[str], gate: float = -70.0, relat
     """P95 less P10 of the windows over both gates; null for fewer than two."""
     loud = windows.withColumn("_l", audio.loudness(F.col("mean_power"))).where(F.col("_l") > gate)
     rel = loud.groupBy(*by).agg((audio.loudness(F.avg("mean_power")) + relative).alias("_rel"))
-    p = F.percentile("_l", [0.1, 0.95])
-    return loud.join(rel, by).where("_l > _rel").groupBy(*by).agg(F.when(F.count("*") > 1, p[1] - p[0]).alias("lra"))
+    kept = loud.join(rel, by).where("_l > _rel").select(*by, "_l")
+    p = percentiles(kept, by, "_l", [0.1, 0.95])
+    return p.select(*by, F.when(F.col("n") > 1, F.col("p")[1] - F.col("p")[0]).alias("lra"))
+
+
+#: A group of so many values is gathered by an aggregate; a larger one is ranked where its values lie.
+GATHERED = 1_000_000
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], gathered: int | None = None) -> DataFrame:
+    """by, n and p, the exact percentiles (between two values on a line) of each group's values that aren't null.
+
+    Values of a large group are dealt by ranges, so their order is that of the tasks, and a value's rank is its place
+    in its task and what the tasks before it hold: no task and no buffer holds the group."""
+    checkpoint_dir(df.sparkSession)
+    values = df.where(F.col(value).isNotNull()).select(*by, value).checkpoint()
+    n = F.count("*").alias("n")
+    large = values.groupBy(*by).agg(n).where(F.col("n") > (GATHERED if gathered is None else gathered)).select(*by).checkpoint()
+    if large.isEmpty():
+        return values.groupBy(*by).agg(n, F.percentile(value, shares).alias("p"))
+    match = [F.col(f"v.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]
+    few = values.alias("v").join(large.alias("l"), match, "left_anti").groupBy(*by).agg(n, F.percentile(value, shares).alias("p"))
+    order = ranged(values.alias("v").join(large.alias("l"), match, "left_semi"), [*by, value])
+    placed = positions(order, by, F.shiftright("_pos", 16), ["_pos"])
+    at = [F.lit(s) * (F.col("total") - 1) for s in shares]
+    near = placed.where(F.array_contains(F.array(*(f(a).cast("long") for a in at for f in (F.floor, F.ceil))), F.col("pos")))
+    ends = [F.max(F.when(F.col("pos") == f(a), F.col(value))) for a in at for f in (F.floor, F.ceil)]
+    between = [low + (high - low) * F.max(a - F.floor(a)) for a, low, high in zip(at, ends[::2], ends[1::2])]
+    return few.unionByName(near.groupBy(*by).agg(F.max("total").alias("n"), F.array(*between).alias("p")))
 
 
 def maxima(blocks: DataFrame, by: list[str], at: str, power: str, momentary: int = 4, short_term: int = 30) -> DataFrame:

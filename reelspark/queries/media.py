@@ -242,3 +242,18 @@ def q_snapshot(t: Tables) -> DataFrame:
     target = f"{checkpoint_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
     store.save_snapshot(wav.scan(t.spark, root), target)
     return store.load_under(t.spark, target, f"{root}/R1").select(basename(F.col("path")).alias("name"), "note")
+
+
+@query("""
+WITH e AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS path, user_id, value FROM events)
+SELECT 2 AS version, path, user_id, CASE WHEN user_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM e WHERE user_id % 5 <> 0 UNION ALL SELECT 1, path, user_id, value FROM e""")
+def q_versions(t: Tables) -> DataFrame:
+    """All events as a first version; a second one changes a third of the users' and deletes a fifth's."""
+    from reelspark.sources import versions
+
+    root = f"{checkpoint_dir(t.spark)}/versions-{uuid.uuid4().hex}"
+    d = t.events.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), "user_id", "value")
+    versions.commit(t.spark, root, d, "path")
+    versions.commit(t.spark, root, d.where("user_id % 3 = 0 and user_id % 5 <> 0").withColumn("value", F.col("value") + 1), "path", deleted=d.where("user_id % 5 = 0"))
+    each = [versions.snapshot(t.spark, root, v).select(F.lit(v).alias("version"), "path", "user_id", "value") for v in (1, 2)]
+    return each[0].unionByName(each[1])

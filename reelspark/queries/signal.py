@@ -9,7 +9,7 @@ from reelspark.functions import audio
 from reelspark.operators import signal as op
 from reelspark.operators.prefix import neighbours, positions
 from reelspark.queries import Tables, query
-from reelspark.streaming import ingest
+from reelspark.streaming import ingest, state
 
 
 def _track(t: Tables) -> DataFrame:
@@ -219,6 +219,25 @@ def q_stream_ingest(t: Tables) -> DataFrame:
     return ingest.current(t.spark, f"{out}/rows", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
+@query("SELECT user_id, event_type, event_id, generation, value FROM (SELECT *, CAST(floor(value / 50) AS BIGINT) AS generation, row_number() OVER (PARTITION BY user_id, event_type ORDER BY floor(value / 50) DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def q_stream_results(t: Tables) -> DataFrame:
+    """All events as results of generations, in files that come in two turns; the stream is begun again for the second one."""
+    from reelspark.session import checkpoint_dir
+
+    out = f"{checkpoint_dir(t.spark)}/results-{uuid.uuid4().hex}"
+    d = t.events.select("user_id", "event_type", "event_id", F.floor(F.col("value") / 50).cast("long").alias("generation"), "value")
+    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.PROVIDER)
+    try:
+        for turn in (0, 1):
+            d.where(F.col("event_id") % 2 == turn).write.mode("append").parquet(f"{out}/in")
+            stream = ingest.file_stream(t.spark, f"{out}/in", d.schema, 4)
+            state.write_results(state.latest_results(stream, ["user_id", "event_type"], ["generation", "event_id"]), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return state.current_results(t.spark, f"{out}/rows", ["user_id", "event_type"], ["generation", "event_id"]).select("user_id", "event_type", "event_id", "generation", "value")
+
+
 @query("""
 WITH x AS (SELECT l_orderkey AS take, l_linenumber AS channel, CASE WHEN -l_quantity < -60.05 THEN 0 ELSE power(10.0, -l_quantity / 20) END AS g, (l_linenumber / 8.0 - 0.5 + 1) * pi() / 4 AS a, l_tax > 0.07 AS mute, l_discount > 0.09 AS solo FROM lineitem),
 y AS (SELECT *, NOT mute AND (NOT bool_or(solo) OVER (PARTITION BY take) OR solo) AS sounds FROM x),

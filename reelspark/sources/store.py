@@ -7,8 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspark.functions.names import folder
+from reelspark.functions.paths import ancestors
 from reelspark.operators.joins import removed_rows
 from reelspark.schema import HEADER
+from reelspark.session import checkpoint_dir
 from reelspark.sources import wav
 
 LOCAL_TOLERANCE, SHARED_TOLERANCE = 1e-6, 0.01
@@ -23,13 +26,21 @@ def unchanged(listing: DataFrame, cached: DataFrame, tolerance: float = LOCAL_TO
 
 def incremental_scan(spark: SparkSession, root: str, cached: DataFrame | None, tolerance: float = LOCAL_TOLERANCE) -> DataFrame:
     """The library's rows: cached ones whose file is unchanged, and the others read anew on the
-    executors; rows of an older parser are read again, those of vanished files go."""
-    listing = wav.listing(spark, root).where("error = ''")
+    executors; rows of an older parser are read again, those of vanished files go. Whether a file has vanished
+    is only known where its folder could be listed: rows at or below a path with an error stay."""
+    checkpoint_dir(spark)
+    every = wav.listing(spark, root).checkpoint()  # one walk for what is read, kept and dropped
+    listing = every.where("error = ''")
+    kept = None
     if cached is None:
         hits, missing = None, listing
     else:
         hits = unchanged(listing, cached.where(F.col("parser_version") >= wav.PARSER_VERSION), tolerance)
         missing = removed_rows(listing, hits, "path")
+        failed = every.where("error <> ''").select(F.col("path").alias("_above"))
+        above = F.explode(F.array_append(ancestors(folder(F.col("path"))), F.col("path"))).alias("_above")
+        kept = cached.join(cached.select("path", above).join(failed, "_above").select("path").distinct(), "path", "left_semi")
+        kept = removed_rows(kept, listing, "path")
     names = [f.name for f in HEADER.fields]
 
     def read(batches):
@@ -39,7 +50,7 @@ def incremental_scan(spark: SparkSession, root: str, cached: DataFrame | None, t
             yield pd.DataFrame([wav.read_header(p, s, m) for p, s, m in zip(pdf["path"], pdf["size"], pdf["mtime"])], columns=names)
 
     fresh = missing.select("path", "size", "mtime").repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInPandas(read, HEADER)
-    return fresh if hits is None else hits.select(*names).unionByName(fresh)
+    return fresh if hits is None else hits.select(*names).unionByName(kept.select(*names)).unionByName(fresh)
 
 
 def save_snapshot(df: DataFrame, path: str) -> None:

@@ -139,3 +139,13 @@ def test_a_long_track_is_as_many_tasks_as_segments(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["count"] for r in parts) == 200_000 and len(parts) == 8 and max(r["count"] for r in parts) < 60_000
+
+
+@pytest.mark.parametrize("gathered", [0, 50, 10**6])
+def test_percentiles_of_any_group(track, gathered):
+    pdf, d = track
+    got = {r["track"]: (r["n"], list(r["p"])) for r in signal.percentiles(d, ["track"], "x", [0.0, 0.1, 0.5, 0.95, 1.0], gathered).collect()}
+    for t, own in pdf.groupby("track", dropna=False):
+        n, p = got.pop(None if pd.isna(t) else int(t))
+        assert n == len(own) and p == pytest.approx(np.percentile(own["x"], [0, 10, 50, 95, 100]))
+    assert not got

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.sources import report, store, wav
+from reelspark.sources import report, store, versions, wav
 from reelspark.streaming import ingest
 
 IXML = """<?xml version="1.0"?><BWFXML><PROJECT>Orchard</PROJECT><SCENE>10</SCENE><TAKE>03</TAKE><CIRCLED>true</CIRCLED><FILE_SET><FAMILY_UID>F1</FAMILY_UID></FILE_SET>
@@ -66,6 +66,45 @@ def test_incremental_scan_reads_only_changes(spark, library):
     assert [r["path"] for r in store.load_under(spark, str(root / "snap"), str(root / "day1")).collect()] == sorted(str(root / "day1" / n) for n in ("10T03_ISO.wav", "5-T01.WAV"))
 
 
+def test_rows_below_a_folder_that_cannot_be_listed_stay(spark, library, monkeypatch):
+    root, _ = library
+    cached = store.incremental_scan(spark, str(root), None).withColumn("note", F.lit("from the cache")).checkpoint()
+    listed = wav.listing(spark, str(root))
+    day = str(root / "day1")
+    (root / "float.wav").unlink()
+    failing = listed.where(~F.col("path").startswith(day) & ~F.col("path").endswith("float.wav")).unionByName(spark.createDataFrame([(day, 0, 0.0, "no permission")], listed.schema))
+    monkeypatch.setattr(wav, "listing", lambda *_: failing)
+    got = {r["path"]: r["note"] for r in store.incremental_scan(spark, str(root), cached).collect()}
+    assert got == {r["path"]: "from the cache" for r in cached.collect() if not r["path"].endswith("float.wav")} and sum(p.startswith(day) for p in got) == 2
+    monkeypatch.setattr(wav, "listing", lambda *_: spark.createDataFrame([(str(root), 0, 0.0, "gone")], listed.schema))
+    assert store.incremental_scan(spark, str(root), cached).count() == cached.count()
+
+
+def test_versions(spark, tmp_path):
+    root, schema = str(tmp_path / "v"), "path string, size long"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    first = [(f"{a}/{k:03d}", k) for a in "abcdefgh" for k in range(100)]
+    assert versions.commit(spark, root, frame(first).repartition(3), "path", files=8) == 1
+    assert versions.commit(spark, root, frame([("a/001", -1), ("z", 7)]), "path", deleted=frame([("b/002", 0), ("z", 0), ("nowhere", 0)])) == 2
+    rows = lambda v=None, prefix=None: {r["path"]: r["size"] for r in versions.snapshot(spark, root, v, prefix).collect()}
+    assert rows(1) == dict(first)
+    now = {**dict(first), "a/001": -1, "z": 7}
+    del now["b/002"]
+    assert rows() == rows(2) == now
+    for p in ("a/", "b/00", "z", "h/099", "q", ""):
+        assert rows(None, p) == {k: v for k, v in now.items() if k.startswith(p)}
+    opened = lambda p: len(versions.snapshot(spark, root, 1, p).inputFiles())
+    assert 0 < opened("c/") < opened("") and versions.versions(spark, root) == [1, 2]
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, root, frame([("x", 1)]), "path", after=1)
+    for bad in ([("x", 1), ("x", 2)], [(None, 1)]):
+        with pytest.raises(ValueError):
+            versions.commit(spark, root, frame(bad), "path")
+    assert rows() == now
+    with pytest.raises(ValueError):
+        versions.snapshot(spark, root, 9)
+
+
 def test_index_round_trip(spark, library):
     root, _ = library
     rows = wav.scan(spark, str(root))
