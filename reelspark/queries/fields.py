@@ -103,12 +103,12 @@ def q_level_labels(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT page_id, substr(html, 1, 400) AS h, regexp_replace(url, '[?#].*$', '') || ' ä+~*' AS u FROM pages)
+WITH t AS (SELECT page_id, html AS h, regexp_replace(url, '[?#].*$', '') || ' ä+~*' AS u FROM pages)
 SELECT page_id, replace(replace(replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped,
   replace(replace(replace(url_encode(u), '%2F', '/'), '%3A', ':'), '*', '%2A') AS quoted FROM t""")
 def q_escapes(t: Tables) -> DataFrame:
     url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(" ä+~*"))
-    return t.pages.select("page_id", names.html_escaped(F.substring("html", 1, 400)).alias("escaped"), names.url_quoted(url).alias("quoted"))
+    return t.pages.select("page_id", names.html_escaped(F.col("html")).alias("escaped"), names.url_quoted(url).alias("quoted"))
 
 
 @query("SELECT doc_id, nfc_normalize(replace(text, 'a', 'a' || chr(776))) AS text FROM documents")
@@ -165,14 +165,13 @@ def q_keep_folder(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT p_type, p_name, count(*) AS n FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2),
+WITH f AS (SELECT p_type, p_name, count(*) AS n FROM part GROUP BY 1, 2),
 d AS (SELECT DISTINCT p_type, upper(p_name) AS folder FROM part WHERE p_brand = 'Brand#1')
 SELECT p_type, name FROM (SELECT f.p_type, f.p_name AS name, row_number() OVER (PARTITION BY f.p_type ORDER BY n DESC, (d.folder IS NOT NULL) DESC, length(p_name) - length(replace(p_name, ' ', '')) DESC, p_name DESC) AS k
   FROM f LEFT JOIN d ON d.p_type = f.p_type AND lower(d.folder) = lower(f.p_name)) WHERE k = 1""")
 def q_project_name(t: Tables) -> DataFrame:
-    d = t.part.where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
     folder = F.when(F.col("p_brand") == "Brand#1", F.concat(F.lit("lib/"), F.upper("p_name"), F.lit("/"))).otherwise("lib/other/")
-    return dedupe.project_name(d.select("p_type", "p_name", folder.alias("folder")), ["p_type"], "p_name", "folder")
+    return dedupe.project_name(t.part.select("p_type", "p_name", folder.alias("folder")), ["p_type"], "p_name", "folder")
 
 
 @query("SELECT page_id, row_number() OVER (ORDER BY lower(url), page_id) AS position FROM pages")

@@ -61,15 +61,17 @@ def q_duration_labels(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT r AS rate_text, num, den, fps, label FROM (VALUES
- ('24000/1001', 24000, 1001, 24, '23.976'), ('23.976', 24000, 1001, 24, '23.976'), ('023.98-ND', 24000, 1001, 24, '23.976'), ('29.97DF', 30000, 1001, 30, '29.97 DF'),
- ('25', 25, 1, 25, '25'), ('12.5', 125, 10, 12, '12.5'), ('nonsense', NULL, NULL, NULL, NULL), ('0/1', NULL, NULL, NULL, NULL)) AS x(r, num, den, fps, label)""")
+WITH t AS (SELECT p_partkey, CAST(p_size AS INT) AS n, CAST(p_partkey % 5 AS INT) AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN CAST(n * 1000 AS VARCHAR) || ' / 1001' WHEN 1 THEN '0' || CAST(n AS VARCHAR) || ' ND' WHEN 2 THEN CAST(n AS VARCHAR) || '.5' WHEN 3 THEN CAST(n AS VARCHAR) || '/0' ELSE '29.97DF' END AS rate_text,
+  CASE k WHEN 0 THEN n * 1000 WHEN 1 THEN n WHEN 2 THEN n * 10 + 5 WHEN 4 THEN 30000 END AS num, CASE k WHEN 0 THEN 1001 WHEN 1 THEN 1 WHEN 2 THEN 10 WHEN 4 THEN 1001 END AS den,
+  CASE k WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n + n % 2 WHEN 4 THEN 30 END AS fps, CASE k WHEN 1 THEN CAST(n AS VARCHAR) WHEN 4 THEN '29.97 DF' END AS label FROM t""")
 def q_rates(t: Tables) -> DataFrame:
-    texts = ["24000/1001", "23.976", "023.98-ND", "29.97DF", "25", "12.5", "nonsense", "0/1"]
-    d = t.spark.createDataFrame([(x,) for x in texts], "rate_text string").withColumn("r", timecode.parse_rate(F.col("rate_text")))
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("int")
+    text = F.when(k == 0, F.concat(n * 1000, F.lit(" / 1001"))).when(k == 1, F.concat(F.lit("0"), n, F.lit(" ND"))).when(k == 2, F.concat(n, F.lit(".5"))).when(k == 3, F.concat(n, F.lit("/0"))).otherwise("29.97DF")
+    d = t.part.select("p_partkey", text.alias("rate_text")).withColumn("r", timecode.parse_rate(F.col("rate_text")))
     fps = F.when(F.col("r").isNotNull(), timecode.nominal_fps(F.col("r")).cast("int"))
-    label = F.when(F.col("r").isNotNull(), timecode.rate_label(F.col("r"), timecode.parse_drop_frame(F.col("rate_text"))))
-    return d.select("rate_text", F.col("r.num").cast("int").alias("num"), F.col("r.den").cast("int").alias("den"), fps.alias("fps"), label.alias("label"))
+    label = F.when((F.col("r.den") == 1) | F.contains("rate_text", F.lit("DF")), timecode.rate_label(F.col("r"), timecode.parse_drop_frame(F.col("rate_text"))))
+    return d.select("p_partkey", "rate_text", F.col("r.num").cast("int").alias("num"), F.col("r.den").cast("int").alias("den"), fps.alias("fps"), label.alias("label"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'red') AND contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'eco') AND p_brand = 'Brand#1'")
@@ -229,10 +231,17 @@ def q_numbered_gaps(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT platform, lufs, tolerance, peak FROM (VALUES ('netflix', -27.0, 2.0, -2.0), ('amazon', -24.0, 2.0, -2.0), ('appletv', -24.0, 2.0, -1.0), ('youtube', -14.0, NULL, -1.0),
- ('spotify', -14.0, NULL, -1.0), ('applepodcasts', -16.0, 1.0, -1.0), ('ebu', -23.0, 0.5, -1.0), ('atsc', -24.0, 2.0, -2.0)) x(platform, lufs, tolerance, peak)""")
+WITH x AS (SELECT * FROM (VALUES (0, 'netflix', -27.0, 2.0, -2.0), (1, 'amazon', -24.0, 2.0, -2.0), (2, 'appletv', -24.0, 2.0, -1.0), (3, 'youtube', -14.0, NULL, -1.0),
+  (4, 'spotify', -14.0, NULL, -1.0), (5, 'applepodcasts', -16.0, 1.0, -1.0), (6, 'ebu', -23.0, 0.5, -1.0), (7, 'atsc', -24.0, 2.0, -2.0)) v(k, platform, lufs, tolerance, peak)),
+m AS (SELECT p_partkey % 8 AS k, -10 - p_size / 2.0 AS level, -(p_partkey % 5) / 2.0 AS top FROM part)
+SELECT platform, lufs, tolerance, peak, count(*) AS files, count(*) FILTER (WHERE (tolerance IS NULL OR abs(level - lufs) <= tolerance + 1e-9) AND top <= peak + 1e-9) AS good
+FROM x JOIN m USING (k) GROUP BY 1, 2, 3, 4""")
 def q_targets(t: Tables) -> DataFrame:
-    return audio.targets(t.spark)
+    """Measurements, one of a part, by the target that they are made for."""
+    platforms = F.array(*(F.lit(x[0]) for x in audio.TARGETS))
+    d = t.part.select(F.get(platforms, (F.col("p_partkey") % 8).cast("int")).alias("platform"), (-10 - F.col("p_size") / 2.0).alias("level"), (-(F.col("p_partkey") % 5) / 2.0).alias("top"))
+    ok = audio.verdict_ok(F.col("level"), F.col("top"), F.col("lufs"), F.col("tolerance"), F.col("peak"))
+    return d.join(audio.targets(t.spark), "platform").groupBy("platform", "lufs", "tolerance", "peak").agg(F.count("*").alias("files"), F.count_if(ok).alias("good"))
 
 
 @query("SELECT count(*) AS files, min(d) || ' - ' || max(d) AS days FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)")
