@@ -60,6 +60,13 @@ def q_wav_scan(t: Tables) -> DataFrame:
     return d.select("name", "scene", "take", "start_tc", "length", "channels", "tracks", "circled", "date", "recorder", "note", basename(F.col("folder")).alias("place"))
 
 
+@query(f"SELECT {_NAME} AS name, CAST((n_nationkey + 1) * {RATE} AS BIGINT) AS frames FROM nation WHERE n_nationkey % 3 = 1")
+def q_wav_under(t: Tables) -> DataFrame:
+    """One reel of the library; the others aren't walked."""
+    root = _library(t)
+    return wav.scan(t.spark, root, under=f"{root}/R1/", since=0.0).select(basename(F.col("path")).alias("name"), "frames")
+
+
 @query(f"SELECT {_NAME} AS name, CAST(10 * n_nationkey AS BIGINT) AS frame, 'mark é ' || CAST(n_nationkey AS VARCHAR) AS label, CAST((n_nationkey + 1) * {RATE} AS BIGINT) AS frames, CAST(n_nationkey AS BIGINT) * 60 * {RATE} AS time_reference FROM nation")
 def q_wav_cues(t: Tables) -> DataFrame:
     d = wav.scan(t.spark, _library(t)).withColumn("name", basename(F.col("path")))

@@ -2,23 +2,25 @@
 
 The readers seek: a header costs its own bytes and a block the bytes of its frames, whatever the
 file's size. The driver opens no file and lists folders only until there are enough of them to deal
-out; the folders are walked, and headers read, on the executors. scan() and blocks() also spread the
+out; the folders are walked, and headers read, on the executors. Conditions on path, size and mtime are
+pushed into the walk: folders that can't hold what is asked for aren't entered, other files not opened. scan() and blocks() also spread the
 listed files, and stretches of long ones, evenly over the cluster.
 """
 
 from __future__ import annotations
 
+import operator
 import os
 import re
 import struct
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
 from reelspark.functions import audio
 from reelspark.functions.names import TAKE_NAME
@@ -56,13 +58,13 @@ def _listed(folder: str) -> tuple[list[tuple[str, int, float, str]], list[str]]:
     return files, folders
 
 
-def list_audio(root: str) -> Iterator[tuple[str, int, float, str]]:
-    """(path, size, mtime, error) of audio files below root."""
+def list_audio(root: str, enter: Callable[[str], bool] = lambda folder: True) -> Iterator[tuple[str, int, float, str]]:
+    """(path, size, mtime, error) of audio files below root, in the folders that may be entered."""
     todo = [root]
     while todo:
         files, folders = _listed(todo.pop())
         yield from files
-        todo += folders
+        todo += filter(enter, folders)
 
 
 def chunks_of(f, size: int) -> list[tuple[str, int, int, bool]]:
@@ -198,25 +200,55 @@ class _Part(InputPartition):
     def __init__(self, files: list[tuple], folders: list[str]) -> None:
         self.files, self.folders = files, folders
 
-    def listed(self) -> Iterator[tuple[str, int, float, str]]:
-        yield from self.files
-        for folder in self.folders:
-            yield from list_audio(folder)
+
+class _Wanted:
+    """Conditions on path, size and mtime that the walk itself applies, and the folders that can hold what meets them."""
+
+    _PLACES = {"path": 0, "size": 1, "mtime": 2}
+    _HOLDS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, StringStartsWith: str.startswith}
+
+    def __init__(self) -> None:
+        self.conditions: list[Filter] = []
+
+    def takes(self, condition: Filter) -> bool:
+        mine = type(condition) in self._HOLDS and condition.attribute in [(name,) for name in self._PLACES]
+        if mine:
+            self.conditions.append(condition)
+        return mine
+
+    def row(self, found: tuple) -> bool:
+        return all(self._HOLDS[type(c)](found[self._PLACES[c.attribute[0]]], c.value) for c in self.conditions)
+
+    def folder(self, path: str) -> bool:
+        """Whether the path of anything in that folder, or the folder's own, can meet the conditions."""
+        within = path.rstrip("/") + "/"
+        starts = [c.value for c in self.conditions if type(c) is StringStartsWith or (type(c) is EqualTo and c.attribute == ("path",))]
+        return all(within.startswith(x) or x.startswith(within) or path == x for x in starts)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
+        self.wanted = _Wanted()
         self.root, self.per, self.spread = options["path"], int(options.get("filesPerPartition", 256)), int(options.get("folders", 256))
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Those that the walk doesn't apply are left to Spark."""
+        return [f for f in filters if not self.wanted.takes(f)]
+
+    def listed(self, partition: _Part) -> Iterator[tuple[str, int, float, str]]:
+        yield from partition.files
+        for folder in partition.folders:
+            yield from filter(self.wanted.row, list_audio(folder, self.wanted.folder))
+
     def partitions(self) -> list[_Part]:
         """Folders are listed, a level at a time, until there are enough of them; they are then dealt out unlisted."""
-        files, level = [], [self.root]
+        files, level = [], [self.root] if self.wanted.folder(self.root) else []
         while level and len(level) < self.spread:
             below: list[str] = []
             for folder in level:
                 found, inside = _listed(folder)
-                files += found
-                below += inside
+                files += filter(self.wanted.row, found)
+                below += filter(self.wanted.folder, inside)
             level = below
         return [_Part(files[k : k + self.per], []) for k in range(0, len(files), self.per)] + [_Part([], [f]) for f in level] or [_Part([], [])]
 
@@ -224,7 +256,7 @@ class _Reader(DataSourceReader):
 class _Headers(_Reader):
     def read(self, partition: _Part) -> Iterator[tuple]:
         names = [f.name for f in HEADER.fields]
-        for path, size, mtime, error in partition.listed():
+        for path, size, mtime, error in self.listed(partition):
             if not error:
                 row = read_header(path, size, mtime)
                 yield tuple(row[n] for n in names)
@@ -232,7 +264,7 @@ class _Headers(_Reader):
 
 class _Listing(_Reader):
     def read(self, partition: _Part) -> Iterator[tuple]:
-        yield from partition.listed()
+        yield from self.listed(partition)
 
 
 class _Blocks(_Reader):
@@ -241,7 +273,7 @@ class _Blocks(_Reader):
         self.frames, self.halo = int(options.get("blockFrames", 48_000)), int(options.get("halo", 0))
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        for path, size, _, error in partition.listed():
+        for path, size, _, error in self.listed(partition):
             if not error:
                 yield from block_batches(path, size, self.frames, self.halo)
 
@@ -319,6 +351,8 @@ class WavBlocks(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the formats known, and lets conditions on path, size and mtime reach their walk."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (WavHeaders, AudioListing, WavBlocks):
         spark.dataSource.register(source)
 
@@ -328,8 +362,9 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("audio_listing").load(root)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The header rows of all files below root, which are spread evenly once they are listed."""
+def scan(spark: SparkSession, root: str, under: str = "", since: float | None = None) -> DataFrame:
+    """The header rows of all files below root, which are spread evenly once they are listed; of those alone whose
+    path begins with under, and which changed at a time since or later. Other folders aren't walked, other files not opened."""
     names = [f.name for f in HEADER.fields]
 
     def read(batches):
@@ -339,6 +374,10 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
             yield pd.DataFrame([read_header(*r) for r in zip(pdf["path"], pdf["size"], pdf["mtime"])], columns=names)
 
     found = listing(spark, root).where("error = ''").select("path", "size", "mtime")
+    if under:
+        found = found.where(F.startswith("path", F.lit(under)))
+    if since is not None:
+        found = found.where(F.col("mtime") >= since)
     return found.repartition(spark.sparkContext.defaultParallelism * 4, "path").mapInPandas(read, HEADER)
 
 

@@ -37,6 +37,36 @@ def test_headers(spark, library):
     assert rows["float.wav"]["float_samples"] and rows["float.wav"]["time_reference"] is None and rows["broken.wav"]["error"]
 
 
+def test_conditions_reach_the_walk(spark, tmp_path, monkeypatch):
+    """Rows are those of the whole walk where the conditions hold; other folders aren't listed, other files not opened."""
+    for k in range(12):
+        folder = tmp_path / f"R{k % 4}" / "deep"
+        folder.mkdir(parents=True, exist_ok=True)
+        wav.write_wav(str(folder / f"{k}.wav"), np.zeros((100 * (k + 1), 1)), 48000, 24)
+    every = {r["path"]: r for r in wav.listing(spark, str(tmp_path)).collect()}
+    sizes = sorted(r["size"] for r in every.values())
+    conditions = [F.startswith("path", F.lit(f"{tmp_path}/R1")), F.startswith("path", F.lit(f"{tmp_path}/R1/deep/5")), F.col("path") == f"{tmp_path}/R2/deep/2.wav",
+                  F.col("size") > sizes[6], (F.col("mtime") < 0) | (F.col("size") == sizes[3]), F.startswith("path", F.lit("/elsewhere")), (F.col("size") <= sizes[5]) & F.endswith("path", F.lit("4.wav")) & (F.col("mtime") >= 0.0)]
+    for condition in conditions:
+        want = spark.createDataFrame(list(every.values())).where(condition)
+        assert {r["path"] for r in wav.listing(spark, str(tmp_path)).where(condition).collect()} == {r["path"] for r in want.collect()}
+        headers = spark.read.format("wav_headers").load(str(tmp_path)).where(condition)
+        assert {r["path"] for r in headers.collect()} == {r["path"] for r in want.collect()}
+
+    opened, entered, header, listed = [], [], wav.read_header, wav._listed
+    monkeypatch.setattr(wav, "read_header", lambda path, *a: opened.append(path) or header(path, *a))
+    monkeypatch.setattr(wav, "_listed", lambda folder: entered.append(folder) or listed(folder))
+    for spread in ("1", "256"):
+        opened.clear(), entered.clear()
+        reader = wav._Headers({"path": str(tmp_path), "folders": spread})
+        left = wav.EqualTo(("error",), "")
+        asked = [wav.StringStartsWith(("path",), f"{tmp_path}/R1/"), wav.GreaterThanOrEqual(("size",), every[f"{tmp_path}/R1/deep/5.wav"]["size"]), left]
+        assert list(reader.pushFilters(asked)) == [left]
+        rows = [row for part in reader.partitions() for row in reader.read(part)]
+        assert len(rows) == 2 and sorted(opened) == [f"{tmp_path}/R1/deep/5.wav", f"{tmp_path}/R1/deep/9.wav"]
+        assert set(entered) == {str(tmp_path), f"{tmp_path}/R1", f"{tmp_path}/R1/deep"}
+
+
 def test_blocks_with_halo_equal_the_samples(spark, library):
     root, x = library
     wav.register(spark)
