@@ -48,4 +48,4 @@ def test_run_registers(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is C.run
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
