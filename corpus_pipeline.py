@@ -23,7 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles have a Jaccard likeness of 0.8 or more: that with
-    the smallest id, a null one last. Rows that share an id stay apart by their texts; of rows alike in both
+    the smallest id, a null one last. Candidates are linked by SimHash fingerprints through the popcount embedding,
+    and by MinHash keys where copies differ in more bits; both are verified. Rows that share an id stay apart by their texts; of rows alike in both
     one stays; null and empty texts are alike."""
     return drop_near_copies(docs)
 

@@ -49,6 +49,15 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> Iterator[bytes]:
     return map(b" ".join, zip(*(islice(words, k, None) for k in range(size))))
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+
+
+def _majority(ones: np.ndarray, total: int) -> int:
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Majority bits of the shingles' XXH64, as a signed 64-bit number."""
     words = lower_words(text)
@@ -56,10 +65,17 @@ def fingerprint(text: str | None) -> int:
     it = shingles(words)
     digest = xxhash.xxh64_intdigest
     while chunk := [digest(s, SEED) for s in islice(it, CHUNK)]:
-        bits = np.unpackbits(np.array(chunk, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+        ones += _ones(np.array(chunk, "<u8"))
         total += len(chunk)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+    return _majority(ones, total)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """As fingerprint, of a set of shingles' hashes, each counted once."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += _ones(hashes[k : k + CHUNK])
+    return _majority(ones, len(hashes))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -222,10 +238,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 # Near copies by the likeness of word shingles: two texts are near copies if the Jaccard likeness of
-# their sets of five-word shingles is at least 0.8. A fingerprint of 64 bits can't select these (a pair of
-# likeness 0.8 differs in 9.7 bits on average, and any radius that holds nearly all of them holds too many
-# strangers), so the candidates share one of BANDS MinHash keys of WIDE values each (a pair of likeness
-# 0.8 shares none with a probability below 1e-4), and are verified on the whole sets of shingles' hashes.
+# their sets of five-word shingles is at least 0.8. Candidates are the members of a SimHash group: sets whose
+# fingerprints are linked through the cells of the popcount embedding, as op4's are. A fingerprint of 64 bits
+# can't select all copies alone (a pair of likeness 0.8 differs in 9.7 bits on average, and any radius that holds
+# nearly all of them holds too many strangers), so further candidates share one of BANDS MinHash keys of WIDE
+# values each (a pair of likeness 0.8 shares none with a probability below 1e-4). All are verified on the whole
+# sets of shingles' hashes; a SimHash group is a key like any other.
 # In a key's group members are first compared with one hub, that with the most neighbours, which is the
 # same for a family's keys, so a family costs a few pairs for each member. Groups in which more than one
 # component is left get another hub, the member with the fewest shingles of its own; last of all their
@@ -259,20 +277,29 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def keyed_rows(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, th (hash of the text), h (of the set of shingles) and keys of every row."""
+    """doc_id, th (hash of the text), h (of the set of shingles), fp (its fingerprint) and MinHash keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, keys = [], []
+            hs, fps, keys = [], [], []
             for t in batch.column(1):
                 found = shingle_set(t.as_py(), size)
+                fps.append(set_fingerprint(found))
                 hs.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 keys.append(band_keys(found))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), lists], ["doc_id", "th", "h", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), lists], ["doc_id", "th", "h", "fp", "keys"])
+
+    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, fp long, keys array<long>")
+
 
-    return id_and_text(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, h long, keys array<long>")
+def simhash_keys(nodes: DataFrame) -> DataFrame:
+    """h and key of each node (h, fp): one key for all nodes whose fingerprints are linked within 2 bits, written."""
+    unique = cut(_spread(nodes.select("fp").distinct()))
+    roots = components(links(unique))
+    found = nodes.select("h", "fp").join(F.broadcast(roots) if small_enough(roots) else roots, F.col("fp") == F.col("node"), "left")
+    return cut(found.select("h", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key")))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, repeated: bool) -> DataFrame:
@@ -360,9 +387,9 @@ def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_roots(docs: DataFrame, nodes: DataFrame, size: int = NEAR_SHINGLE, similarity: float = NEAR, repeated: bool = True) -> DataFrame:
-    """(node, root) of nodes (h, keys, first) that have near copies."""
+    """(node, root) of nodes (h, fp, keys, first) that have near copies."""
     ordered = lambda df, a, b: df.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
-    rows = nodes.select("h", F.explode("keys").alias("key"))
+    rows = nodes.select("h", F.explode("keys").alias("key")).unionByName(simhash_keys(nodes))
     groups = cut(rows.groupBy("key").agg(F.min("h").alias("u"), F.max("h").alias("v"), F.count("*").alias("members")).where("members > 1"))
     full = groups.where("members > 2").select("key", "members")
     live = cut(rows.join(F.broadcast(full) if small_enough(full) else full, "key"))
@@ -407,7 +434,7 @@ def drop_near_copies(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: floa
     last), by the hash of its text among equal ids. Of rows that repeat both id and text one stays;
     rows that share an id alone are told apart by their texts. Null and empty texts are one group."""
     rows = cut(keyed_rows(docs, size))
-    nodes = cut(_spread(rows.groupBy("h").agg(F.first("keys").alias("keys"), _first())))
+    nodes = cut(_spread(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), _first())))
     repeated = _repeated(rows)
     roots = near_roots(docs, nodes, size, similarity, repeated)
     return _only_first(docs, nodes.select(F.col("h").alias("node"), "first"), roots, repeated)

@@ -181,3 +181,19 @@ def test_groups_that_one_hub_leaves_open_lose_no_link(spark):
             roots[i] = roots[j] = min(roots[i], roots[j])
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r["doc_id"] for r in S.drop_near_copies(d).collect()} == {i for i, r in enumerate(roots) if i == r}
+
+
+def test_near_copies_meet_by_their_fingerprints(spark):
+    """With MinHash keys that no two sets share, near copies within 2 bits are still found and strangers aren't."""
+    rng = random.Random(13)
+    words = [["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(900)] for _ in range(12)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "other"]) for w in words]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    nodes = S.cut(S.keyed_rows(d).groupBy("h").agg(F.first("fp").alias("fp"), S._first()).withColumn("keys", F.array("h")))
+    fps = [S.set_fingerprint(S.shingle_set(t)) for t in texts]
+    close = {k for k in range(12) if (fps[k] ^ fps[k + 12]).bit_count() <= 2}
+    of = {r["h"]: r["first"]["doc_id"] for r in nodes.collect()}
+    found = {}
+    for r in S.near_roots(d, nodes).collect():
+        found.setdefault(r["root"], {of[r["root"]] % 12}).add(of[r["node"]] % 12)
+    assert len(close) >= 6 and sorted(map(sorted, found.values())) == sorted([k] for k in close)
