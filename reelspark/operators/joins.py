@@ -6,10 +6,15 @@ hash or sort them, and a pair meets once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.timecode import div
+from reelspark.operators.prefix import ranged
+from reelspark.session import checkpoint_dir
 
 
 def _nodes(a: Column, b: Column) -> Column:
@@ -69,22 +74,52 @@ def match_clips(takes: DataFrame, clips: DataFrame, slack_days: int = 1) -> Data
 
     takes: take, t_start, t_len, t_channels, t_seq, t_date; clips: clip, c_start, c_len, c_day,
     c_date; times in ticks since midnight, dates null where unknown. A take is offered to clips on
-    its own place and a day either way, by interval join; the nearest place alone counts.
+    its own place and a day either way, by interval join; the nearest place alone counts. Dates are part of the
+    join's key: a take has those within the slack, and one more key for the clips or takes without a date.
     """
-    ends = clips.withColumn("c_end", F.col("c_start") + F.col("c_len"))
-    # A take as it is meets clips; moved by a day either way it meets clips that are moved back, whatever their day's length.
-    moved = ends.withColumn("_shift", F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1))))).withColumn("m_start", F.col("c_start") - F.col("_shift") * F.col("c_day")).withColumn("m_end", F.col("c_end") - F.col("_shift") * F.col("c_day"))
-    both = interval_join(takes.withColumn("t_end", F.col("t_start") + F.col("t_len")), moved, ("t_start", "m_start"), ("t_end", "m_end"))
-    both = both.withColumn("s_start", F.col("t_start") + F.col("_shift") * F.col("c_day")).withColumn("s_end", F.col("s_start") + F.col("t_len"))
-    near = both.where(F.col("s_start") == nearest_day_start(F.col("t_start"), F.col("c_day"), F.col("c_start")))
-    near = near.where(F.col("t_date").isNull() | F.col("c_date").isNull() | (F.abs(F.date_diff("t_date", "c_date")) <= slack_days))
-    near = near.withColumn("overlap", F.least("s_end", "c_end") - F.greatest("s_start", "c_start"))
-    return with_chosen(near, ["clip"], [F.col("overlap").desc(), F.col("t_channels").desc(), F.col("t_seq")])
-
-
-def with_chosen(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """df with chosen, true for the first row of each group."""
-    return df.withColumn("chosen", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)
+    clip_undated, take_undated = F.lit(-(1 << 31)), F.lit((1 << 31) - 1)
+
+    def meet(c: DataFrame, t: DataFrame) -> DataFrame:
+        undated = lambda df, date: F.coalesce(df.agg(F.max(F.col(date).isNull())).scalar(), F.lit(False))
+        also = lambda there, key: F.when(there, F.array(key)).otherwise(F.array().cast("array<int>"))
+        within = F.sequence(F.unix_date("t_date") - slack_days, F.unix_date("t_date") + slack_days)
+        t_days = F.when(F.col("t_date").isNull(), F.array(take_undated)).otherwise(F.concat(within, also(undated(c, "c_date"), clip_undated)))
+        c_days = F.concat(F.array(F.coalesce(F.unix_date("c_date"), clip_undated)), also(undated(t, "t_date"), take_undated))
+        ends = t.withColumn("t_end", F.col("t_start") + F.col("t_len"))
+        low, high = ends.agg(F.min("t_start")).scalar(), ends.agg(F.max("t_end")).scalar()
+        # A take as it is meets clips; moved by a day either way it meets clips that are moved back, whatever their day's length.
+        moved = c.withColumn("c_end", F.col("c_start") + F.col("c_len")).withColumn("_shift", F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1)))))
+        moved = moved.withColumn("m_start", F.col("c_start") - F.col("_shift") * F.col("c_day")).withColumn("m_end", F.col("c_end") - F.col("_shift") * F.col("c_day"))
+        moved = moved.where((F.col("m_start") < high) & (F.col("m_end") > low))
+        both = interval_join(ends.withColumn("_day", F.explode(t_days)), moved.withColumn("_day", F.explode(c_days)), ("t_start", "m_start"), ("t_end", "m_end"), ["_day"]).drop("_day")
+        both = both.withColumn("s_start", F.col("t_start") + F.col("_shift") * F.col("c_day")).withColumn("s_end", F.col("s_start") + F.col("t_len"))
+        near = both.where(F.col("s_start") == nearest_day_start(F.col("t_start"), F.col("c_day"), F.col("c_start")))
+        return near.withColumn("overlap", F.least("s_end", "c_end") - F.greatest("s_start", "c_start"))
+
+    return with_chosen(clips, takes, meet, ["clip"], [F.col("t_channels").desc(), F.col("t_seq")], F.col("t_len"))
+
+
+def with_chosen(left: DataFrame, right: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], by: list[str], order: list[Column], longest: Column) -> DataFrame:
+    """meet(left, right) with chosen, true for one pair of each group of the left: that of the longest overlap, then the
+    first by order (columns of the right). meet gives pairs with a positive overlap, at most the right's `longest`, and
+    passes further columns on.
+
+    Pairs may be far more than rows, so they are neither shuffled nor sorted: the right is ranked, a row's best pair is a
+    number that is aggregated where the pairs are made, and the pairs are made again beside it."""
+    checkpoint_dir(left.sparkSession)
+    rows = left.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    ranks = ranged(right, order).withColumnRenamed("_pos", "_rank")
+    most, last = ranks.agg(F.max(longest), F.max("_rank")).first()
+    bits = int(last or 0).bit_length()
+    if int(most or 0).bit_length() + bits < 63:
+        value = F.col("overlap") * F.lit(1 << bits) - F.col("_rank")
+    else:
+        value = F.col("overlap").cast("decimal(19,0)") * F.lit(Decimal(1 << 63)) - F.col("_rank").cast("decimal(19,0)")
+    best = meet(rows, ranks).groupBy("_row").agg(F.max(value).alias("_best")).join(rows.select("_row", *by), "_row")
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_best").desc(), "_row"))
+    best = best.withColumn("_n", first).where("_n = 1").select("_row", "_best")
+    pairs = meet(rows.join(best, "_row", "left"), ranks)
+    return pairs.withColumn("chosen", F.coalesce(value == F.col("_best"), F.lit(False))).drop("_row", "_rank", "_best")
 
 
 def asof(events: DataFrame, points: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False, width: int | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def running(df: DataFrame, by: list[str], segment: Column, order: list[str], **v
     return both.select(*df.columns, "_own", *made).where("_own = 1").drop("_own")
 
 
-def ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str] | list[Column]) -> DataFrame:
     """df with _pos, which rises with the keys: rows are dealt by ranges of them, so equal first keys may be many tasks. Written once."""
     checkpoint_dir(df.sparkSession)
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pos", F.monotonically_increasing_id()).checkpoint()

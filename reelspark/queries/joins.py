@@ -41,8 +41,8 @@ def q_interval_match(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), (F.floor("value") + 1).cast("long").alias("n"))
     clips = e.where("event_type = 'view'").select(F.col("event_id").alias("clip"), F.col("s").alias("c_s"), (F.col("s") + F.col("n")).alias("c_e"))
     takes = e.where("event_type <> 'view'").select(F.col("event_id").alias("take"), F.col("user_id").alias("channels"), F.col("s").alias("t_s"), (F.col("s") + F.col("n")).alias("t_e"))
-    both = op.interval_join(clips, takes, ("c_s", "t_s"), ("c_e", "t_e")).withColumn("overlap", F.least("c_e", "t_e") - F.greatest("c_s", "t_s"))
-    return op.with_chosen(both, ["clip"], [F.col("overlap").desc(), F.col("channels").desc(), F.col("take")]).select("clip", "take", "overlap", "chosen")
+    meet = lambda c, t: op.interval_join(c, t, ("c_s", "t_s"), ("c_e", "t_e")).withColumn("overlap", F.least("c_e", "t_e") - F.greatest("c_s", "t_s"))
+    return op.with_chosen(clips, takes, meet, ["clip"], [F.col("channels").desc(), F.col("take")], F.col("t_e") - F.col("t_s")).select("clip", "take", "overlap", "chosen")
 
 
 @query(f"SELECT clip, take, overlap FROM ({_MATCH}) WHERE chosen")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from reelspark.operators import joins
 from tests.test_oracle import rows_of
 
 
@@ -49,3 +50,18 @@ def test_frames_behind_midnight_of_the_timecode(beside_sql):
     """A day of 29.97 drop frame ends 86 ms before the clock's."""
     rows = [event(k, 86_400_000_000 - after) for k, after in enumerate([1, 40_000, 80_000, 86_000, 90_000, 86_400_000_000])]
     assert [r[0] for r in sorted(beside_sql("q_tc_roundtrip", events=(rows, EVENTS)), key=lambda r: r[1])] == [2589410, 2589409, 2589408, 2589408, 2589407, 0]
+
+
+def test_pairs_are_chosen_without_a_shuffle_of_pairs(spark, beside_sql):
+    rows = [event(k, 1_000_000 * (k % 7), user=k % 3, kind="view" if k < 40 else "error", value=float(k % 11)) for k in range(120)]
+    assert sum(r[0] for r in beside_sql("q_interval_match", events=(rows, EVENTS))) == 40
+    takes = [(k, 10 * k, 2**52 if k == 2 else 500, k % 2, k % 5, None if k % 3 else dt.date(2024, 1, 1)) for k in range(60)]
+    takes = spark.createDataFrame(takes, "take long, t_start long, t_len long, t_channels long, t_seq long, t_date date")
+    clips = spark.createDataFrame([(7, 30 * (k // 2), 300, 86_400, dt.date(2024, 1, 2) if k % 4 else None) for k in range(20)], "clip long, c_start long, c_len long, c_day long, c_date date")
+    found = joins.match_clips(takes, clips)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Window")  # the window lies below the pairs
+    assert found.where("chosen").count() == 1  # rows that repeat a clip are one group
+    best = max(found.collect(), key=lambda r: (r["overlap"], r["t_channels"], -r["t_seq"]))
+    (own,) = found.where("chosen").collect()
+    assert (own["overlap"], own["t_channels"], own["t_seq"]) == (best["overlap"], best["t_channels"], best["t_seq"])
