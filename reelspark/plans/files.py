@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions import names, timecode
@@ -166,9 +167,14 @@ def undo(actions: DataFrame) -> DataFrame:
 
 def edit_plan(df: DataFrame, edits: DataFrame, family: list[str]) -> DataFrame:
     """path, column and value of each edit (path, column, value) and of the same edit on the take's other files."""
-    own = edits.join(df.select("path", *family), "path")
-    others = own.select(*family, "column", "value", F.col("path").alias("_from")).join(df.select("path", *family), family).where("path <> _from")
-    return own.select("path", "column", "value").unionByName(others.select("path", "column", "value")).distinct()
+    # A path of one family meets each of the family's edits once, so that what is made needn't be told apart again.
+    members = df.where("path is not null").select("path", *family).distinct()
+    members = members.withColumn("_n", F.count("*").over(Window.partitionBy("path")))
+    own = edits.select("path", "column", "value").distinct().join(members, "path")
+    met = own.select(*family, "column", "value").distinct().join(members, family)
+    alone = own.where(reduce(lambda x, y: x | y, (F.col(c).isNull() for c in family)))  # no other file is of a family that isn't known
+    every = met.select("path", "column", "value", "_n").unionByName(alone.select("path", "column", "value", "_n"))
+    return every.where("_n = 1").drop("_n").unionByName(every.where("_n > 1").drop("_n").distinct())
 
 
 def to_fix(files: DataFrame, verdicts: DataFrame, key: str = "path") -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from reelspark.operators import joins
+from reelspark.plans import files
 from tests.test_oracle import rows_of
 
 
@@ -65,3 +66,12 @@ def test_pairs_are_chosen_without_a_shuffle_of_pairs(spark, beside_sql):
     best = max(found.collect(), key=lambda r: (r["overlap"], r["t_channels"], -r["t_seq"]))
     (own,) = found.where("chosen").collect()
     assert (own["overlap"], own["t_channels"], own["t_seq"]) == (best["overlap"], best["t_channels"], best["t_seq"])
+
+
+def test_edits_of_one_family_are_told_apart_before_they_meet_its_files(spark):
+    d = spark.createDataFrame([("a", "F"), ("b", "F"), ("c", "F"), ("c", "G"), ("d", "G"), ("e", None), ("e", None), (None, "F")], "path string, family string")
+    e = spark.createDataFrame([("a", "scene", "1"), ("b", "scene", "1"), ("c", "scene", "1"), ("d", "take", "2"), ("e", "take", "3"), ("x", "take", "4")], "path string, column string, value string")
+    made = files.edit_plan(d, e, ["family"])
+    want = [("a", "scene", "1"), ("b", "scene", "1"), ("c", "scene", "1"), ("c", "take", "2"), ("d", "scene", "1"), ("d", "take", "2"), ("e", "take", "3")]
+    assert sorted(tuple(r) for r in made.collect()) == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].strip().startswith("Union")  # what is made is not aggregated
