@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,10 +231,11 @@ def description_map(text: Column) -> Column:
     return F.map_from_entries(first)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C; there is no built-in for it."""
-    return text.str.normalize("NFC")
+@F.arrow_udf(T.StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    """Unicode normal form C; there is no built-in for it (Arrow's own leaves marks apart). A few texts at a time are Python's."""
+    few = (text.slice(k, 256).to_pylist() for k in range(0, len(text), 256))
+    return pa.chunked_array([pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in ts], pa.string()) for ts in few], pa.string()).combine_chunks()
 
 
 @F.pandas_udf(T.DoubleType())

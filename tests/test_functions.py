@@ -1,8 +1,10 @@
 """Functions on literals: exact values of timecode, names and levels."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,3 +140,14 @@ def test_natural_text_sorts_like_the_key(spark):
     assert [r["t"] for r in d.orderBy(names.natural_text(F.col("t")), "t").collect()] == by_key
     long_ = spark.createDataFrame([(t,) for t in texts if len(t) > 40], "t string")
     assert [len(r["t"]) for r in long_.orderBy(names.natural_text(F.col("t"))).collect()] == [51, 52]
+
+
+def test_few_texts_at_a_time_are_normalized():
+    texts = pa.array(["a\u0308" * 5000] * 2000 + [None])
+    tracemalloc.start()
+    try:
+        made = names.nfc.func(texts)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made.to_pylist() == ["\u00e4" * 5000] * 2000 + [None] and held < 20_000_000  # all texts as Python's are 40 MB
