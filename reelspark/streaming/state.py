@@ -1,6 +1,6 @@
 """Results that a newer generation supersedes, in a stream with keyed state.
 
-Each key's state is the generation and order of its last result, so a row that comes late is known to be
+Each key's state holds the generation and order of its last result, so a row that comes late is known to be
 superseded without reading what was written before, and a timer lets go of keys that have been quiet.
 """
 
@@ -55,17 +55,39 @@ class _Latest(StatefulProcessor):
 def latest_results(stream: DataFrame, key: list[str], order: list[str], quiet_ms: int | None = None) -> DataFrame:
     """The rows of a stream that supersede what their key had before, the best of a key in each batch. order: columns
     of whole numbers without nulls, compared one after the other (a generation first). A key that was quiet for
-    quiet_ms is forgotten; None keeps all."""
+    quiet_ms is forgotten, for which Python is called for each key; None keeps all, by an aggregate alone, whose
+    state is a key's best row with its batch's time: a key whose best row is of an earlier batch had nothing new."""
+    if quiet_ms is None:
+        rest = [c for c in stream.columns if c not in key]
+        at = F.unix_micros(F.current_timestamp())
+        best = F.max_by(F.struct(*rest, "_at"), F.struct(*order, (-F.col("_at")).alias("_at")))  # of equal orders the first batch's stays
+        new = stream.withColumn("_at", at).groupBy(*key).agg(best.alias("_row")).where(F.col("_row._at") == at)
+        return new.select(*(F.col(c if c in key else f"_row.{c}").alias(c) for c in stream.columns))
     kinds = T.StructType([stream.schema[c] for c in order])
     processor = _Latest(stream.columns, order, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields), quiet_ms)
-    return stream.groupBy(*key).transformWithStateInPandas(processor, stream.schema, "Append", "None" if quiet_ms is None else "ProcessingTime")
+    return stream.groupBy(*key).transformWithStateInPandas(processor, stream.schema, "Update", "ProcessingTime")
 
 
 def write_results(results: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends a stream's results as Parquet: all that is there now, or, with an interval such as "10 seconds", until it is
-    stopped. Begun again with the same checkpoint it goes on where it stopped. Timers run with an interval alone."""
-    writer = results.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(target)
+    stopped. Begun again with the same checkpoint it goes on where it stopped. Timers run with an interval alone.
+
+    A batch's files bear its number. The first batch after a start may have been written before, in whole or in part;
+    of it only the rows that aren't there are written."""
+    spark, schema, begun = results.sparkSession, results.schema, []
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(target)
+
+    def write(batch: DataFrame, number: int) -> None:
+        name = f"batch{number}"
+        if not begun:
+            there = spark.read.schema(schema).option("pathGlobFilter", f"{name}-*").parquet(target)
+            if not there.isEmpty():
+                batch = batch.exceptAll(there)
+        batch.write.mode("append").option("mapreduce.output.basename", name).parquet(target)
+        begun.append(number)
+
+    writer = results.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def current_results(spark: SparkSession, target: str, key: list[str], order: list[str]) -> DataFrame:

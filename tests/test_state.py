@@ -47,3 +47,17 @@ def test_superseded_results_stay_out_over_a_restart(spark, rocks, tmp_path):
 def test_quiet_keys_are_forgotten(spark, rocks, tmp_path):
     turn(spark, tmp_path, [("a", 9, 9, "x")], quiet_ms=1)
     assert ("a", 1, 1, "as if new") in turn(spark, tmp_path, [("a", 1, 1, "as if new")], quiet_ms=1)
+
+
+def test_results_are_kept_without_python_and_a_batch_written_again_adds_nothing(spark, rocks, tmp_path):
+    s = ingest.file_stream(spark, str(tmp_path), spark.createDataFrame([], SCHEMA).schema, 1)
+    assert "TransformWithState" not in state.latest_results(s, ["path"], ["gen", "at"])._jdf.queryExecution().analyzed().toString()
+    keys = [(f"k{k}", 1, k, "x") for k in range(500)]
+    first = turn(spark, tmp_path, keys)
+    assert first == sorted(keys, key=repr)
+    (commit,) = (tmp_path / "cp" / "commits").glob("0")
+    part = next(f for f in (tmp_path / "out").glob("batch0-*") if spark.read.parquet(str(f)).count())
+    for f in (commit, commit.with_name(".0.crc"), part, part.with_name(f".{part.name}.crc")):  # as if it had stopped midway
+        f.unlink(missing_ok=True)
+    again = turn(spark, tmp_path, [("k0", 1, 0, "as good"), ("k1", 2, 0, "new"), ("k2", 1, 1, "late")])
+    assert again == sorted([*keys, ("k1", 2, 0, "new")], key=repr)
