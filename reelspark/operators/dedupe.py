@@ -188,17 +188,50 @@ def has_notes(note: Column, circled: Column) -> Column:
     return (F.trim(F.coalesce(note, F.lit(""))) != "") | F.coalesce(circled, F.lit(False))
 
 
+#: What of a file its copies are compared by: fields that a better note leaves alike, and its format.
+NOTED_ALIKE = [f for f in META_FIELDS if f not in ("note", "circled", "project")]
+FORMAT = ["frames", "sample_rate", "bits", "float_samples", "time_reference"]
+
+
+def compared(f: dict[str, Column]) -> dict[str, Column]:
+    """What adds_notes and may_have_more_tracks compare of a file, made once for each file and not for each pair."""
+    own = {"named": F.lower(f["name"]), "noted": has_notes(f["note"], f["circled"]), "good": F.coalesce(f["error"] == "", F.lit(False)), "channels": f["channels"]}
+    return own | {"alike": F.to_json(F.struct(*(f[n].alias(n) for n in NOTED_ALIKE)))} | {n: f[n] for n in FORMAT}
+
+
 def adds_notes(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """The file a is b with a note or a circle that b lacks: same name, and no other field differs."""
-    same = [a[f].eqNullSafe(b[f]) for f in META_FIELDS if f not in ("note", "circled", "project")]
-    return has_notes(a["note"], a["circled"]) & ~has_notes(b["note"], b["circled"]) & (F.lower(a["name"]) == F.lower(b["name"])) & reduce(lambda x, y: x & y, same)
+    return a["noted"] & ~b["noted"] & (a["named"] == b["named"]) & (a["alike"] == b["alike"])
 
 
 def may_have_more_tracks(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Same name, format, length and start and another number of tracks: one may be a reduced copy of the other."""
-    same = [a[f] == b[f] for f in ("frames", "sample_rate", "bits", "float_samples", "time_reference")]
-    good = (a["error"] == "") & (b["error"] == "") & (F.lower(a["name"]) == F.lower(b["name"])) & (a["channels"] != b["channels"])
-    return F.coalesce(reduce(lambda x, y: x & y, same, good), F.lit(False))
+    good = (a["channels"] != b["channels"]) & a["good"] & b["good"] & (a["named"] == b["named"])
+    return F.coalesce(reduce(lambda x, y: x & y, [a[n] == b[n] for n in FORMAT], good), F.lit(False))
+
+
+def better_copies(files: DataFrame, key: str, group: list[str], fields: dict[str, Column], block: int = 8_192) -> DataFrame:
+    """(a, b, adds, more): every two files of one group, by key, with adds_notes and may_have_more_tracks. The name is
+    among the group's columns, so it isn't compared again.
+
+    The pairs grow with the square of a group. A group of more rows than block is cut into blocks by key, and each
+    two blocks meet on their own, so a task holds one block, and a large group is the work of many tasks. Both sides
+    are dealt to a fixed number of tasks, as their few bytes would be put together for the work of their pairs."""
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    own = {n: c for n, c in compared(fields).items() if n != "named"}
+    rows = files.select(*group, F.col(key).alias("_key"), *(c.alias(f"_{n}") for n, c in own.items()))
+    large = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).where("_blocks > 1")  # few: one at most for a block of rows
+    blocks = F.coalesce("_blocks", F.lit(1))
+    rows = rows.join(F.broadcast(large), group, "left").withColumn("_own", F.pmod(F.xxhash64("_key"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+
+    def side(letter: str, first: str, second: str) -> DataFrame:
+        d = rows.select(*group, F.col(first).alias("_i"), F.col(second).alias("_j"), *(F.col(f"_{n}").alias(f"{letter}_{n}") for n in ("key", *own)))
+        return d.repartition(tasks, *group, "_i", "_j")
+
+    both = side("a", "_own", "_other").join(side("b", "_other", "_own").hint("merge"), [*group, "_i", "_j"]).where("a_key <> b_key")
+    a, b = ({n: F.col(f"{letter}_{n}") for n in own} | {"named": F.lit("")} for letter in "ab")
+    return both.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), adds_notes(a, b).alias("adds"), may_have_more_tracks(a, b).alias("more"))
 
 
 def keep_folders(files: DataFrame, group: list[str], folder: str, containers: list[str]) -> DataFrame:

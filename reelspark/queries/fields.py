@@ -138,21 +138,15 @@ def q_stereo(t: Tables) -> DataFrame:
     return d.select("conv_id", names.looks_stereo(F.col("tracks"), F.when(F.col("conv_id") % 3 == 0, "x_LR.wav").otherwise("x.wav")).alias("stereo"))
 
 
-def _pair(t: Tables, side: str):
-    k = F.col("p_partkey")
-    d = {"name": F.col("p_name"), "note": F.when(k % 3 == 0, "n").otherwise(""), "circled": k % 5 == 0, "scene": F.col("p_brand"), "take": F.lit("1"), "tape": F.lit(""), "project": F.col("p_type"), "date": F.lit("")}
-    d |= {"frames": F.col("p_size"), "sample_rate": F.lit(1), "bits": F.lit(24), "float_samples": F.lit(False), "time_reference": F.when(k % 7 > 0, F.lit(0)), "channels": k % 2, "error": F.lit("")}
-    return t.part.select(F.col("p_brand").alias("brand"), F.struct(k.alias("key"), *(c.alias(n) for n, c in d.items())).alias(side))
-
-
 @query("""
 WITH p AS (SELECT *, p_partkey % 3 = 0 OR p_partkey % 5 = 0 AS noted FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, a.noted AND NOT b.noted AS adds, a.p_partkey % 2 <> b.p_partkey % 2 AND a.p_size = b.p_size AND a.p_partkey % 7 > 0 AND b.p_partkey % 7 > 0 AS more
 FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey <> b.p_partkey""")
 def q_better_copies(t: Tables) -> DataFrame:
-    both = _pair(t, "a").join(_pair(t, "b"), "brand").where("a.key <> b.key and a.name = b.name")
-    a, b = ({n: F.col(f"{s}.{n}") for n in ("name", "note", "circled", "scene", "take", "tape", "project", "date", "frames", "sample_rate", "bits", "float_samples", "time_reference", "channels", "error")} for s in "ab")
-    return both.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), dedupe.adds_notes(a, b).alias("adds"), dedupe.may_have_more_tracks(a, b).alias("more"))
+    k = F.col("p_partkey")
+    d = {"name": F.col("p_name"), "note": F.when(k % 3 == 0, "n").otherwise(""), "circled": k % 5 == 0, "scene": F.col("p_brand"), "take": F.lit("1"), "tape": F.lit(""), "project": F.col("p_type"), "date": F.lit("")}
+    d |= {"frames": F.col("p_size"), "sample_rate": F.lit(1), "bits": F.lit(24), "float_samples": F.lit(False), "time_reference": F.when(k % 7 > 0, F.lit(0)), "channels": k % 2, "error": F.lit("")}
+    return dedupe.better_copies(t.part, "p_partkey", ["p_brand", "p_name"], d)
 
 
 @query("""

@@ -4,9 +4,10 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from reelspark.operators import joins
+from reelspark.operators import dedupe, joins
 from reelspark.plans import files
 from tests.test_oracle import rows_of
 
@@ -75,3 +76,30 @@ def test_edits_of_one_family_are_told_apart_before_they_meet_its_files(spark):
     want = [("a", "scene", "1"), ("b", "scene", "1"), ("c", "scene", "1"), ("c", "take", "2"), ("d", "scene", "1"), ("d", "take", "2"), ("e", "take", "3")]
     assert sorted(tuple(r) for r in made.collect()) == want
     assert made._jdf.queryExecution().optimizedPlan().toString().splitlines()[0].strip().startswith("Union")  # what is made is not aggregated
+
+
+def test_pairs_of_copies_are_the_work_of_many_tasks(spark, beside_sql, tmp_path):
+    rows = [(k, ("red ring", "Red ring", "old hat")[k % 3], f"Brand#{k % 4}", "LARGE", k % 2, 1.0) for k in range(240)] + [(1000, None, "Brand#1", "LARGE", 1, 1.0), (1001, "red ring", None, "LARGE", 1, 1.0)]
+    assert len(beside_sql("q_better_copies", part=(rows, PART))) == 12 * 20 * 19
+    made = entry.queries()["q_better_copies"](spark, str(tmp_path))
+    assert made.select(F.spark_partition_id()).distinct().count() > 1  # a small file was one task for all its pairs
+
+
+def test_large_groups_of_copies_meet_in_blocks(spark):
+    """Notes, circles, other fields, formats and tracks: beside the tests said in Python, whatever the block."""
+    c, kinds = F.col, {"name": ("x", "x", "X", None), "note": ("", " ", "n", None), "circled": (False, True, None), "scene": ("s", "t", "", None), "frames": (1, 2, None), "channels": (1, 2), "error": ("", "", "bad", None)}
+    rows = [(k, k // 75 if k < 150 else None, *(v[(k * 7919 // 3**j) % len(v)] for j, v in enumerate(kinds.values()))) for k in range(160)]
+    d = spark.createDataFrame(rows, "key long, folder long, name string, note string, circled boolean, scene string, frames long, channels int, error string")
+    fields = {n: c(n) for n in kinds} | {"take": F.lit("1"), "tape": F.lit(None).cast("string"), "date": F.lit("")} | {n: F.lit(1) for n in ("sample_rate", "bits", "float_samples", "time_reference")}
+
+    def noted(r):
+        return (r[3] or "").strip() != "" or bool(r[4])
+
+    want = sorted(
+        (a[0], b[0], noted(a) and not noted(b) and a[5] == b[5], a[8] == b[8] == "" and None not in (a[6], b[6]) and a[6] == b[6] and a[7] != b[7])
+        for a in rows for b in rows if a[0] != b[0] and None not in (a[1], a[2], b[1], b[2]) and a[1:3] == b[1:3]
+    )
+    assert sum(r[2] for r in want) > 20 and sum(r[3] for r in want) > 20
+    for block in (5, 8_192):
+        made = dedupe.better_copies(d, "key", ["folder", "name"], fields, block)
+        assert sorted(map(tuple, made.collect())) == want
